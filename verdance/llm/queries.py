@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verdance.llm import bpe, lines, packing, sharding, simhash, warc
+from verdance.llm import bpe, jaccard, lines, packing, sharding, simhash, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op8_packing": packing.op8_packing,
     "op9_simhash": simhash.op9_simhash,
+    "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 
 ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op5_line_dedup": lines.OP5_SQL}

@@ -253,7 +253,8 @@ def read_warc(manifest: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES,
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
-    files = manifest.select("path").repartition(F.col("path"))
+    # A partition for each file: the manifest's few rows would otherwise be one task.
+    files = manifest.select("path").repartition(max(1, manifest.count()))
     return files.mapInArrow(run, "id long, url string, record_type string, refers_to long, declared_digest string, chunk_no long, chunk binary, bytes_so_far long, digest_so_far string, last boolean")
 
 
