@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from verdance.llm import bpe, jaccard, lines, packing, sharding, simhash, warc
+from verdance.llm import bpe, hnsw, jaccard, lines, packing, sharding, simhash, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_embedding_dedup": hnsw.op3_embedding_dedup,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op8_packing": packing.op8_packing,
