@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from verdance.llm import bpe, hnsw, jaccard, lines, packing, sharding, simhash, warc
+from verdance.llm import bpe, gru, hnsw, jaccard, lines, packing, sharding, simhash, warc, weaklabels
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_embedding_dedup": hnsw.op3_embedding_dedup,
+    "op4_quality": weaklabels.op4_quality,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_sharding": sharding.op6_sharding,
+    "op7_gru_lm": gru.op7_gru_lm,
     "op8_packing": packing.op8_packing,
     "op9_simhash": simhash.op9_simhash,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
