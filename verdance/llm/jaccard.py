@@ -22,6 +22,8 @@ CELLS, BLOCKS = 1 << 22, 64
 FAN_IN = 128
 #: Matches a prefix may ask for, and the cost of verifying a pair in units of a posting.
 MOST_MATCHES, VERIFY_COST = 4, 32.0
+#: Ids that are sent to every worker at most: 8 MB.
+BROADCAST_IDS = 1_000_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 1_000_000
 
@@ -167,23 +169,31 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, d
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, ids: DataFrame) -> DataFrame:
-    """``(id, tokens)`` of the documents whose id is in ``ids``."""
+    """``(id, tokens)`` of the documents whose id is in ``ids``.
+
+    Few ids (their number is checked) go to every worker and texts stay where
+    they are; more than ``BROADCAST_IDS`` meet the texts in a shuffle.
+    """
     schema = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(size)
         yield from in_batches(((i.as_py(), shingles(text.as_py()).view(np.int64)) for b in batches for i, text in zip(b.column(0), b.column(1))), schema, 256)
 
+    ids = materialize(ids, "wanted-ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(ids, "id", "left_semi")
-    return wanted.mapInArrow(run, "id long, tokens array<long>")
+    return wanted.mapInArrow(run, "id long, tokens array<long>").dropDuplicates(["id"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, label: str) -> DataFrame:
     """The pairs ``(x, y)`` whose sets have the similarity, by exact intersection."""
+    pairs = materialize(pairs.select("x", "y"), f"{label}-asked")
+    sets = materialize(shingle_sets(docs, id_col, text_col, size, pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()), f"{label}-sets")
     a = sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx"))
     b = sets.select(F.col("id").alias("y"), F.col("tokens").alias("ty"))
-    both = pairs.select("x", "y").join(a, "x").join(b, "y").withColumn("common", F.size(F.array_intersect("tx", "ty")))
-    return both.where(F.col("common") * den >= (F.size("tx") + F.size("ty") - F.col("common")) * num).select("x", "y")
+    both = pairs.join(a, "x").join(b, "y").withColumn("common", F.size(F.array_intersect("tx", "ty")))
+    return materialize(both.where(F.col("common") * den >= (F.size("tx") + F.size("ty") - F.col("common")) * num).select("x", "y"), label)
 
 
 def _alike(n1: Column, n2: Column, num: int, den: int) -> Column:
@@ -221,17 +231,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     posts = held.select("id", "n", "matches", F.explode("prefix").alias("token"))
 
     # Tokens with more than one holder, and their smallest holder.
-    shared = materialize(posts.groupBy("token").agg(F.count("*").alias("holders"), F.min("id").alias("first")).where("holders > 1").select("token", "first"), "shared-tokens")
-    near = materialize(posts.join(shared, "token").groupBy("id", "n", "first").agg(F.count("*").alias("common")), "token-stars")
+    shared = posts.groupBy("token").agg(F.count("*").alias("holders"), F.min("id").alias("first")).where("holders > 1").select("token", "first")
+    shared = materialize(posts.join(shared, "token"), "shared-tokens")
+    # Only pairs that are likely to be linked: what this round leaves out the next one decides.
+    near = shared.where("id <> first").groupBy("id", "n", "first").agg(F.count("*").alias("common"))
+    near = near.where(F.col("common") * 2 * den >= F.col("n") * (den - num))
     sizes = held.select(F.col("id").alias("first"), F.col("n").alias("n_first"))
-    stars = near.where("id <> first").join(sizes, "first").where(_alike(F.col("n"), F.col("n_first"), num, den)).select(F.col("first").alias("x"), F.col("id").alias("y"))
-    involved = near.select("id").distinct()
-    sets = materialize(shingle_sets(docs, id_col, text_col, size, involved).dropDuplicates(["id"]), "shingle-sets")
-    links = materialize(_verified(stars, sets, num, den), "star-links")
+    stars = near.join(sizes, "first").where(_alike(F.col("n"), F.col("n_first"), num, den)).select(F.col("first").alias("x"), F.col("id").alias("y"))
+    links = _verified(stars, docs, id_col, text_col, size, num, den, "star-links")
     comp = connected_components(links, "x", "y")
 
     # Tokens that still meet in different components, and the pairs of components that meet.
-    placed = posts.join(shared.select("token"), "token").join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "matches", "token", F.coalesce("component", "id").alias("comp"))
+    placed = shared.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "matches", "token", F.coalesce("component", "id").alias("comp"))
     placed = materialize(placed, "placed-tokens")
     open_tokens = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     mixed_posts = placed.join(open_tokens, "token", "left_semi")
@@ -241,7 +252,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     two = mixed_posts.select("token", F.col("comp").alias("cb"), F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("matches").alias("mb"))
     cross = meet.join(one, ["token", "ca"]).join(two, ["token", "cb"]).where(_alike(F.col("na"), F.col("nb"), num, den))
     pairs = cross.groupBy(F.least("ia", "ib").alias("x"), F.greatest("ia", "ib").alias("y"), F.least("ma", "mb").alias("want")).agg(F.count("*").alias("common")).where("common >= want")
-    more = materialize(_verified(pairs, sets, num, den), "cross-links")
+    more = _verified(pairs, docs, id_col, text_col, size, num, den, "cross-links")
 
     # Components of components: the nodes left are the first round's.
     comp2 = connected_components(more.join(comp.selectExpr("node as x", "component as cx"), "x", "left").join(comp.selectExpr("node as y", "component as cy"), "y", "left").select(F.coalesce("cx", "x").alias("src"), F.coalesce("cy", "y").alias("dst")))
