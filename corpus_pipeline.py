@@ -1,22 +1,59 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes ``(spark, docs, sf_dir)`` and gives a DataFrame, which is
+written as Parquet and read again as the next stage's ``docs``.  All but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verdance.llm import lines
+from verdance.llm import jaccard, lines, packing, weaklabels
 from verdance.llm.common import table
+from verdance.shipping import ship
 from verdance.storage import materialize
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near duplicates: words of a shingle, and the similarity in hundredths.
+WORDS, ALIKE = 5, 80
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; those without words are among them."""
+    ship(spark)
+    return weaklabels.quality(docs).where("kept").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines leave; documents keep their rows and columns."""
-    return lines.dedup_lines(docs).drop("n_lines", "n_removed")
+    """Boilerplate lines leave the texts, and ``n_chars`` follows; every row stays."""
+    out = lines.dedup_lines(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else out
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays; rows with a null id are no one's copy."""
+    ship(spark)
+    found = jaccard.jaccard_components(docs, size=WORDS, num=ALIKE, den=100)
+    gone = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens."""
+    ship(spark)
+    return packing.harmonic_pack(packing.pieces(docs, public_tokenizers.path(packing.VOCABULARY)))
+
 
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("line_dedup", line_stage),
+    ("ngram_jaccard", near_duplicate_stage),
+    ("packing", packing_stage),
+]
 
-STAGES = [("line_dedup", line_stage)]
+#: Fitted weights and a tokenizer are not SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 

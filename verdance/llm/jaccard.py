@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,12 @@ class _WordHashes(dict):
         return h
 
 
+@lru_cache(2)
+def shingler(size: int) -> Shingler:
+    """One for all tasks of a worker."""
+    return Shingler(size)
+
+
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -71,7 +78,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts, held = Shingler(size), np.zeros(CELLS, np.int32), []
+        shingles, counts, held = shingler(size), np.zeros(CELLS, np.int32), []
 
         def rows():
             nonlocal held
@@ -153,7 +160,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, d
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("matches", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, logs = Shingler(size), held.value
+        shingles, logs = shingler(size), held.value
 
         def rows():
             for b in batches:
@@ -177,7 +184,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, ids: Da
     schema = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(size)
+        shingles = shingler(size)
         yield from in_batches(((i.as_py(), shingles(text.as_py()).view(np.int64)) for b in batches for i, text in zip(b.column(0), b.column(1))), schema, 256)
 
     ids = materialize(ids, "wanted-ids")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -24,7 +27,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: A piece may leave this part of its class's share empty; beyond it the document is cut.
 SLACK = 1 / 64
 #: White-space-free chunks whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def cuts(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> Iterator[tuple[int, int]]:
@@ -49,40 +52,44 @@ def cuts(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> Iterator[tup
         n -= part
 
 
-@lru_cache(2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 class ChunkEncoder:
     """Ids of whole texts, chunk by chunk.
 
     The vocabulary drops white space and its normaliser never looks across
-    it, so the ids of a text are those of its chunks between ASCII white
-    space.  Chunks repeat, so their ids are kept, as little-endian bytes;
-    the memory is emptied when full.
+    it, so the ids of a text are those of its chunks between white space.
+    Chunks repeat, so their ids are kept, as little-endian bytes, in two
+    generations: when the young one is full it becomes the old one, and what
+    is used again moves up, so memory is bounded and frequent chunks stay.
     """
 
     def __init__(self, path: str, most: int = REMEMBERED):
-        self.tokenizer, self.most, self.known = _tokenizer(path), most, {}
-
-    def __call__(self, text: str) -> bytes:
-        chunks = text.translate(_SPACES).split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            pass
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        # str.split also splits at U+001C to U+001F, which the vocabulary has tokens for.
+        chunks = [re.split(r"[ \t-\r]+", t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
         if len(self.known) > self.most:
-            self.known.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = set().union(*chunks).difference(known)
+        for c in new.intersection(old):
+            known[c] = old[c]
+        new = list(new.difference(old))
         for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[c] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, chunks))
+            ids = e.ids
+            known[c] = struct.pack(f"<{len(ids)}I", *ids)
+        return [b"".join(map(known.__getitem__, c)) for c in chunks]
 
 
-_SPACES = {c: " " for c in (9, 10, 11, 12, 13)}
+@lru_cache(1)
+def encoder(path: str) -> ChunkEncoder:
+    """One for all tasks of a worker."""
+    return ChunkEncoder(path)
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("k", pa.int32()), ("part", pa.int32()), ("rank_in_part", pa.int64())])
@@ -92,19 +99,23 @@ def pieces(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID, capacity
     """Pieces of all documents with their class and their rank among the class's pieces of the same task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, ranks = ChunkEncoder(vocabulary_path), TaskContext.get().partitionId(), Counter()
+        encode, part, ranks = encoder(vocabulary_path), TaskContext.get().partitionId(), Counter()
         end = int(end_id).to_bytes(4, "little")
 
-        def rows():
+        def encoded(batches):
             for b in batches:
-                for doc, text in zip(b.column(0), b.column(1)):
-                    ids = encode(text.as_py() or "") + end
-                    n, start, doc = len(ids) // 4, 0, doc.as_py()
-                    view = memoryview(ids)
-                    for length, k in cuts(n, capacity):
-                        yield doc, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), n, k, part, ranks[k]
-                        ranks[k] += 1
-                        start += length
+                for lo in range(0, b.num_rows, 64):
+                    some = b.slice(lo, 64)
+                    yield from zip(some.column(0).to_pylist(), encode([t or "" for t in some.column(1).to_pylist()]))
+
+        def rows():
+            for doc, ids in encoded(batches):
+                ids += end
+                n, start, view = len(ids) // 4, 0, memoryview(ids)
+                for length, k in cuts(n, capacity):
+                    yield doc, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), n, k, part, ranks[k]
+                    ranks[k] += 1
+                    start += length
 
         yield from in_batches(rows(), PIECES)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,12 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+@lru_cache(1)
+def known_words() -> Words:
+    """One table for all tasks of a worker."""
+    return Words()
+
+
 def _vote(bad: bool) -> str:
     """A labeller speaks only against a text; that it finds nothing says little, as each looks for one kind of junk."""
     return BAD if bad else SILENT
@@ -162,7 +169,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit
     rest = docs.drop("votes", "posterior", "score", "kept")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n = Words(), Counter()
+        words, n = known_words(), Counter()
         for b in batches:
             for t in b.column(0):
                 ids = words.of(t.as_py())
@@ -178,7 +185,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit
     bound = min(1.0, fitted / max(1, n))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = known_words()
 
         def out():
             for b in batches:
@@ -201,7 +208,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posterior, w = sent.value
-        words = Words()
+        words = known_words()
         column = names.index(text_col)
         for b in batches:
             out = []
