@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +30,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: A piece may leave this part of its class's share empty; beyond it the document is cut.
 SLACK = 1 / 64
 #: White-space-free chunks whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 def cuts(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> Iterator[tuple[int, int]]:
@@ -52,38 +55,73 @@ def cuts(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> Iterator[tup
         n -= part
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the characters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Remembered(dict):
+    """Values by key in two generations: a full young one becomes the old one, and what is used again moves up."""
+
+    def __init__(self, compute: Callable[[str], bytes], most: int):
+        self.compute, self.most, self.old = compute, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class ChunkEncoder:
-    """Ids of whole texts, chunk by chunk.
+    """Ids of whole texts by the tokenizer's own steps, each done once for what repeats.
 
     The vocabulary drops white space and its normaliser never looks across
-    it, so the ids of a text are those of its chunks between white space.
-    Chunks repeat, so their ids are kept, as little-endian bytes, in two
-    generations: when the young one is full it becomes the old one, and what
-    is used again moves up, so memory is bounded and frequent chunks stay.
+    it, so the ids of a text are those of its chunks between white space; the
+    ids of a chunk are those of the pieces that the vocabulary's pattern cuts
+    it into.  Both are remembered, as little-endian bytes.  Chunks with
+    characters from U+0250 on, whose normal form or lower case may depend on
+    more than one character, and chunks that could hold a special token's
+    string go through the tokenizer as a whole.
     """
 
     def __init__(self, path: str, most: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.piece = regex.compile(json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.letters = _byte_letters()
+        self.pieces = Remembered(self._piece, most)
+        self.chunks = Remembered(self._chunk, most)
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join(map(self.letters.__getitem__, piece.encode()))
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if max(chunk) >= "\u0250" or min(chunk) < "!" or "\x7f" in chunk or "<|" in chunk:
+            return self._whole(chunk)
+        if not chunk.isascii():
+            chunk = unicodedata.normalize("NFC", chunk)
+        return b"".join(map(self.pieces.__getitem__, self.piece.findall(chunk.lower())))
+
+    def _whole(self, chunk: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __call__(self, text: str) -> bytes:
         # str.split also splits at U+001C to U+001F, which the vocabulary has tokens for.
-        chunks = [re.split(r"[ \t-\r]+", t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        if len(self.known) > self.most:
-            self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        new = set().union(*chunks).difference(known)
-        for c in new.intersection(old):
-            known[c] = old[c]
-        new = list(new.difference(old))
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            ids = e.ids
-            known[c] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join(map(known.__getitem__, c)) for c in chunks]
+        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        return b"".join(map(self.chunks.__getitem__, filter(None, re.split(r"[ \t-\r]+", text)) if odd else text.split()))
 
 
 @lru_cache(1)
@@ -102,20 +140,15 @@ def pieces(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID, capacity
         encode, part, ranks = encoder(vocabulary_path), TaskContext.get().partitionId(), Counter()
         end = int(end_id).to_bytes(4, "little")
 
-        def encoded(batches):
-            for b in batches:
-                for lo in range(0, b.num_rows, 64):
-                    some = b.slice(lo, 64)
-                    yield from zip(some.column(0).to_pylist(), encode([t or "" for t in some.column(1).to_pylist()]))
-
         def rows():
-            for doc, ids in encoded(batches):
-                ids += end
-                n, start, view = len(ids) // 4, 0, memoryview(ids)
-                for length, k in cuts(n, capacity):
-                    yield doc, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), n, k, part, ranks[k]
-                    ranks[k] += 1
-                    start += length
+            for b in batches:
+                for doc, text in zip(*b.columns):
+                    doc, ids = doc.as_py(), encode(text.as_py() or "") + end
+                    n, start, view = len(ids) // 4, 0, memoryview(ids)
+                    for length, k in cuts(n, capacity):
+                        yield doc, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), n, k, part, ranks[k]
+                        ranks[k] += 1
+                        start += length
 
         yield from in_batches(rows(), PIECES)
 
