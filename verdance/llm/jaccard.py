@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdance.llm.common import in_batches, mixed, table
@@ -26,7 +26,7 @@ MOST_MATCHES, VERIFY_COST = 4, 32.0
 #: Ids that are sent to every worker at most: 8 MB.
 BROADCAST_IDS = 1_000_000
 #: Words whose hashes a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 
 class _WordHashes(dict):
@@ -193,14 +193,19 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, ids: Da
     return wanted.mapInArrow(run, "id long, tokens array<long>").dropDuplicates(["id"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, label: str) -> DataFrame:
-    """The pairs ``(x, y)`` whose sets have the similarity, by exact intersection."""
+def _compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, label: str, deltas: bool = False) -> DataFrame:
+    """The pairs ``(x, y)`` with ``linked``, by exact intersection; with ``deltas`` also ``n_y`` and what ``y`` has more (``added``) and less (``lacking``) than ``x``."""
     pairs = materialize(pairs.select("x", "y"), f"{label}-asked")
-    sets = materialize(shingle_sets(docs, id_col, text_col, size, pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()), f"{label}-sets")
+    ids = pairs.select("x").union(pairs.select("y")).toDF("id").distinct()
+    sets = materialize(shingle_sets(docs, id_col, text_col, size, ids), f"{label}-sets")
     a = sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx"))
     b = sets.select(F.col("id").alias("y"), F.col("tokens").alias("ty"))
     both = pairs.join(a, "x").join(b, "y").withColumn("common", F.size(F.array_intersect("tx", "ty")))
-    return materialize(both.where(F.col("common") * den >= (F.size("tx") + F.size("ty") - F.col("common")) * num).select("x", "y"), label)
+    linked = (F.col("common") * den >= (F.size("tx") + F.size("ty") - F.col("common")) * num).alias("linked")
+    # Followers are near enough to their leader for their differences to be few.
+    close = F.col("common") * den >= (F.size("tx") + F.size("ty") - F.col("common")) * max(0, 2 * num - den)
+    more = [F.size("ty").alias("n_y"), F.array_except("ty", "tx").alias("added"), F.array_except("tx", "ty").alias("lacking"), close.alias("close")] if deltas else []
+    return materialize(both.select("x", "y", linked, *more), label)
 
 
 def _alike(n1: Column, n2: Column, num: int, den: int) -> Column:
@@ -221,13 +226,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The join is exact, and no group is expanded into pairs:
 
     1. Equal sets are one class with one representative.
-    2. Representatives are joined with the *smallest* holder of each of their
-       prefix tokens and verified; components of these links swallow the large
-       groups of near copies at linear cost.
-    3. Representatives of different components that share as many prefix
-       tokens as the pair's smaller demand are verified.  Pairs inside one
-       component cannot change a component any more and are left out; tokens
-       all of whose holders are in one component are gone before the join.
+    2. Each representative is compared with one leader, the holder of its
+       prefix tokens that shares most; components of these links swallow the
+       large groups of near copies at linear cost.
+    3. Representatives of different components and different leaders that share
+       as many prefix tokens as the pair's smaller demand are verified.
+    4. Those of one leader that is not linked with one of them can only be
+       linked if they share a difference from the leader; such pairs are
+       decided by the number of differences they share.
     """
     sig = signatures(docs, id_col, text_col, size)
     plain = sig.where("kind = 0").select("id", "n", "digest")
@@ -237,29 +243,63 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = materialize(held, "shingle-prefixes")
     posts = held.select("id", "n", "matches", F.explode("prefix").alias("token"))
 
-    # Tokens with more than one holder, and their smallest holder.
-    shared = posts.groupBy("token").agg(F.count("*").alias("holders"), F.min("id").alias("first")).where("holders > 1").select("token", "first")
-    shared = materialize(posts.join(shared, "token"), "shared-tokens")
-    # Only pairs that are likely to be linked: what this round leaves out the next one decides.
-    near = shared.where("id <> first").groupBy("id", "n", "first").agg(F.count("*").alias("common"))
-    near = near.where(F.col("common") * 2 * den >= F.col("n") * (den - num))
-    sizes = held.select(F.col("id").alias("first"), F.col("n").alias("n_first"))
-    stars = near.join(sizes, "first").where(_alike(F.col("n"), F.col("n_first"), num, den)).select(F.col("first").alias("x"), F.col("id").alias("y"))
-    links = _verified(stars, docs, id_col, text_col, size, num, den, "star-links")
-    comp = connected_components(links, "x", "y")
-
-    # Tokens that still meet in different components, and the pairs of components that meet.
-    placed = shared.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "matches", "token", F.coalesce("component", "id").alias("comp"))
-    placed = materialize(placed, "placed-tokens")
-    open_tokens = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    mixed_posts = placed.join(open_tokens, "token", "left_semi")
-    met = mixed_posts.select("token", "comp").distinct()
-    meet = met.select("token", F.col("comp").alias("ca")).join(met.select("token", F.col("comp").alias("cb")), "token").where("ca < cb")
-    one = mixed_posts.select("token", F.col("comp").alias("ca"), F.col("id").alias("ia"), F.col("n").alias("na"), F.col("matches").alias("ma"))
-    two = mixed_posts.select("token", F.col("comp").alias("cb"), F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("matches").alias("mb"))
-    cross = meet.join(one, ["token", "ca"]).join(two, ["token", "cb"]).where(_alike(F.col("na"), F.col("nb"), num, den))
-    pairs = cross.groupBy(F.least("ia", "ib").alias("x"), F.greatest("ia", "ib").alias("y"), F.least("ma", "mb").alias("want")).agg(F.count("*").alias("common")).where("common >= want")
-    more = _verified(pairs, docs, id_col, text_col, size, num, den, "cross-links")
+    # Sets can only be alike if their sizes are, so holders of a token meet by token and size band; alike sizes are in the same band or next to it.
+    band = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
+    shared = posts.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+    shared = materialize(posts.join(shared, "token").withColumn("band", band), "shared-tokens")
+
+    # A token's leader is the holder whose prefix is shared most: a text that others were copied from, if there is one.
+    fame = shared.groupBy("id").agg(F.count("*").alias("met"), F.sum(F.least("holders", F.lit(1 << 20))).alias("meets"))
+    fame = fame.join(held.select("id", F.size("prefix").alias("p")), "id").select("id", F.struct((F.col("met") / F.col("p")).alias("share"), "meets", (-F.col("id")).alias("first")).alias("fame"))
+    leaders = shared.join(fame, "id").groupBy("token", "band").agg(F.max_by(F.struct("id", "n", "matches"), "fame").alias("l")).select("token", "band", F.col("l.id").alias("leader"), F.col("l.n").alias("n_leader"), F.col("l.matches").alias("m_leader"))
+    reach = leaders.select("token", "leader", "n_leader", "m_leader", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    led = shared.join(reach, ["token", "band"]).where("id <> leader").groupBy("id", "n", "leader", "n_leader", F.least("matches", "m_leader").alias("want")).agg(F.count("*").alias("common"))
+    # One leader for each: what this round leaves out the next one decides.
+    led = led.where(_alike(F.col("n"), F.col("n_leader"), num, den) & (F.col("common") >= F.col("want")))
+    stars = led.groupBy("id").agg(F.max_by("leader", F.struct("common", -F.col("leader"))).alias("leader"))
+    stars = _compared(stars.select(F.col("leader").alias("x"), F.col("id").alias("y")), docs, id_col, text_col, size, num, den, "stars", deltas=True)
+    comp = connected_components(stars.where("linked"), "x", "y")
+    home = comp.withColumnRenamed("node", "id")
+    around = stars.where("close").select(F.col("y").alias("id"), F.col("x").alias("center"))
+    placed = shared.join(home, "id", "left").join(around, "id", "left")
+    # A leader that follows nobody is the centre of its own followers, and so is anyone else of none.
+    placed = materialize(placed.select("id", "n", "matches", "token", "band", F.coalesce("component", "id").alias("comp"), F.coalesce("center", "id").alias("center")), "placed-tokens")
+
+    # Different centres: by shared prefix tokens, first centre by centre, so that one centre's followers never meet each other here.
+    wide = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("center").alias("c_lo"), F.max("center").alias("c_hi")).where("lo <> hi and c_lo <> c_hi").select("token")
+    met = placed.join(wide, "token", "left_semi")
+    spots = met.select("token", "band", "center").distinct()
+    near_bands = spots.select("token", F.col("center").alias("ca"), F.col("band").alias("ba"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    pairs_of = near_bands.join(spots.withColumnRenamed("center", "cb"), ["token", "band"]).where("ca <> cb and (ba <> band or ca < cb)").select("token", "ca", "ba", "cb", F.col("band").alias("bb"))
+    one = met.select("token", F.col("center").alias("ca"), F.col("band").alias("ba"), F.col("id").alias("ia"), F.col("n").alias("na"), F.col("matches").alias("ma"), F.col("comp").alias("pa"))
+    two = met.select("token", F.col("center").alias("cb"), F.col("band").alias("bb"), F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("matches").alias("mb"), F.col("comp").alias("pb"))
+    cross = pairs_of.join(one, ["token", "ca", "ba"]).join(two, ["token", "cb", "bb"]).where((F.col("pa") != F.col("pb")) & _alike(F.col("na"), F.col("nb"), num, den))
+    pairs = cross.groupBy(F.least("ia", "ib").alias("x"), F.greatest("ia", "ib").alias("y"), F.least("ma", "mb").alias("want")).agg(F.count("*").alias("common")).where("common >= want").select("x", "y")
+    more = _compared(pairs, docs, id_col, text_col, size, num, den, "cross-pairs").where("linked").select("x", "y")
+
+    # The same centre C: if x is not linked with C and shares none of its differences from C with y, then x and y are not linked:
+    # with c = (1 - t) / (1 + t), |x ^ C| > c (|x| + |C|) and |y| <= |C| + |y ^ C| give |x ^ y| = |x ^ C| + |y ^ C| > c (|x| + |y|).
+    # So only pairs with a shared difference meet.  Linked ones share at least d - c (|x| + |y|) of x's d differences and
+    # |y| <= |x| / t, so they share one among the first differences of both in one order, the rarest first.
+    follow = stars.where("close").select(F.col("y").alias("id"), F.col("x").alias("center"), "linked", F.col("n_y").alias("n"), (F.size("added") + F.size("lacking")).alias("d"), "added", "lacking").join(home, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    follow = materialize(follow, "followers")
+    kept = ("id", "center", "linked", "n", "d", "comp")
+    off = follow.select(*kept, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("added").alias("t")), F.struct(F.lit(1).alias("side"), F.col("lacking").alias("t")))).alias("s")).select(*kept, "s.side", F.explode("s.t").alias("token"))
+    holders = off.groupBy("center", "side", "token").agg(F.count("*").alias("h"), F.count_if(~F.col("linked")).alias("open")).where("h > 1 and open > 0")
+    slack = F.lit((den - num) / (den + num) * (1.0 + den / num) + 1e-9) * F.col("n")
+    least = F.greatest(F.lit(1), F.ceil(F.col("d") - slack)).cast("int")
+    # Differences that nobody shares come first in the order and are as many as are not among those that somebody does.
+    off = off.join(holders, ["center", "side", "token"]).withColumn("after", F.row_number().over(Window.partitionBy("id", "center").orderBy(F.desc("h"), "side", "token"))).where(F.col("after") >= least)
+    ours = off.where("not linked").select("center", "side", "token", F.col("id").alias("ia"), F.col("n").alias("na"), F.col("comp").alias("pa"))
+    theirs = off.select("center", "side", "token", F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("comp").alias("pb"), F.col("linked").alias("lb"))
+    meet = ours.join(theirs, (ours.center == theirs.center) & (ours.side == theirs.side) & (ours.token == theirs.token) & (F.col("pa") != F.col("pb")) & (F.col("lb") | (F.col("ia") < F.col("ib"))) & _alike(F.col("na"), F.col("nb"), num, den))
+    meet = materialize(meet.select(F.col("ia").alias("x"), F.col("ib").alias("y")).distinct(), "difference-pairs")
+    full = lambda v: follow.select(F.col("id").alias(v), F.col("n").alias(f"n{v}"), F.col("d").alias(f"d{v}"), F.col("added").alias(f"a{v}"), F.col("lacking").alias(f"l{v}"))
+    both = meet.join(full("x"), "x").join(full("y"), "y")
+    differ = F.col("dx") + F.col("dy") - 2 * (F.size(F.array_intersect("ax", "ay")) + F.size(F.array_intersect("lx", "ly")))
+    total = F.col("nx") + F.col("ny")
+    same = both.where((total - differ) * den >= (total + differ) * num).select("x", "y")
+    more = materialize(more.unionByName(same), "cross-links")
 
     # Components of components: the nodes left are the first round's.
     comp2 = connected_components(more.join(comp.selectExpr("node as x", "component as cx"), "x", "left").join(comp.selectExpr("node as y", "component as cy"), "y", "left").select(F.coalesce("cx", "x").alias("src"), F.coalesce("cy", "y").alias("dst")))
