@@ -30,7 +30,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: A piece may leave this part of its class's share empty; beyond it the document is cut.
 SLACK = 1 / 64
 #: White-space-free chunks whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def cuts(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> Iterator[tuple[int, int]]:
@@ -99,7 +99,7 @@ class ChunkEncoder:
         self.model = self.tokenizer.model
         self.piece = regex.compile(json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.letters = _byte_letters()
-        self.pieces = Remembered(self._piece, most)
+        self.pieces = Remembered(self._piece, most * 2 // 3)
         self.chunks = Remembered(self._chunk, most)
 
     def _piece(self, piece: str) -> bytes:

@@ -22,7 +22,7 @@ BUCKETS, EPOCHS, RATE, DECAY = 1 << 16, 6, 0.5, 1e-5
 #: A document is kept from this probability of being good on.
 KEEP = 0.5
 ROUNDS = 50
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 _PLAIN = frozenset(".,;:!?'\"()-–—’‘“”«»…¿¡/%€$&")
 
