@@ -38,3 +38,16 @@ def order_violations(sites: DataFrame, chrom: str = "chrom", pos: str = "pos_n",
     seen = sites.withColumn("prev_pos", F.lag(pos).over(w)).withColumn("prev_row", F.lag(row).over(w))
     why = F.when(F.col(pos) <= F.col("prev_pos"), "unsorted_or_duplicate").when(F.col(row) != F.col("prev_row") + 1, "noncontiguous_chromosome")
     return seen.withColumn("violation", why).where("violation is not null").select(chrom, pos, row, "violation")
+
+
+def chromosome_overlaps(sites: DataFrame, chrom: str = "chrom", row: str = "row_index") -> DataFrame:
+    """Chromosomes whose rows mix with another's: row ranges per chromosome, of which there are few, must not overlap."""
+    spans = sites.groupBy(chrom).agg(F.min(row).alias("first_row"), F.max(row).alias("last_row"))
+    before = F.max("last_row").over(Window.orderBy("first_row").rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("before", before).where("first_row <= before").drop("before")
+
+
+def unsorted_positions(sites: DataFrame, chrom: str = "chrom", pos: str = "pos_n", row: str = "row_index") -> DataFrame:
+    """Rows whose position does not rise over the row before on the same chromosome."""
+    w = Window.partitionBy(chrom).orderBy(row)
+    return sites.withColumn("prev_pos", F.lag(pos).over(w)).where(F.col(pos) <= F.col("prev_pos")).select(chrom, pos, row)
