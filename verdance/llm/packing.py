@@ -30,7 +30,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: A piece may leave this part of its class's share empty; beyond it the document is cut.
 SLACK = 1 / 64
 #: White-space-free chunks whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 
 
 def cuts(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> Iterator[tuple[int, int]]:
@@ -109,11 +109,19 @@ class ChunkEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        if max(chunk) >= "\u0250" or min(chunk) < "!" or "\x7f" in chunk or "<|" in chunk:
-            return self._whole(chunk)
-        if not chunk.isascii():
+        pieces = self.pieces
+        if chunk.isascii():
+            if chunk.isalpha():
+                return pieces[chunk.lower()]
+            if chunk[:-1].isalpha() and chunk[-1] in ".,":  # a word and the mark after it, the most frequent other chunk
+                return pieces[chunk[:-1].lower()] + pieces[chunk[-1]]
+            if not chunk.isprintable() or "<|" in chunk:
+                return self._whole(chunk)
+        else:
+            if max(chunk) >= "\u0250" or min(chunk) < "!" or "\x7f" in chunk or "<|" in chunk:
+                return self._whole(chunk)
             chunk = unicodedata.normalize("NFC", chunk)
-        return b"".join(map(self.pieces.__getitem__, self.piece.findall(chunk.lower())))
+        return b"".join(map(pieces.__getitem__, self.piece.findall(chunk.lower())))
 
     def _whole(self, chunk: str) -> bytes:
         return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
