@@ -15,7 +15,7 @@ from verdance.storage import materialize
 
 BITS = 64
 #: Terms that vote in one packed counter; four counters of 16 bits share a long.
-CHUNK = 32_768
+CHUNK = 16_384
 #: Hamming radius of the search, and the blocks a fingerprint is cut into.
 RADIUS, BLOCKS = 3, 6
 #: Cells of the id range that are dealt to the buckets of the neighbour pass: bounds what is broadcast.
@@ -51,7 +51,7 @@ def fingerprints(rows: DataFrame, keys: list[str], text_col: str, out: str) -> D
 
     Every term votes +1 or -1 on each bit by its hash; the sign of the sum is
     the bit (a tie is 0, and so is every bit of a text without terms; a null
-    text is an empty one).  Votes are summed per 32,768 terms in packed
+    text is an empty one).  Votes are summed per 16,384 terms in packed
     counters, then per text, so a text of any length is one small row before
     anything is shuffled and its counters are exact.
     """
