@@ -313,3 +313,12 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``embeddings``, linked at cosine 0.93 inside a label."""
     return near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+OP3_SQL = """
+    WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) > 0),
+    l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+    e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    r AS (SELECT vec_id, vec_id AS reached FROM embeddings UNION SELECT r.vec_id, e.y FROM r JOIN e ON e.x = r.reached),
+    c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id)
+    SELECT c.vec_id, (SELECT count(*) FROM e WHERE e.x = c.vec_id) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c"""

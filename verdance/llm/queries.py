@@ -17,4 +17,4 @@ QUERIES = {
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 
-ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op5_line_dedup": lines.OP5_SQL}
+ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op3_embedding_dedup": hnsw.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op10_ngram_jaccard": jaccard.OP10_SQL}
