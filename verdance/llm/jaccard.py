@@ -279,19 +279,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # The same centre C: if x is not linked with C and shares none of its differences from C with y, then x and y are not linked:
     # with c = (1 - t) / (1 + t), |x ^ C| > c (|x| + |C|) and |y| <= |C| + |y ^ C| give |x ^ y| = |x ^ C| + |y ^ C| > c (|x| + |y|).
-    # So only pairs with a shared difference meet.  Linked ones share at least d - c (|x| + |y|) of x's d differences and
-    # |y| <= |x| / t, so they share one among the first differences of both in one order, the rarest first.
+    # So only pairs with a shared difference meet, of which x is not linked with C.  With dx, dy and s the differences of both
+    # and the shared ones, being linked asks for 2 s >= dx + dy - c (|x| + |y|); as s <= dy, x must share at least
+    # dx - c (|x| + |y|) of its own, and y at least half of the least dx + dy - c (|x| + |y|).  So they share one among the
+    # first differences of both in one order, the rarest first.
     follow = stars.where("close").select(F.col("y").alias("id"), F.col("x").alias("center"), "linked", F.col("n_y").alias("n"), (F.size("added") + F.size("lacking")).alias("d"), "added", "lacking").join(home, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     follow = materialize(follow, "followers")
+    bounds = follow.groupBy("center").agg(F.max("n").alias("n_most"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("d_least")).where("d_least is not null")
+    slack = F.lit((den - num) / (den + num) + 1e-12) * (F.col("n") + F.col("n_most"))
     kept = ("id", "center", "linked", "n", "d", "comp")
-    off = follow.select(*kept, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("added").alias("t")), F.struct(F.lit(1).alias("side"), F.col("lacking").alias("t")))).alias("s")).select(*kept, "s.side", F.explode("s.t").alias("token"))
+    off = follow.join(bounds, "center").withColumn("first_own", F.greatest(F.lit(1), F.ceil(F.col("d") - slack)).cast("int")).withColumn("first_other", F.greatest(F.lit(1), F.ceil((F.col("d_least") + F.col("d") - slack) / 2)).cast("int"))
+    kept = (*kept, "first_own", "first_other")
+    off = off.select(*kept, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("added").alias("t")), F.struct(F.lit(1).alias("side"), F.col("lacking").alias("t")))).alias("s")).select(*kept, "s.side", F.explode("s.t").alias("token"))
     holders = off.groupBy("center", "side", "token").agg(F.count("*").alias("h"), F.count_if(~F.col("linked")).alias("open")).where("h > 1 and open > 0")
-    slack = F.lit((den - num) / (den + num) * (1.0 + den / num) + 1e-9) * F.col("n")
-    least = F.greatest(F.lit(1), F.ceil(F.col("d") - slack)).cast("int")
     # Differences that nobody shares come first in the order and are as many as are not among those that somebody does.
-    off = off.join(holders, ["center", "side", "token"]).withColumn("after", F.row_number().over(Window.partitionBy("id", "center").orderBy(F.desc("h"), "side", "token"))).where(F.col("after") >= least)
-    ours = off.where("not linked").select("center", "side", "token", F.col("id").alias("ia"), F.col("n").alias("na"), F.col("comp").alias("pa"))
-    theirs = off.select("center", "side", "token", F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("comp").alias("pb"), F.col("linked").alias("lb"))
+    off = off.join(holders, ["center", "side", "token"]).withColumn("after", F.row_number().over(Window.partitionBy("id", "center").orderBy(F.desc("h"), "side", "token")))
+    ours = off.where("not linked and after >= first_own").select("center", "side", "token", F.col("id").alias("ia"), F.col("n").alias("na"), F.col("comp").alias("pa"))
+    theirs = off.where("after >= first_other").select("center", "side", "token", F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("comp").alias("pb"), F.col("linked").alias("lb"))
     meet = ours.join(theirs, (ours.center == theirs.center) & (ours.side == theirs.side) & (ours.token == theirs.token) & (F.col("pa") != F.col("pb")) & (F.col("lb") | (F.col("ia") < F.col("ib"))) & _alike(F.col("na"), F.col("nb"), num, den))
     meet = materialize(meet.select(F.col("ia").alias("x"), F.col("ib").alias("y")).distinct(), "difference-pairs")
     full = lambda v: follow.select(F.col("id").alias(v), F.col("n").alias(f"n{v}"), F.col("d").alias(f"d{v}"), F.col("added").alias(f"a{v}"), F.col("lacking").alias(f"l{v}"))
