@@ -49,7 +49,7 @@ class Config:
 
     @property
     def output(self) -> Path:
-        return Path(self.resolve(self.raw.get("outputs_root", self.raw.get("output_root", "genomic_assessment_reproducibility_results"))))
+        return Path(self.resolve(self.raw.get("outputs_root", self.raw.get("output_root", "results"))))
 
     @property
     def quotas(self) -> str:
