@@ -9,8 +9,11 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+BATCH_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1500
+
+
 def ship(spark: SparkSession) -> None:
-    """Add the package's sources to the context's Python files, once per context."""
+    """Add the package's sources to the context's Python files, and bound the rows of Arrow batches, once per context."""
     sc = spark.sparkContext
     if getattr(sc, "_verdance_shipped", False):
         return
@@ -20,4 +23,7 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
     sc.addPyFile(str(where))
+    # Texts are long: batches of the default 10,000 rows would take much of a worker's memory. A smaller setting stays.
+    if int(spark.conf.get(BATCH_ROWS, "10000")) > ROWS:
+        spark.conf.set(BATCH_ROWS, str(ROWS))
     sc._verdance_shipped = True
