@@ -18,7 +18,7 @@ from verdance.operators.components import connected_components
 from verdance.storage import materialize
 
 #: Cells of the frequency sketch, in blocks that are merged independently.
-CELLS, BLOCKS = 1 << 22, 64
+CELLS, BLOCKS = 1 << 21, 64
 #: Partial blocks that one task adds up at most.
 FAN_IN = 128
 #: Matches a prefix may ask for, and the cost of verifying a pair in units of a posting.
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
 
 
 def frequencies(sketch: DataFrame) -> np.ndarray:
-    """The merged sketch as the base-2 logarithm of each cell's count, one byte for each: 4 MB whatever the corpus.
+    """The merged sketch as the base-2 logarithm of each cell's count, one byte for each: 2 MB whatever the corpus.
 
     A count-min sketch of one row over all documents.  Partial blocks are added
     up in groups of at most 128 until one of each is left; a task's share of a
