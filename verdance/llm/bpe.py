@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -14,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdance.llm.common import in_batches, table
+from verdance.llm.common import in_batches, kept_in_worker, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces of text, and pairs of tokens, that a worker remembers.
@@ -168,9 +167,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@lru_cache(2)
 def codec(path: str, pattern: str) -> BytePairCodec:
-    return BytePairCodec(load_ranks(path), pattern)
+    """One for all tasks of a worker."""
+    return kept_in_worker(("bpe", path, pattern), lambda: BytePairCodec(load_ranks(path), pattern))
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

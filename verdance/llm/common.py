@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from verdance.shipping import ship
 
+_kept: dict = {}
+
+
+def kept_in_worker(key: tuple, build: Callable[[], Any]) -> Any:
+    """What a Python worker remembers from task to task: one thing at a time.
+
+    Workers serve one operator after the other; what the last one remembered
+    is dropped when the next one begins, so memory is the largest and not the
+    sum.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
 #: Records of an output batch that Python workers hand back at most.
 OUT_ROWS = 4096
 

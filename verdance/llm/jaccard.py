@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdance.llm.common import in_batches, mixed, table
+from verdance.llm.common import in_batches, kept_in_worker, mixed, table
 from verdance.operators.components import connected_components
 from verdance.storage import materialize
 
@@ -37,10 +36,9 @@ class _WordHashes(dict):
         return h
 
 
-@lru_cache(2)
 def shingler(size: int) -> Shingler:
     """One for all tasks of a worker."""
-    return Shingler(size)
+    return kept_in_worker(("shingles", size), lambda: Shingler(size))
 
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]

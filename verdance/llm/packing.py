@@ -11,7 +11,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdance.llm.common import in_batches, table
+from verdance.llm.common import in_batches, kept_in_worker, table
 from verdance.storage import materialize
 
 CAPACITY = 4096
@@ -30,7 +29,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: A piece may leave this part of its class's share empty; beyond it the document is cut.
 SLACK = 1 / 64
 #: White-space-free chunks whose ids a worker remembers.
-REMEMBERED = 450_000
+REMEMBERED = 400_000
 
 
 def cuts(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> Iterator[tuple[int, int]]:
@@ -132,10 +131,9 @@ class ChunkEncoder:
         return b"".join(map(self.chunks.__getitem__, filter(None, re.split(r"[ \t-\r]+", text)) if odd else text.split()))
 
 
-@lru_cache(1)
 def encoder(path: str) -> ChunkEncoder:
     """One for all tasks of a worker."""
-    return ChunkEncoder(path)
+    return kept_in_worker(("chunks", path), lambda: ChunkEncoder(path))
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("k", pa.int32()), ("part", pa.int32()), ("rank_in_part", pa.int64())])

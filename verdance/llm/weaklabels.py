@@ -5,14 +5,13 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdance.llm.common import in_batches, table
+from verdance.llm.common import in_batches, kept_in_worker, table
 
 BAD, SILENT = "b", "-"
 #: Documents that the linear scorer is fitted on, in expectation; the label model sees all documents.
@@ -60,10 +59,9 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-@lru_cache(1)
 def known_words() -> Words:
     """One table for all tasks of a worker."""
-    return Words()
+    return kept_in_worker(("words",), Words)
 
 
 def _vote(bad: bool) -> str:
