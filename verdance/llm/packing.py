@@ -199,9 +199,9 @@ def harmonic_pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     full = ranked.where("rank div k < n_k div k").join(F.broadcast(base), "k").selectExpr("*", "seq_0 + rank div k as sequence_id")
     full = full.selectExpr("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "cast(sum(length) over (partition by sequence_id order by rank) - length as long) as offset")
     rest = ranked.where("rank div k >= n_k div k").select("doc_id", "start", "length", "ids_crc32", "doc_tokens")
-    n_full = count.groupBy("k").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum(F.expr("n div k")), F.lit(0)).alias("n_full"))
+    n_full = count.groupBy("k").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum(F.expr("n div k")), F.lit(0))).first()[0]
     packed = rest.groupBy(F.lit(0).alias("one")).applyInPandas(_first_fit_decreasing(capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin long, offset long")
-    packed = packed.crossJoin(F.broadcast(n_full)).selectExpr("doc_id", "start", "length", "ids_crc32", "doc_tokens", "n_full + bin as sequence_id", "offset")
+    packed = packed.selectExpr("doc_id", "start", "length", "ids_crc32", "doc_tokens", f"bin + {n_full} as sequence_id", "offset")
     return full.unionByName(packed)
 
 
