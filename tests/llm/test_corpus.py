@@ -265,6 +265,20 @@ def test_language_model_edges(spark, odd, empty):
     assert gru.score_documents(empty).count() == 0
 
 
+def test_every_training_token_is_learned_from(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, prose(rng, rng.choice([3, 40, 900]))) for i in range(300)], "doc_id long, text string")
+    averaged, learned = gru._averaged, []
+
+    def watched(rows):
+        learned.append(sum(r.tokens for r in rows.collect()))
+        return averaged(rows)
+
+    monkeypatch.setattr(gru, "_averaged", watched)
+    got = gru.score_documents(docs).first()
+    assert sum(learned) == got.train_tokens
+
+
 def test_gradient_is_that_of_the_likelihood(monkeypatch):
     rng = np.random.default_rng(0)
     w = gru.Weights.fresh(np.arange(gru.WORDS, 0, -1.0), np.ones(gru.TAILS) * 50)

@@ -31,8 +31,6 @@ HELD = 131_072
 HIDDEN, WINDOW, LANES = 16, 32, 256
 #: Window of scoring, which has nothing to cut: longer ones cost less.
 SCORED_WINDOW = 64
-#: Training windows: one in so many is learned from, the others only carry the state on.
-EVERY = 4
 #: Step sizes; each round trains on its own part of the documents, and the workers' weights are averaged after it.
 RATES = (0.03, 0.02, 0.01, 0.005)
 ADDED = 0.1
@@ -359,16 +357,13 @@ def trained(docs: DataFrame, lexicon, first: Weights) -> Weights:
                 waiting += len(d[1])
             lanes = int(np.clip(waiting // (WINDOW * 100), 8, LANES))
             h = np.zeros((lanes, HIDDEN), np.float32)
-            for i, (_, x, y, mask, fresh, _) in enumerate(windows(longest_first(chain(ahead, source)), lanes, lex.end)):
+            for _, x, y, mask, fresh, _ in windows(longest_first(chain(ahead, source)), lanes, lex.end):
                 h[fresh] = 0
                 live = np.nonzero(mask[:, 0])[0]
-                if i % EVERY == 0:
-                    # A window that few lanes still fill moves the weights as much less.
-                    seen = int(mask.sum())
-                    h[live] = model.learn(x[live], y[live], mask[live], h[live], rate * min(1.0, 2.0 * seen / mask.size))
-                    tokens += seen
-                else:
-                    h[live] = model.states(x[live], h[live], False)[0][-1]
+                # A window that few lanes still fill moves the weights as much less.
+                seen = int(mask.sum())
+                h[live] = model.learn(x[live], y[live], mask[live], h[live], rate * min(1.0, 2.0 * seen / mask.size))
+                tokens += seen
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([model.w.flat.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], names=["weights", "tokens"])
 
