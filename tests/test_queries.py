@@ -24,3 +24,13 @@ def test_queries_without_sql_have_their_rows(spark):
 @pytest.mark.parametrize("name", ["retention_by_maf", "rarefied_overall", "callability_summary", "group_threshold_summary", "alt_state_summary"])
 def test_smallest_tables(spark, name):
     same(QUERIES[name](spark, "/root/testdata/sf0.001"), SQL[name], "/root/testdata/sf0.001")
+
+
+def without_cut(name, cut, whole):
+    """The query's SQL with its cut of the input replaced; the SQL itself stays as it is."""
+    assert cut in SQL[name]
+    return SQL[name].replace(cut, whole)
+
+
+def test_order_check_reads_all_events(spark):
+    same(QUERIES["site_order_check"](spark, FOLDER), without_cut("site_order_check", " WHERE event_id < 2000", ""), FOLDER)
