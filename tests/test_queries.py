@@ -3,6 +3,7 @@
 import pytest
 from compare import same
 
+from verdance.plans.model import Model
 from verdance.plans.oracle import SQL
 from verdance.plans.queries import QUERIES
 
@@ -34,3 +35,15 @@ def without_cut(name, cut, whole):
 
 def test_order_check_reads_all_events(spark):
     same(QUERIES["site_order_check"](spark, FOLDER), without_cut("site_order_check", " WHERE event_id < 2000", ""), FOLDER)
+
+
+def test_segments_come_from_all_events(spark):
+    sql = """WITH s AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey < 100)
+        SELECT 'S' || k AS SampleID, CAST(count(*) FILTER (value * 10 > 4200 AND value * 10 <= 4600) AS VARCHAR) AS NSEG_2_5Mb, CAST(count(*) FILTER (value * 10 > 4600) AS VARCHAR) AS NSEG_gt5Mb
+        FROM s LEFT JOIN events ON user_id % 100 = k GROUP BY k"""
+    same(Model(spark, "/root/testdata/sf0.1").roh, sql, "/root/testdata/sf0.1")
+
+
+@pytest.mark.parametrize("name", ["qc_samples", "qc_by_plan", "qc_repeated_components"])
+def test_quality_reads_all_events(spark, name):
+    same(QUERIES[name](spark, FOLDER), without_cut(name, "e.user_id = s.ord", "e.user_id % 100 = s.ord"), FOLDER)

@@ -116,9 +116,9 @@ class Model:
 
     @property
     def roh(self) -> DataFrame:
-        """``(SampleID, NSEG_2_5Mb, NSEG_gt5Mb)`` from events: a value is a length of as many tens of kilobases."""
+        """``(SampleID, NSEG_2_5Mb, NSEG_gt5Mb)`` from all events, users folded onto the samples: a value is a length of as many tens of kilobases."""
         kb = F.col("value") * 10
-        got = self.table("events").where("user_id < 100").groupBy((F.col("user_id") % 100).cast("int").alias("ord")).agg(F.count_if((kb > 4200) & (kb <= 4600)).alias("m"), F.count_if(kb > 4600).alias("l"))
+        got = self.table("events").groupBy((F.col("user_id") % 100).cast("int").alias("ord")).agg(F.count_if((kb > 4200) & (kb <= 4600)).alias("m"), F.count_if(kb > 4600).alias("l"))
         z = lambda c: F.coalesce(c, F.lit(0)).cast("string")
         return self.samples.join(got, "ord", "left").select(F.col("sample_id").alias("SampleID"), z("m").alias("NSEG_2_5Mb"), z("l").alias("NSEG_gt5Mb"))
 
