@@ -1,11 +1,13 @@
 """Every query over the driver model against its SQL."""
 
+import random
+
 import pytest
 from compare import same
 
 from verdance.plans.model import Model
 from verdance.plans.oracle import SQL
-from verdance.plans.queries import QUERIES
+from verdance.plans.queries import QUERIES, _per_target
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -47,3 +49,26 @@ def test_segments_come_from_all_events(spark):
 @pytest.mark.parametrize("name", ["qc_samples", "qc_by_plan", "qc_repeated_components"])
 def test_quality_reads_all_events(spark, name):
     same(QUERIES[name](spark, FOLDER), without_cut(name, "e.user_id = s.ord", "e.user_id % 100 = s.ord"), FOLDER)
+
+
+@pytest.mark.parametrize("name", ["random_control_hashed", "random_control_hashed_summary"])
+def test_hashed_control_has_all_permutations(spark, name):
+    same(QUERIES[name](spark, FOLDER), without_cut(name, "range(1, 21)", "range(1, 1001)"), FOLDER)
+
+
+def test_replayed_control_has_all_permutations(spark):
+    m = Model(spark, FOLDER)
+    wild = [(r.sample_id, r.region) for r in m.wild.orderBy("ord").collect()]
+    carried = [set(r.carriers) for r in _per_target(m).collect()]
+    rng, want = random.Random(20260620), {}
+    for plan in ("Greedy_Plan_A", "Greedy_Plan_B"):
+        quota = m.quota_of(plan)
+        for _ in range(1000):
+            rng.sample([s for s, _ in wild], sum(quota.values()))
+        for k in range(1, 1001):
+            drawn = {s for region, n in quota.items() for s in rng.sample([s for s, x in wild if x == region], n)}
+            want[plan, k] = sum(not drawn.isdisjoint(c) for c in carried)
+    got = QUERIES["random_control_distribution"](spark, FOLDER)
+    assert got.count() == 2 * 1000 * 5
+    assert {(r.Plan, r.Permutation): r.Recovered_missing_Wild_minor_alleles for r in got.where("Wild_MAF_bin = 'All'").collect()} == want
+    assert {r.Random_N for r in QUERIES["random_control_summary"](spark, FOLDER).collect()} == {1000}

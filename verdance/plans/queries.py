@@ -13,12 +13,13 @@ from verdance.functions.summaries import key_values
 from verdance.functions.text import canonical_region
 from verdance.operators import altstates, callability, checks, control, portfolios, qc, rarefaction, regions, relatedness, representation, selection, validation
 from verdance.plans.model import QUOTAS, WEIGHTS, WILD_REGIONS, Model
-from verdance.plans.oracle import HASHED_N
 from verdance.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Digits after the point that survive other orders of summation.
 DIGITS = 9
+#: Random portfolios per plan, the reference's default.
+PERMUTATIONS = 1000
 
 
 def query(build: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
@@ -264,7 +265,7 @@ def _replayed(m: Model, per: DataFrame) -> DataFrame:
     wild = [(r["sample_id"], r["region"]) for r in m.wild.orderBy("ord").collect()]  # the cohort
     pools = {r: [s for s, x in wild if x == r] for r in WILD_REGIONS}
     plans = {"Greedy_" + p: m.quota_of("Greedy_" + p) for p in QUOTAS}
-    draws = control.replayed_draws([s for s, _ in wild], pools, plans, HASHED_N, 20260620)
+    draws = control.replayed_draws([s for s, _ in wild], pools, plans, PERMUTATIONS, 20260620)
     return control.distribution(per, control.draws_frame(m.spark, draws))
 
 
@@ -282,7 +283,7 @@ def random_control_summary(m: Model) -> DataFrame:
 
 
 def _hashed(m: Model, per: DataFrame) -> DataFrame:
-    return control.distribution(per, control.hashed_draws(m.wild, m.quotas, HASHED_N, 7))
+    return control.distribution(per, control.hashed_draws(m.wild, m.quotas, PERMUTATIONS, 7))
 
 
 @query
