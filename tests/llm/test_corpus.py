@@ -141,6 +141,31 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert hnsw.near_duplicates(df.where("false")).count() == 0
 
 
+def test_recall_is_audited_over_the_whole_label(spark, monkeypatch):
+    from pyspark import cloudpickle
+
+    def lost(x, links, q, entry, ef):
+        """A search that never leaves its entry."""
+        ids, sims = np.full((len(q), ef), -1, np.int64), np.full((len(q), ef), -np.inf, np.float32)
+        ids[:, 0], sims[:, 0] = entry, np.einsum("nd,nd->n", q, x[entry])
+        return ids, sims
+
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(1900, 16))
+    v = np.concatenate([base, base[:80] + 0.01 * rng.normal(size=(80, 16))])
+    rows = [(i, k % 2, x.tolist()) for i, (k, x) in enumerate(zip([*range(1900), *range(80)], v))]
+    rows += [(5000 + i, 2, x.tolist()) for i, x in enumerate(rng.normal(size=(600, 16)))]
+    rows += [(6000, 2, [x * 1.001 + 0.001 for x in rows[-300][2]])]  # a single link, which no audit may meet
+    for name, value in (("SHARD_ROWS", 128), ("BLOCK_ROWS", 64), ("beam", lost)):
+        monkeypatch.setattr(hnsw, name, value)
+    cloudpickle.register_pickle_by_value(hnsw)
+    try:
+        got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(hnsw)
+    assert {r.id: (r.n_links, r.component_id) for r in got} == brute_links(rows)
+
+
 def test_graph_search_finds_neighbours():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 24))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -155,24 +156,31 @@ class Graph:
         return self
 
 
-def linked(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs ``(query, node)`` with a cosine of at least ``threshold`` in double precision.
+def linked(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float, first: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int]]:
+    """Pairs ``(query, node)`` with a cosine of at least ``threshold`` in double precision, and an audit of the first beam.
 
-    Beams start at ``EF`` and double, for queries whose beam holds nothing but
-    links, until it holds something else, and for the whole block until an
+    Beams start at ``first`` and double, for queries whose beam holds nothing
+    but links, until it holds something else, and for the whole block until an
     audit by brute force on every eighth query finds ``RECALL`` of the true
     links.  If the beam would be half of the shard the block is scanned.
-    ``x`` and ``q`` are unit vectors in double precision.
+    ``x`` and ``q`` are unit vectors in double precision; ``own`` is the node
+    that a query is itself, or -1.
+
+    The audit is ``(hits, truths, 1)`` of the first beam over links to others,
+    for the caller to pool, because one block may have few or none; zeros if
+    the block was scanned from the start.
     """
     q32, slack = q.astype(np.float32), threshold - 1e-4
     audit = np.arange(0, len(q), round(1 / AUDITED))
     truth = (q[audit] @ x.T) >= threshold
+    itself = np.nonzero(own[audit] >= 0)[0]
+    truth[itself, own[audit][itself]] = False
 
     def exact(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.nonzero(q[rows] @ x.T >= threshold)
         return rows[a], b
 
-    ef = EF
+    ef, seen = first, (0, 0, 0)
     while 2 * ef < len(x):
         found_q, found_x, todo, wide = [], [], np.arange(len(q)), ef
         while len(todo):
@@ -193,10 +201,13 @@ def linked(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float) -> tupl
         hits = np.zeros(truth.shape, bool)
         sampled = np.isin(a, audit)
         hits[np.searchsorted(audit, a[sampled]), b[sampled]] = True
-        if (hits & truth).sum() >= RECALL * truth.sum():
-            return a, b
+        n_hits, n_true = int((hits & truth).sum()), int(truth.sum())
+        if ef == first:
+            seen = (n_hits, n_true, 1)
+        if n_hits >= RECALL * n_true:
+            return a, b, seen
         ef *= 2
-    return exact(np.arange(len(q)))
+    return *exact(np.arange(len(q))), seen
 
 
 def _unit(packed: bytes, dim: int, dtype: str) -> np.ndarray:
@@ -232,7 +243,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Equal vectors are one node with a count, so copies are never expanded.
     The nodes of a label are dealt to shards of a bounded size, so a hot label
     is many shards; each shard has a graph of its own, and every block of the
-    label's nodes is a query to every shard.  A task gives back counts and a
+    label's nodes is a query to every shard.  The audits of all cells of a label
+    are pooled, and the label is searched again with a doubled beam until the
+    pooled recall is enough.  A task gives back counts and a
     spanning forest of the links it found, never the pairs.  Repeated ids are
     vectors of their own with a common answer for the component.
     """
@@ -281,14 +294,15 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     queries = materialize(dealt.groupBy("label", "dim", "block").applyInPandas(blocked, "label string, dim int, block int, shards int, ids binary, vecs binary"), "vector-queries")
 
     def searched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"id": np.empty(0, np.int64), "links": np.empty(0, np.int64), "root": np.empty(0, np.int64)})
         if left.empty or right.empty:
-            return none
+            return pd.DataFrame([], columns=["id", "links", "root", "label", "dim", "truths", "searched"])
         a, b = left.iloc[0], right.iloc[0]
         dim = int(a["dim"])
         x, q = _unit(a["vecs"], dim, dtype), _unit(b["vecs"], dim, dtype)
         ids, copies, asked = np.frombuffer(a["ids"], np.int64), np.frombuffer(a["copies"], np.int64), np.frombuffer(b["ids"], np.int64)
-        at, to = linked(Graph.restored(x, a["graph"]), x, q, threshold)
+        at_id = np.searchsorted(ids, asked)
+        own = np.where(ids[np.minimum(at_id, len(ids) - 1)] == asked, at_id, -1)
+        at, to, (hits, truths, beams) = linked(Graph.restored(x, a["graph"]), x, q, threshold, int(a["ef"]), own)
         other = asked[at] != ids[to]
         at, to = at[other], to[other]
         links = np.bincount(at, copies[to], len(asked)).astype(np.int64)
@@ -296,12 +310,28 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         root = np.asarray(_forest(zip(where[at].tolist(), where[len(asked) + to].tolist()), len(nodes)))
         moved = np.nonzero(root != np.arange(len(nodes)))[0]
         some = links > 0
-        return pd.DataFrame({"id": np.concatenate([asked[some], nodes[moved]]), "links": np.concatenate([links[some], np.zeros(len(moved), np.int64)]), "root": np.concatenate([asked[some], nodes[root[moved]]])})
+        out = pd.DataFrame({"id": np.concatenate([asked[some], nodes[moved]]), "links": np.concatenate([links[some], np.zeros(len(moved), np.int64)]), "root": np.concatenate([asked[some], nodes[root[moved]]])})
+        out = out.assign(label=a["label"], dim=dim, truths=0, searched=0)
+        # The cell's audit is a row without an id, with the hits in the place of the links.
+        return pd.concat([out, pd.DataFrame([(None, hits, None, a["label"], dim, truths, beams)], columns=out.columns)]).astype({"id": "Int64", "root": "Int64"})
 
     key = ["label", "dim", "shard", "block"]
-    to_blocks = index.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks").groupBy(*key)
-    to_shards = queries.withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))).drop("shards").groupBy(*key)
-    found = materialize(to_blocks.cogroup(to_shards).applyInPandas(searched, "id long, links long, root long"), "vector-links")
+    todo, asks, done_links = index.withColumn("ef", F.lit(EF)), queries, []
+    while True:
+        to_blocks = todo.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks").groupBy(*key)
+        to_shards = asks.withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))).drop("shards").groupBy(*key)
+        part = materialize(to_blocks.cogroup(to_shards).applyInPandas(searched, "id long, links long, root long, label string, dim int, truths long, searched long"), "vector-links")
+        # One beam serves all cells of a label, so their audits are one sample; a label without a sampled link proves nothing and is scanned.
+        audits = part.where("id is null").groupBy("label", "dim").agg(F.sum("links").alias("hits"), F.sum("truths").alias("truths"), F.sum("searched").alias("searched"))
+        poor = materialize(audits.where((F.col("searched") > 0) & ((F.col("truths") == 0) | (F.col("hits") < RECALL * F.col("truths")))).select("label", "dim", "truths"), "vector-audits")
+        part = part.where("id is not null")
+        if poor.isEmpty():
+            done_links.append(part)
+            break
+        done_links.append(part.join(poor, ["label", "dim"], "left_anti"))
+        todo = todo.join(poor, ["label", "dim"]).withColumn("ef", F.when(F.col("truths") == 0, F.lit(1 << 29)).otherwise(F.col("ef") * 2)).drop("truths")
+        asks = asks.join(poor.drop("truths"), ["label", "dim"])
+    found = reduce(DataFrame.unionByName, [x.select("id", "links", "root") for x in done_links])
     links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     comp = connected_components(found, "id", "root").withColumnsRenamed({"node": "rep"})
     done = nodes.join(links, "rep", "left").join(comp, "rep", "left").select("label", "dim", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
