@@ -304,6 +304,11 @@ def test_every_training_token_is_learned_from(spark, monkeypatch):
     assert sum(learned) == got.train_tokens
 
 
+def test_softmax_covers_half_of_the_tokens(spark):
+    counts = gru.word_counts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("word <> ''").toPandas().c.sort_values(ascending=False)
+    assert counts[: gru.WORDS].sum() > 0.5 * counts.sum() and gru.TAILS >= 64
+
+
 def test_gradient_is_that_of_the_likelihood(monkeypatch):
     rng = np.random.default_rng(0)
     w = gru.Weights.fresh(np.arange(gru.WORDS, 0, -1.0), np.ones(gru.TAILS) * 50)

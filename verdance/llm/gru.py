@@ -24,7 +24,7 @@ from verdance.llm.common import in_batches, table
 from verdance.storage import materialize
 
 #: Frequent words that are symbols, words of an output class, spelling classes of the others.
-WORDS, PER_CLASS, TAILS = 512, 32, 32
+WORDS, PER_CLASS, TAILS = 4096, 64, 64
 #: Words whose counts every worker holds; all rarer ones meet their counts in a join.
 HELD = 131_072
 #: Units; tokens of a window, after which backpropagation is cut and the state goes on; documents read side by side.
