@@ -228,7 +228,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        prefix tokens that shares most; components of these links swallow the
        large groups of near copies at linear cost.
     3. Representatives of different components and different leaders that share
-       as many prefix tokens as the pair's smaller demand are verified.
+       as many prefix tokens as the pair's smaller demand are verified; a shared
+       token counts only where its places leave room for the rest of the needed
+       overlap.
     4. Those of one leader that is not linked with one of them can only be
        linked if they share a difference from the leader; such pairs are
        decided by the number of differences they share.
@@ -239,7 +241,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     logs = frequencies(sig.where("kind = 1"))
     held = prefixes(docs, id_col, text_col, size, num, den, logs).join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     held = materialize(held, "shingle-prefixes")
-    posts = held.select("id", "n", "matches", F.explode("prefix").alias("token"))
+    # ``room``: how many tokens of the set come after this one.
+    posts = held.select("id", "n", "matches", F.posexplode("prefix").alias("at", "token")).select("id", "n", "matches", "token", (F.col("n") - F.col("at") - 1).alias("room"))
 
     # Sets can only be alike if their sizes are, so holders of a token meet by token and size band; alike sizes are in the same band or next to it.
     band = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
@@ -261,18 +264,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     around = stars.where("close").select(F.col("y").alias("id"), F.col("x").alias("center"))
     placed = shared.join(home, "id", "left").join(around, "id", "left")
     # A leader that follows nobody is the centre of its own followers, and so is anyone else of none.
-    placed = materialize(placed.select("id", "n", "matches", "token", "band", F.coalesce("component", "id").alias("comp"), F.coalesce("center", "id").alias("center")), "placed-tokens")
+    placed = materialize(placed.select("id", "n", "matches", "token", "room", "band", F.coalesce("component", "id").alias("comp"), F.coalesce("center", "id").alias("center")), "placed-tokens")
 
     # Different centres: by shared prefix tokens, first centre by centre, so that one centre's followers never meet each other here.
+    # Linked sets share at least o = num / (num + den) * (n1 + n2) tokens, of which all but ``want`` come after each of the first ``want``
+    # in both orders: a token counts for a pair only if o <= room + want on either side, and a pair of centres only if enough tokens do.
     wide = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("center").alias("c_lo"), F.max("center").alias("c_hi")).where("lo <> hi and c_lo <> c_hi").select("token")
     met = placed.join(wide, "token", "left_semi")
-    spots = met.select("token", "band", "center").distinct()
-    near_bands = spots.select("token", F.col("center").alias("ca"), F.col("band").alias("ba"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    pairs_of = near_bands.join(spots.withColumnRenamed("center", "cb"), ["token", "band"]).where("ca <> cb and (ba <> band or ca < cb)").select("token", "ca", "ba", "cb", F.col("band").alias("bb"))
-    one = met.select("token", F.col("center").alias("ca"), F.col("band").alias("ba"), F.col("id").alias("ia"), F.col("n").alias("na"), F.col("matches").alias("ma"), F.col("comp").alias("pa"))
-    two = met.select("token", F.col("center").alias("cb"), F.col("band").alias("bb"), F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("matches").alias("mb"), F.col("comp").alias("pb"))
-    cross = pairs_of.join(one, ["token", "ca", "ba"]).join(two, ["token", "cb", "bb"]).where((F.col("pa") != F.col("pb")) & _alike(F.col("na"), F.col("nb"), num, den))
-    pairs = cross.groupBy(F.least("ia", "ib").alias("x"), F.greatest("ia", "ib").alias("y"), F.least("ma", "mb").alias("want")).agg(F.count("*").alias("common")).where("common >= want").select("x", "y")
+    far = F.max(F.col("room") + F.col("matches")).alias("far")
+    spots = met.groupBy("token", "band", "center").agg(F.min("n").alias("least"), F.max("n").alias("most"), far, F.min("matches").alias("want"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    side = lambda df, v, *names: df.select("token", *[F.col(c).alias(c + v) for c in ("center", "band", *names)])
+    spot = ("least", "most", "far", "want", "lo", "hi")
+    near_bands = side(spots, "_a", *spot).withColumn("band_b", F.explode(F.array(F.col("band_a"), F.col("band_a") + 1)))
+    apart = (F.col("center_a") != F.col("center_b")) & ((F.col("band_a") != F.col("band_b")) | (F.col("center_a") < F.col("center_b"))) & ~((F.col("lo_a") == F.col("hi_b")) & (F.col("hi_a") == F.col("lo_b")))
+
+    def meets(x: str, y: str, least_x: str, most_x: str, least_y: str, most_y: str, room: Column) -> Column:
+        """Whether sets with sizes in these ranges and a token that has so much room can be alike."""
+        n = F.col(least_x + x) + F.col(least_y + y)
+        return (F.col(least_x + x) * num <= F.col(most_y + y) * den) & (F.col(least_y + y) * num <= F.col(most_x + x) * den) & (n * num <= room * (num + den))
+
+    pairs_of = near_bands.join(side(spots, "_b", *spot), ["token", "band_b"]).where(apart & meets("_a", "_b", "least", "most", "least", "most", F.least("far_a", "far_b")))
+    both_sides = Window.partitionBy("center_a", "band_a", "center_b", "band_b")
+    pairs_of = pairs_of.withColumn("shared", F.count("*").over(both_sides)).withColumn("want", F.min(F.least("want_a", "want_b")).over(both_sides)).where("shared >= want")
+    pairs_of = pairs_of.select("token", "center_a", "band_a", "center_b", "band_b", "least_b", "most_b", "far_b")
+    member = ("id", "n", "matches", "room", "comp")
+    one = side(met, "_a", *member)
+    cross = pairs_of.join(one, ["token", "center_a", "band_a"]).where(meets("_a", "_b", "n", "n", "least", "most", F.least(F.col("room_a") + F.col("matches_a"), "far_b")))
+    cross = cross.drop("least_b", "most_b", "far_b").join(side(met, "_b", *member), ["token", "center_b", "band_b"])
+    want = F.least("matches_a", "matches_b")
+    cross = cross.where((F.col("comp_a") != F.col("comp_b")) & meets("_a", "_b", "n", "n", "n", "n", F.least("room_a", "room_b") + want))
+    pairs = cross.groupBy(F.least("id_a", "id_b").alias("x"), F.greatest("id_a", "id_b").alias("y"), want.alias("want")).agg(F.count("*").alias("common")).where("common >= want").select("x", "y")
     more = _compared(pairs, docs, id_col, text_col, size, num, den, "cross-pairs").where("linked").select("x", "y")
 
     # The same centre C: if x is not linked with C and shares none of its differences from C with y, then x and y are not linked:
