@@ -187,11 +187,104 @@ def test_quality_on_labels(spark):
     assert good.kept.mean() > 0.998 and bad.kept.mean() < 0.03
 
 
+def plain_votes(text):
+    """The labellers as loops over words."""
+    words = text.split()
+    n = len(words)
+    letters = [sum(c.isalpha() for c in w) for w in words]
+    symbols = [sum(not c.isalnum() and (c not in weaklabels._PLAIN or w.count(c) > 1 and c not in ".-'") for c in w) for w in words]
+    upper, chars = sum(c.isupper() for w in words for c in w), sum(map(len, words))
+    k = max(1, n // 100)
+    firsts, seen = 0, set()
+    for i, w in enumerate(words):
+        if i and i * k // n != (i - 1) * k // n:
+            seen = set()
+        firsts += w not in seen
+        seen.add(w)
+    varied, short = firsts / n, sum(0 < x <= 3 for x in letters) / n
+    repeats, top = sum(a == b for a, b in zip(words, words[1:])) / n, max(collections.Counter(words).values()) / n
+    bad = [
+        n >= 8 and repeats >= 0.2, n >= 8 and top >= 0.35, n >= 30 and varied <= 0.25, sum(letters) >= 20 and upper >= 0.5 * sum(letters), n >= 8 and sum("!!" in w for w in words) / n >= 0.2,
+        n >= 8 and sum(symbols) >= 0.08 * chars, n >= 8 and sum(x > 0 for x in symbols) / n >= 0.3, n >= 8 and sum(x == 0 for x in letters) / n >= 0.25, n >= 30 and short <= 0.03,
+    ]
+    good = {2: n >= 30 and varied >= 0.55, 5: n >= 30 and sum(symbols) <= 0.01 * chars, 8: n >= 30 and 0.15 <= short <= 0.6}
+    return "".join("b" if b else "g" if good.get(j) else "-" for j, b in enumerate(bad))
+
+
+def plain_posterior(patterns):
+    """Expectation maximisation, pattern by pattern and kind by kind."""
+    n, two = len(weaklabels.LABELLERS), (2, 5, 8)
+    kinds, belief = range(n + 1), {}
+    for p in patterns:
+        start = [float("b" not in p)] + [float(c == "b") for c in p]
+        belief[p] = [x / sum(start) * 0.98 + 0.02 / (n + 1) for x in start]
+    for _ in range(weaklabels.ROUNDS):
+        mass = [sum(c * belief[p][k] for p, c in patterns.items()) for k in kinds]
+        share = [(m + 1) / (sum(mass) + n + 1) for m in mass]
+        has = lambda p, j: p[j] != "-" or j not in two
+        rate = [[(sum(c * belief[p][k] for p, c in patterns.items() if p[j] == "b") + 0.05) / (sum(c * belief[p][k] for p, c in patterns.items() if has(p, j)) + 0.1) for j in range(n)] for k in kinds]
+        for p in patterns:
+            like = [share[k] * math.prod(rate[k][j] if p[j] == "b" else 1 - rate[k][j] for j in range(n) if has(p, j)) for k in kinds]
+            belief[p] = [x / sum(like) for x in like]
+    return {p: b[0] for p, b in belief.items()}
+
+
+def test_quality_query_against_brute_force(spark):
+    """Votes, posteriors and scores of the query, recomputed in plain loops; on this table every text is fitted on."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("doc_id", "text", "xxhash64(doc_id, text) as h").collect()
+    got = {r.doc_id: r for r in QUERIES["op4_quality"](spark, FOLDER).collect()}
+    texts = {r.doc_id: r.text for r in docs}
+    votes = {i: plain_votes(t) for i, t in texts.items() if (t or "").split()}
+    posterior = plain_posterior(collections.Counter(votes.values()))
+    table = weaklabels.Words()
+    features = {}
+    for i in votes:
+        words = texts[i].split()
+        n, at = len(words), {w: table[w] for w in set(words)}
+        facts = {w: table.facts[k] for w, k in at.items()}
+        shape = collections.Counter(int(facts[w][6]) for w in words)
+        kept = [(b, c / n) for b, c in shape.items()] + [(int(facts[w][7]), 0.3 * c / n) for w, c in collections.Counter(words).items()]
+        extra = weaklabels.read_document(table.of(texts[i]), table.facts)[2][-7:]
+        features[i] = [(b, float(np.float32(v))) for b, v in kept] + [(int(b), float(v)) for b, v in zip(weaklabels._EXTRA, extra)]
+    w, g, bias, g_bias = collections.defaultdict(float), collections.defaultdict(lambda: 1e-2), 0.0, 1e-2
+    sig = lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+    order = [r.doc_id for r in sorted((r for r in docs if r.doc_id in votes), key=lambda r: r.h)]
+    for _ in range(weaklabels.EPOCHS):
+        for i in order:
+            err = sig(sum(w[b] * v for b, v in features[i]) + bias) - posterior[votes[i]]
+            grad = [(b, err * v + weaklabels.DECAY * w[b]) for b, v in features[i]]
+            for b, d in grad:
+                g[b] += d * d
+            for b, d in grad:
+                w[b] -= weaklabels.RATE * d / math.sqrt(g[b])
+            g_bias += err * err
+            bias -= weaklabels.RATE * err / math.sqrt(g_bias)
+    assert got.keys() == texts.keys()
+    for i, r in got.items():
+        if i not in votes:
+            assert (r.votes, r.posterior, r.score, r.kept) == (None, None, 0.0, False)
+            continue
+        score = sig(sum(w[b] * v for b, v in features[i]) + bias)
+        assert r.votes == votes[i] and abs(r.posterior - posterior[votes[i]]) < 1e-6 and abs(r.score - score) < 1e-3 and (r.kept == (score >= 0.5) or abs(score - 0.5) < 1e-3)
+
+
+def test_quality_has_no_length_cap(spark):
+    rng = random.Random(12)
+    junk = " ".join(rng.choice(["buy", "cheap", "now", "here", "deal"]) for _ in range(60_000))
+    ids = weaklabels.known_words().of(junk)
+    assert weaklabels.read_document(ids, weaklabels.known_words().facts)[0][2] == "b"
+    ids = weaklabels.known_words().of(" ".join(prose(rng, 100) for _ in range(300)))
+    assert weaklabels.read_document(ids, weaklabels.known_words().facts)[0][2] == "g"  # prose of any length repeats its words, but not at once
+
+
 def test_quality_edges(spark, odd, empty):
     clash = odd.withColumnRenamed("extra", "votes").withColumnRenamed("source", "kept")
     got = weaklabels.quality(clash).collect()
     assert len(got) == 10 and set(got[0].asDict()) == {"doc_id", "text", "votes", "posterior", "score", "kept"}
     assert all((r.score == 0.0) and not r.kept for r in got if not (r.text or "").split())
+    own = weaklabels.quality(clash, prefix="_")
+    assert sorted(map(str, own.select(*clash.columns).collect())) == sorted(map(str, clash.collect()))
+    assert own.columns == [*clash.columns, "_votes", "_posterior", "_score", "_kept"]
     assert weaklabels.quality(empty).count() == 0
     assert weaklabels.label_model({})[0] == {}
 
@@ -202,7 +295,7 @@ def test_label_model_recovers_accuracies():
     for _ in range(20_000):
         bad = rng.random() < 0.2
         kind = rng.randrange(3)
-        votes = "".join(("b" if rng.random() < (0.9 if bad and j % 3 == kind else 0.002) else "-") for j in range(n))
+        votes = "".join("b" if rng.random() < (0.9 if bad and j % 3 == kind else 0.002) else "g" if weaklabels.TWO_SIDED[j] else "-" for j in range(n))
         counts[votes] += 1
         truth.setdefault(votes, []).append(bad)
     posterior, rates, share = weaklabels.label_model(counts)
@@ -214,18 +307,53 @@ def test_label_model_recovers_accuracies():
 # 5 lines
 
 
-def test_line_dedup(spark, odd, empty):
+def brute_lines(rows, min_sites=lines.MIN_SITES, keep_whole_copies=False):
+    """``(text, n_lines, n_removed)`` of each row ``(id, text, site)``."""
+    cut = [None if t is None else t.split("\n") for _, t, _ in rows]
+    own = [[x.strip(" \t\r\f\v") for x in c or []] for c in cut]
+    sites, first, holders = collections.defaultdict(set), {}, collections.defaultdict(set)
+    for (i, _, site), c in zip(rows, own):
+        for x in c:
+            sites[x].add(site or "")
+            if i is not None:
+                first[x] = min(first.get(x, i), i)
+        holders[frozenset(c) - {""}].add(i)
+    hot, out = {x for x in sites if x and len(sites[x]) >= min_sites}, []
+    for (i, t, _), c, o in zip(rows, cut, own):
+        solid = {x for x in o if x}
+        stays = i is None or (keep_whole_copies and solid <= hot and len(holders[frozenset(solid)] - {None}) > 1)
+        gone = [not stays and x in hot and i > first[x] for x in o]
+        out.append((None if t is None else "\n".join(x for x, g in zip(c, gone) if not g), sum(map(bool, o)), sum(gone)))
+    return out
+
+
+@pytest.mark.parametrize("keep", [False, True])
+def test_line_dedup(spark, odd, empty, keep):
+    rng = random.Random(3)
     rows = [(i, f"own line {i}\n  All rights reserved. \nmore {i}", f"s{i}", "x") for i in range(8)]
     rows += [(20 + i, "whole copy\nsecond", f"s{i}", "x") for i in range(8)]
     rows += [(40 + i, f"five sites {i % 5}\nshared by five", f"s{i % 5}", "x") for i in range(20)]
-    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got[0].text == rows[0][1] and got[0].n_removed == 0
-    assert all(got[i].text == f"own line {i}\nmore {i}" and got[i].n_removed == 1 and got[i].n_lines == 3 for i in range(1, 8))
-    assert all(got[20 + i].text == "whole copy\nsecond" for i in range(8))
-    assert all(got[40 + i].n_removed == 0 for i in range(20))
-    same_rows = lines.dedup_lines(odd.withColumnRenamed("extra", "n_removed"))
-    assert sorted(map(str, same_rows.select("doc_id", "text").collect())) == sorted(map(str, odd.select("doc_id", "text").collect()))
-    assert lines.dedup_lines(empty).count() == 0
+    rows += [(60 + i, "menu\nterms", f"s{i}", "x") for i in range(7)] + [(70 + i, "menu\nterms\n" * 2 + f"own {i}", f"s{i}", "x") for i in range(3)] + [(75, "menu", "s1", "x")]
+    # Repeated rows and equal ids with other texts, boilerplate in both.
+    rows += [(5, "A\nB\nAll rights reserved.\nD\nE", "s1", "x"), (5, "All rights reserved.", "s2", "x"), (5, "A\nmenu", "s2", "x")]
+    rows += [(90, "mine\nAll rights reserved.", "s3", "x")] * 3 + [(20, "whole copy\nsecond", "s9", "x"), (None, "menu\nterms", "s4", "x"), (None, "menu", None, "x")]
+    rows += [(100 + i, "\n".join(rng.choice(["menu", "terms", "", " menu\t", f"x{rng.randrange(5)}", f"u{i}"]) for _ in range(rng.randrange(6))), f"s{rng.randrange(9)}", "x") for i in range(60)]
+    rows += [tuple(r) for r in odd.collect()]
+    got = sorted((r.doc_id is None, r.doc_id, str(r.text), r.n_lines, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, DOCS), keep_whole_copies=keep).collect())
+    want = sorted((r[0] is None, r[0], str(t), n, k) for r, (t, n, k) in zip(rows, brute_lines([r[:3] for r in rows], keep_whole_copies=keep)))
+    assert [str(x) for x in got] == [str(x) for x in want]
+    clash = lines.dedup_lines(odd.withColumnRenamed("extra", "n_removed"), prefix="_")
+    assert sorted(map(str, clash.select(*DOCS_NOW).collect())) == sorted(map(str, odd.withColumnRenamed("extra", "n_removed").select(*DOCS_NOW).collect()))
+    assert lines.dedup_lines(empty, keep_whole_copies=keep).count() == 0
+
+
+DOCS_NOW = ("doc_id", "text", "n_removed")
+
+
+def test_line_query_on_repeated_rows(spark, odd, tmp_path):
+    rows = [(i, f"own {i}\nfooter\nmore", f"s{i}", "x") for i in range(7)] + [(3, "own\nfooter", "s1", "x")] * 3 + [(4, "footer", "s2", "x"), (8, "footer\n\nx", None, "x")]
+    spark.createDataFrame(rows, DOCS).union(odd.where("doc_id is not null")).write.parquet(f"{tmp_path}/documents.parquet")
+    same(QUERIES["op5_line_dedup"](spark, str(tmp_path)), ORACLE_SQL["op5_line_dedup"], str(tmp_path))
 
 
 # 6 sharding
@@ -472,6 +600,16 @@ def test_jaccard_query_and_edges(spark, odd, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_same_boilerplate_in_many_texts(spark):
+    """Texts that are mostly one passage share its tokens without being alike; some are."""
+    rng = random.Random(7)
+    passage = prose(rng, 60).split()
+    docs = [(i, " ".join(passage[: rng.choice([40, 50, 60])] + prose(rng, rng.choice([0, 2, 5, 9, 14, 30])).split())) for i in range(250)]
+    for size, num in ((3, 90), (5, 80)):
+        got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), size=size, num=num, den=100).collect()}
+        assert got == brute_components(docs, size, num, 100)
+
+
 # the pipeline
 
 

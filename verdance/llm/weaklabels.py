@@ -10,10 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from verdance.llm.common import in_batches, kept_in_worker, table
+from verdance.llm.common import kept_in_worker, table
+from verdance.storage import materialize
 
-BAD, SILENT = "b", "-"
+BAD, GOOD, SILENT = "b", "g", "-"
 #: Documents that the linear scorer is fitted on, in expectation; the label model sees all documents.
 FITTED = 6000
 #: Hashed features, passes over the fitted documents, step size, weight decay.
@@ -21,6 +23,8 @@ BUCKETS, EPOCHS, RATE, DECAY = 1 << 16, 6, 0.5, 1e-5
 #: A document is kept from this probability of being good on.
 KEEP = 0.5
 ROUNDS = 50
+#: Words of the windows in which distinct ones are counted, and records that a worker hands back at once.
+WINDOW, OUT_ROWS = 100, 512
 REMEMBERED = 150_000
 
 _PLAIN = frozenset(".,;:!?'\"()-–—’‘“”«»…¿¡/%€$&")
@@ -64,18 +68,28 @@ def known_words() -> Words:
     return kept_in_worker(("words",), Words)
 
 
-def _vote(bad: bool) -> str:
-    """A labeller speaks only against a text; that it finds nothing says little, as each looks for one kind of junk."""
-    return BAD if bad else SILENT
+def _vote(bad: bool, good: bool = False) -> str:
+    """A labeller speaks against a text, some also for one; that it finds no junk of its kind says little by itself."""
+    return BAD if bad else GOOD if good else SILENT
 
 
 #: The labellers, in the order of their votes.
 LABELLERS = ("repeats", "top_word", "few_distinct", "shouting", "exclaims", "symbols", "symbol_words", "bare_tokens", "no_short_words")
+#: Those that also speak for a text. Where they are silent, as on short texts, they have no opinion.
+TWO_SIDED = np.array([name in ("few_distinct", "symbols", "no_short_words") for name in LABELLERS])
 
 
 _EXTRA = np.array([zlib.crc32(k) % BUCKETS for k in (b"#repeats", b"#top", b"#upper", b"#symbols", b"#bare", b"#long", b"#exclaims")])
 
 
+def distinct_in_windows(ids: np.ndarray, distinct: int) -> float:
+    """Share of words that are the first of their kind in their window; a text is cut into equal windows of ``WINDOW`` words or, at its ends, up to twice as many."""
+    n, k = len(ids), len(ids) // WINDOW
+    if k < 2:
+        return distinct / n
+    return len(np.unique(np.arange(n) * k // n * (1 << 32) + ids)) / n
+
+
 def read_document(ids: np.ndarray, facts: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
     """Votes of all labellers on a text's words, and its hashed features with their values."""
     n = len(ids)
@@ -87,17 +101,18 @@ def read_document(ids: np.ndarray, facts: np.ndarray) -> tuple[str, np.ndarray,
     short, exclaims = (times @ rows[:, 4:6] / n).tolist()
     odd, bare = float(times @ (rows[:, 0] > 0) / n), float(times @ (rows[:, 2] == 0) / n)
     repeats, top = float((ids[1:] == ids[:-1]).sum() / n), float(times.max() / n)
-    enough = n >= 8
+    varied = distinct_in_windows(ids, len(distinct))
+    enough, long = n >= 8, n >= 30
     votes = [
         _vote(enough and repeats >= 0.2),
         _vote(enough and top >= 0.35),
-        _vote(30 <= n <= 5000 and len(distinct) <= 0.15 * n),
+        _vote(long and varied <= 0.25, long and varied >= 0.55),
         _vote(letters >= 20 and upper >= 0.5 * letters),
         _vote(enough and exclaims >= 0.2),
-        _vote(enough and symbols >= 0.08 * chars),
+        _vote(enough and symbols >= 0.08 * chars, long and symbols <= 0.01 * chars),
         _vote(enough and odd >= 0.3),
         _vote(enough and bare >= 0.25),
-        _vote(n >= 30 and short <= 0.03),
+        _vote(long and short <= 0.03, long and 0.15 <= short <= 0.6),
     ]
     shapes, where = np.unique(rows[:, 6], return_inverse=True)
     more = np.array([repeats, top, upper / max(1, letters), min(1.0, 5 * symbols / chars), bare, 1.0 - short, exclaims])
@@ -106,30 +121,36 @@ def read_document(ids: np.ndarray, facts: np.ndarray) -> tuple[str, np.ndarray,
 
 
 def label_model(patterns: dict[str, int], rounds: int = ROUNDS) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
-    """Posterior of good for each vote pattern, how often each labeller speaks by hidden kind, and the kinds' shares.
+    """Posterior of good for each vote pattern, how often each labeller objects by hidden kind, and the kinds' shares.
 
     A text is good or of one of several kinds of junk, one for each labeller to
     begin with, because labellers that look for one kind are silent on the
     others; two classes with independent labellers would take a rare kind for
-    good.  Given the kind the labellers are independent: row 0 of the returned
-    rates are their false alarms on good texts, the others their hit rates.
-    Expectation maximisation runs over the counts of patterns, which stand for
-    all documents.  It starts from a plain reading of the votes: good where
-    nobody speaks, else one of the kinds that somebody speaks for.
+    good.  Given the kind the labellers are independent.  The returned rates are
+    ``[kind, labeller]``: how often a labeller objects, of the texts that it has
+    an opinion on; the silence of one that only ever objects is an opinion.
+    Row 0 are the false alarms on good texts, the others the hits on a kind of
+    junk.  Expectation maximisation runs over the counts of patterns,
+    which stand for all documents.  It starts from a plain reading of the
+    votes: good where nobody objects, else one of the kinds that somebody
+    objects to.
     """
     keys = sorted(patterns)
     n = len(LABELLERS)
     if not keys:
         return {}, np.zeros((n + 1, n)), np.zeros(n + 1)
     said = np.array([[c == BAD for c in k] for k in keys], np.float64)
+    held = np.array([[c != SILENT for c in k] for k in keys], np.float64)
+    held[:, ~TWO_SIDED] = 1.0
     weight = np.array([patterns[k] for k in keys], np.float64)
     belief = np.column_stack([said.sum(1) == 0, said])
     belief = belief / belief.sum(1, keepdims=True) * 0.98 + 0.02 / (n + 1)
     for _ in range(rounds):
         mass = weight @ belief
         share = (mass + 1.0) / (mass.sum() + n + 1.0)
-        rate = ((belief * weight[:, None]).T @ said + 0.05) / (mass[:, None] + 0.1)
-        log = np.log(share) + said @ np.log(rate).T + (1 - said) @ np.log(1 - rate).T
+        part = (belief * weight[:, None]).T
+        rate = (part @ said + 0.05) / (part @ held + 0.1)
+        log = np.log(share) + said @ np.log(rate).T + (held - said) @ np.log(1 - rate).T
         belief = np.exp(log - log.max(1, keepdims=True))
         belief /= belief.sum(1, keepdims=True)
     return dict(zip(keys, belief[:, 0].tolist())), rate, share
@@ -149,82 +170,73 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) ->
     return w
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fitted: int = FITTED, keep: float = KEEP) -> DataFrame:
-    """``docs`` with ``votes``, ``posterior``, ``score`` and ``kept``; columns of these names are replaced.
+def scores(w: np.ndarray, at: np.ndarray, value: np.ndarray) -> float:
+    return float(1.0 / (1.0 + np.exp(-np.clip(w[at] @ value + w[-1], -30, 30))))
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fitted: int = FITTED, keep: float = KEEP, columns: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """``columns`` of ``docs`` (all if None) with ``votes``, ``posterior``, ``score`` and ``kept``, whose names begin with ``prefix``.
 
     ``posterior`` is the label model's probability of good for the row's
     votes, ``score`` the linear scorer's, ``kept`` whether it is at least
     ``keep``.  A null text and one without words get no votes and the score 0,
     and are not kept.  The label model's counts cover all rows; the scorer is
     fitted on the rows whose hash of id and text falls under a bound that lets
-    ``fitted`` of them pass in expectation, whatever the corpus size.  Rows with
-    equal texts get equal scores.  Without rows, or without a text, nothing is
-    fitted and nothing is kept.
+    ``fitted`` of them pass in expectation, whatever the corpus size, in the
+    order of these hashes.  Rows with equal texts get equal scores; repeated
+    rows, equal and null ids are rows of their own.  Without rows, or without a
+    text, nothing is fitted and nothing is kept.  Columns of ``docs`` that have
+    the name of a result are replaced.
+
+    Texts are read once: votes and hashed features go to a table, from which
+    the counts, the sample and then the scores are taken.
     """
     spark = docs.sparkSession
-    seen = pa.schema([("votes", pa.string()), ("at", pa.binary()), ("value", pa.binary())])
-    text = F.col(f"`{text_col}`")
-    rest = docs.drop("votes", "posterior", "score", "kept")
+    results = [prefix + c for c in ("votes", "posterior", "score", "kept")]
+    names = [c for c in (docs.columns if columns is None else columns) if c not in results]
+    rest = docs.select(F.col(f"`{text_col}`").alias("__text"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("__hash"), *[F.col(f"`{c}`") for c in names])
+    plain = [T.StructField(f.name, f.dataType) for f in rest.schema.fields[2:]]
+    found = [T.StructField("__hash", T.LongType()), T.StructField("__votes", T.StringType()), T.StructField("__at", T.BinaryType()), T.StructField("__value", T.BinaryType())]
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n = known_words(), Counter()
-        for b in batches:
-            for t in b.column(0):
-                ids = words.of(t.as_py())
-                if len(ids):
-                    n[read_document(ids, words.facts)[0]] += 1
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["votes", "n"])
-
-    totals = rest.select(text.alias("t")).mapInArrow(counted, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n"))
-    patterns = {r["votes"]: r["n"] for r in totals.collect()}  # at most 2 to the number of labellers
-    posterior, _, _ = label_model(patterns)
-    n = sum(patterns.values())
-    bound = min(1.0, fitted / max(1, n))
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = known_words()
-
-        def out():
-            for b in batches:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, OUT_ROWS):
+                b, out = whole.slice(lo, OUT_ROWS), []
                 for t in b.column(0):
                     ids = words.of(t.as_py())
-                    if len(ids):
-                        votes, at, value = read_document(ids, words.facts)
-                        yield votes, at.astype(np.int32).tobytes(), value.tobytes()
-
-        yield from in_batches(out(), seen, 512)
+                    votes, at, value = read_document(ids, words.facts) if len(ids) else (None, None, None)
+                    out.append((votes, None if at is None else at.astype(np.uint16).tobytes(), None if value is None else value.tobytes()))
+                added = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[2:], b.column(1), *added], names=[f.name for f in plain + found])
 
-    chosen = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(1 << 30)) < int(bound * (1 << 30))
-    rows = rest.where(chosen).select(text.alias("t")).mapInArrow(sampled, "votes string, at binary, value binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (zlib.crc32(r["at"]), r["at"]))
-    features = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in rows]
-    weights = fit_linear(features, np.array([posterior[r["votes"]] for r in rows])) if rows else None
+    rows = materialize(rest.mapInArrow(read, T.StructType(plain + found)), "quality-features")
+    patterns = {r["v"]: r["n"] for r in rows.where("__votes is not null").groupBy(F.col("__votes").alias("v")).agg(F.count("*").alias("n")).collect()}  # at most 3 to the number of labellers
+    posterior, _, _ = label_model(patterns)
+    bound = min(1.0, fitted / max(1, sum(patterns.values())))
+    chosen = rows.where(F.col("__votes").isNotNull() & (F.pmod("__hash", F.lit(1 << 30)) < int(bound * (1 << 30)))).select("__hash", "__votes", "__at", "__value")
+    sample = sorted(chosen.toArrow().to_pylist(), key=lambda r: (r["__hash"], r["__at"], r["__value"]))  # ``fitted`` rows in expectation
+    features = [(np.frombuffer(r["__at"], np.uint16), np.frombuffer(r["__value"], np.float32)) for r in sample]
+    weights = fit_linear(features, np.array([posterior[r["__votes"]] for r in sample])) if sample else None
     sent = spark.sparkContext.broadcast((posterior, weights))
-    scored = pa.schema([("votes", pa.string()), ("posterior", pa.float64()), ("score", pa.float64())])
-    names = rest.columns
+    judged = [T.StructField(results[0], T.StringType()), T.StructField(results[1], T.DoubleType()), T.StructField(results[2], T.DoubleType())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posterior, w = sent.value
-        words = known_words()
-        column = names.index(text_col)
         for b in batches:
             out = []
-            for t in b.column(column):
-                ids = words.of(t.as_py())
-                if not len(ids) or w is None:
+            for votes, at, value in zip(*b.columns[-3:]):
+                if w is None or not votes.is_valid:
                     out.append((None, None, 0.0))
-                    continue
-                votes, at, value = read_document(ids, words.facts)
-                out.append((votes, posterior.get(votes), float(1.0 / (1.0 + np.exp(-np.clip(w[at] @ value + w[-1], -30, 30))))))
+                else:
+                    out.append((votes.as_py(), posterior[votes.as_py()], scores(w, np.frombuffer(at.as_buffer(), np.uint16), np.frombuffer(value.as_buffer(), np.float32))))
             if out:
-                added = [pa.array(c, f.type) for c, f in zip(zip(*out), scored)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*names, *scored.names])
+                added = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.float64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-3], *added], names=[f.name for f in plain + judged])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", votes string, posterior double, score double"
-    return rest.mapInArrow(run, schema).withColumn("kept", F.col("score") >= keep)
+    return rows.drop("__hash").mapInArrow(judge, T.StructType(plain + judged)).withColumn(results[3], F.col(f"`{results[2]}`") >= keep)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes, label-model posterior, score and decision for every document."""
-    return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "votes", "posterior", "score", "kept")
+    return quality(table(spark, sf_dir, "documents"), columns=["doc_id"])
