@@ -18,17 +18,25 @@ from verdance.storage import materialize
 
 #: Near duplicates: words of a shingle, and the similarity in hundredths.
 WORDS, ALIKE = 5, 80
+#: The operators' columns have names of their own here, so that a column of the input that is called like one keeps its values.
+OWN = "__pipeline_"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; those without words are among them."""
+    """Documents that the quality classifier rejects go; those without words are among them, and so are null texts.
+
+    Repeated rows, equal and null ids are judged row by row; an empty table stays empty.
+    """
     ship(spark)
-    return weaklabels.quality(docs).where("kept").select(*docs.columns)
+    return weaklabels.quality(docs, prefix=OWN).where(OWN + "kept").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines leave the texts, and ``n_chars`` follows; every row stays."""
-    out = lines.dedup_lines(docs).select(*docs.columns)
+    """Boilerplate lines leave the texts, and ``n_chars`` follows; every row stays.
+
+    Copies of whole documents keep their text: the next stage removes them as documents.
+    """
+    out = lines.dedup_lines(docs, keep_whole_copies=True, prefix=OWN).select(*docs.columns)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else out
 
 
@@ -41,7 +49,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4096 tokens."""
+    """The pieces of all documents in sequences of at most 4096 tokens.
+
+    Every row is a document, also a repeated one or one without an id; a null or empty text is its end id alone; an empty table has no pieces.
+    """
     ship(spark)
     return packing.harmonic_pack(packing.pieces(docs, public_tokenizers.path(packing.VOCABULARY)))
 
