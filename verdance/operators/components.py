@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdance.storage import drop_path, fresh_path
+from verdance.storage import drop_path, fresh_path, note
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
@@ -29,6 +29,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     def cut(df: DataFrame, label: str) -> DataFrame:
         paths.append(fresh_path(spark, label))
         df.write.parquet(paths[-1])
+        note(paths[-1])
         return spark.read.schema(df.schema).parquet(paths[-1])
 
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
