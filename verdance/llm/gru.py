@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdance.llm.common import in_batches, table
-from verdance.storage import materialize
+from verdance.storage import materialize, result_only
 
 #: Frequent words that are symbols, words of an output class, spelling classes of the others.
 WORDS, PER_CLASS, TAILS = 4096, 64, 64
@@ -386,6 +386,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every worker; the others are joined with their counts by word, and are so
     rare each that no key of that join is hot.
     """
+    return result_only(docs.sparkSession, "gru-documents", lambda: _scored(docs, id_col, text_col))
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))

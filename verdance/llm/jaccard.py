@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from verdance.llm.common import in_batches, kept_in_worker, mixed, table
 from verdance.operators.components import connected_components
-from verdance.storage import materialize
+from verdance.storage import materialize, result_only
 
 #: Cells of the frequency sketch, in blocks that are merged independently.
 CELLS, BLOCKS = 1 << 21, 64
@@ -235,6 +235,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        linked if they share a difference from the leader; such pairs are
        decided by the number of differences they share.
     """
+    return result_only(docs.sparkSession, "jaccard-components", lambda: _components(docs, id_col, text_col, size, num, den))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
     sig = signatures(docs, id_col, text_col, size)
     plain = sig.where("kind = 0").select("id", "n", "digest")
     reps = materialize(plain.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "shingle-classes")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdance.llm.common import table
-from verdance.storage import materialize
+from verdance.storage import materialize, result_only
 
 #: Sites a line must be on to be boilerplate.
 MIN_SITES = 6
@@ -66,6 +66,19 @@ def _whole_copies(hits: DataFrame) -> DataFrame:
     return solid.join(shared, ["s1", "s2"]).select("id", "key")
 
 
+def _line_hits(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sites: int, keep_whole_copies: bool) -> DataFrame:
+    """``(id, key, gone)``: the positions of the lines that leave, of the rows that lose some."""
+    lines = materialize(line_rows(docs, id_col, text_col, site_col), "lines")
+    marks = materialize(boilerplate(lines, min_sites), "boilerplate")
+    # Skew of one hot line is split by the join; the positions are as many as the text has lines, whatever the number of repeated rows.
+    seen = lines.where("id is not null").join(marks, "h").groupBy("id", "key")
+    gone = F.collect_set(F.when(F.col("id") > F.col("first_id"), F.col("pos"))).alias("gone")
+    if not keep_whole_copies:
+        return seen.agg(gone).where(F.size("gone") > 0)
+    hits = materialize(seen.agg(gone, F.max("n_lines").alias("n_lines"), F.size(F.collect_set("pos")).alias("n_hit"), F.array_sort(F.collect_set("h")).alias("lines")), "line-hits")
+    return hits.where(F.size("gone") > 0).join(_whole_copies(hits), ["id", "key"], "left_anti").select("id", "key", "gone")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, keep_whole_copies: bool = False, prefix: str = "") -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text_col``, plus ``n_lines`` and ``n_removed``, whose names begin with ``prefix``.
 
@@ -89,21 +102,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are split into lines once; hashes, sites and ids go to a table.
     Texts move once, to meet the positions to drop.
     """
-    lines = materialize(line_rows(docs, id_col, text_col, site_col), "lines")
-    marks = materialize(boilerplate(lines, min_sites), "boilerplate")
-    # Skew of one hot line is split by the join; the positions are as many as the text has lines, whatever the number of repeated rows.
-    seen = lines.where("id is not null").join(marks, "h").groupBy("id", "key")
-    gone = F.collect_set(F.when(F.col("id") > F.col("first_id"), F.col("pos"))).alias("gone")
-    if keep_whole_copies:
-        hits = seen.agg(gone, F.max("n_lines").alias("n_lines"), F.size(F.collect_set("pos")).alias("n_hit"), F.array_sort(F.collect_set("h")).alias("lines"))
-        hits = materialize(hits, "line-hits")
-        hits = hits.where(F.size("gone") > 0).join(_whole_copies(hits), ["id", "key"], "left_anti")
-    else:
-        hits = seen.agg(gone).where(F.size("gone") > 0)
+    hits = result_only(docs.sparkSession, "line-hits", lambda: _line_hits(docs, id_col, text_col, site_col, min_sites, keep_whole_copies))
     results = [prefix + "n_lines", prefix + "n_removed"]
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results], F.xxhash64(F.col(f"`{text_col}`")).alias("__key"))
     hits = hits.select(F.col("id").alias("__id"), F.col("key").alias("__hit_key"), F.col("gone").alias("__gone"))
-    joined = rest.join(hits, (F.col(f"`{id_col}`") == F.col("__id")) & (F.col("__key") == F.col("__hit_key")), "left")
+    # The same plan at every size: rows and positions meet in a shuffle by row, which splits what is hot.
+    joined = rest.join(hits.hint("merge"), (F.col(f"`{id_col}`") == F.col("__id")) & (F.col("__key") == F.col("__hit_key")), "left")
     text = F.col(f"`{text_col}`")
     all_lines = F.split(text, "\n", -1)
     solid = F.when(text.isNull(), 0).otherwise(F.size(F.filter(all_lines, lambda x: _trimmed(x) != "")))
