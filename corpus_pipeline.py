@@ -7,6 +7,10 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 from verdance.llm import jaccard, lines, packing, weaklabels
 from verdance.llm.common import table
 from verdance.shipping import ship
-from verdance.storage import materialize
+from verdance.storage import drop_tables, materialize, recorded
 
 #: Near duplicates: words of a shingle, and the similarity in hundredths.
 WORDS, ALIKE = 5, 80
@@ -22,6 +26,30 @@ WORDS, ALIKE = 5, 80
 OWN = "__pipeline_"
 
 
+_left = threading.local()
+
+
+def _stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that first drops the tables which the stages before it, in this thread, have left.
+
+    Their results are written by then, so nothing reads those tables any more;
+    where ``docs`` still does, they stay.
+    """
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left = getattr(_left, "tables", [])
+        if left and not any(t in file for file in docs.inputFiles() for t in left):
+            drop_tables(spark, left)
+        with recorded() as made:
+            out = f(spark, docs, sf_dir)
+        _left.tables = [*left, *made]
+        return out
+
+    return run
+
+
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; those without words are among them, and so are null texts.
 
@@ -31,6 +59,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return weaklabels.quality(docs, prefix=OWN).where(OWN + "kept").select(*docs.columns)
 
 
+@_stage
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines leave the texts, and ``n_chars`` follows; every row stays.
 
@@ -40,6 +69,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else out
 
 
+@_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; rows with a null id are no one's copy."""
     ship(spark)
@@ -48,6 +78,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 tokens.
 
