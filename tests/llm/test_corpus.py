@@ -411,6 +411,57 @@ def test_language_model_base_and_gain(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
 
 
+def plain_score(words, lex, w, counts, mass):
+    """Log10 probability of one text, symbol by symbol in plain loops: no windows, no lanes, no blocks."""
+    n, h, total = gru.HIDDEN, [0.0] * gru.HIDDEN, 0.0
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    before = lex.end
+    for word in words:
+        g, u = w.g[before].tolist(), w.u.tolist()
+        take = [sum(h[i] * u[i][j] for i in range(n)) for j in range(3 * n)]
+        z, r = [sig(g[j] + take[j]) for j in range(n)], [sig(g[n + j] + take[n + j]) for j in range(n)]
+        c = [math.tanh(g[2 * n + j] + r[j] * take[2 * n + j]) for j in range(n)]
+        h = [c[j] + z[j] * (h[j] - c[j]) for j in range(n)]
+        rank = lex.rank.get(word, gru.HELD)
+        symbol = rank if rank < gru.WORDS else gru.WORDS + zlib.crc32(word[-2:]) % gru.TAILS
+        k, m = divmod(symbol, gru.PER_CLASS)
+        for rows, at in ((w.wc, k), (w.ww[k * gru.PER_CLASS : (k + 1) * gru.PER_CLASS], m)):
+            logits = [sum(a * b for a, b in zip(row, h)) + row[-1] for row in rows.tolist()]
+            most = max(logits)
+            total += (logits[at] - most - math.log(sum(math.exp(x - most) for x in logits))) / math.log(10)
+        if symbol >= gru.WORDS:
+            total += math.log10(counts.get(word, 0) + gru.ADDED) - math.log10(mass[symbol - gru.WORDS])
+        before = symbol
+    return total
+
+
+def test_scores_equal_a_plain_forward_pass(spark, monkeypatch):
+    """Also of texts over several windows, of rare and unseen words, and of null and empty ones."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(WORDS) + rng.choice(["", "s", str(rng.randrange(3000))]) for _ in range(rng.choice([1, 7, 60, 200, 400])))) for i in range(120)]
+    rows += [(500, None), (501, ""), (502, "never seen 漢字 words ÀÉ"), (503, " ".join(["the"] * 300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(gru, "HELD", 5000)
+    kept, trained = {}, gru.trained
+
+    def watched(docs, lexicon, first):
+        kept["lex"], kept["w"] = gru.Lexicon(*lexicon.value), trained(docs, lexicon, first)
+        return kept["w"]
+
+    monkeypatch.setattr(gru, "trained", watched)
+    got = {r.doc_id: r for r in gru.score_documents(df).collect()}
+    split = {i: (t or "").encode().lower().split() + [b""] for i, t in rows}
+    counts = collections.Counter(x for i, ws in split.items() if zlib.crc32(str(i).encode()) % 10 for x in ws)
+    lex, mass = kept["lex"], [gru.ADDED] * gru.TAILS
+    for x, c in counts.items():
+        if lex.rank.get(x, gru.HELD) >= gru.WORDS:
+            mass[zlib.crc32(x[-2:]) % gru.TAILS] += c + gru.ADDED
+    assert got.keys() == split.keys()
+    for i in [*range(0, 120, 6), 500, 501, 502, 503]:
+        want = plain_score(split[i], lex, kept["w"], counts, mass)
+        assert abs(got[i].score - want) < 1e-3 * (1 + abs(want)) ** 0.5, i
+
+
 def test_language_model_edges(spark, odd, empty):
     got = gru.score_documents(odd).collect()
     assert len(got) == 10 and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)

@@ -1,10 +1,10 @@
 """Document log-likelihoods from a gated recurrent language model written in numpy.
 
 The model reads word symbols: the most frequent words by themselves, all others
-by a class of their spelling.  Its output is factored: first the class, then
-the word inside it.  A word outside the frequent ones is scored inside its class
-by its smoothed count over the whole training corpus, so every text has a
-proper probability.
+by a class of their spelling.  Its output is factored: first a class of 64
+symbols, then the symbol inside it; the last class holds the spellings.  A word
+outside the frequent ones is scored inside its spelling by its smoothed count
+over the whole training corpus, so every text has a proper probability.
 """
 
 from __future__ import annotations
@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 from verdance.llm.common import in_batches, table
 from verdance.storage import materialize, result_only
 
-#: Frequent words that are symbols, words of an output class, spelling classes of the others.
-WORDS, PER_CLASS, TAILS = 4096, 64, 64
+#: Frequent words that are symbols, spelling classes of the others, and symbols of an output class: the last class has all spellings.
+WORDS, TAILS, PER_CLASS = 4096, 64, 64
+SYMBOLS = WORDS + TAILS
+#: Tokens that meet the output weights at once.
+BLOCK = 1024
 #: Words whose counts every worker holds; all rarer ones meet their counts in a join.
 HELD = 131_072
 #: Units; tokens of a window, after which backpropagation is cut and the state goes on; documents read side by side.
-HIDDEN, WINDOW, LANES = 16, 32, 256
+HIDDEN, WINDOW, LANES = 32, 32, 256
 #: Window of scoring, which has nothing to cut: longer ones cost less.
 SCORED_WINDOW = 64
 #: Step sizes; each round trains on its own part of the documents, and the workers' weights are averaged after it.
@@ -52,11 +55,10 @@ def tail_class(word: bytes) -> int:
 
 
 class Weights:
-    """The model's parameters as one flat vector with named parts."""
+    """The model's parameters as one flat vector with named parts; the last column of ``wc`` and ``ww`` is the bias."""
 
     def __init__(self, flat: np.ndarray | None = None):
-        symbols, classes = WORDS + TAILS, WORDS // PER_CLASS + TAILS
-        shapes = {"g": (symbols, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (classes, HIDDEN), "bc": (classes,), "ww": (WORDS, HIDDEN), "bw": (WORDS,)}
+        shapes = {"g": (SYMBOLS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (SYMBOLS // PER_CLASS, HIDDEN + 1), "ww": (SYMBOLS, HIDDEN + 1)}
         size = sum(int(np.prod(s)) for s in shapes.values())
         self.flat = np.zeros(size, np.float32) if flat is None else flat
         at = 0
@@ -71,121 +73,142 @@ class Weights:
         self, rng = cls(), np.random.default_rng(SEED)
         self.g[:] = rng.normal(0, 0.2, self.g.shape)
         self.u[:] = rng.normal(0, HIDDEN**-0.5, self.u.shape)
-        self.wc[:] = rng.normal(0, 0.05, self.wc.shape)
-        self.ww[:] = rng.normal(0, 0.05, self.ww.shape)
-        mass = np.full(WORDS, 1e-6)
+        self.wc[:, :-1] = rng.normal(0, 0.05, self.wc[:, :-1].shape)
+        self.ww[:, :-1] = rng.normal(0, 0.05, self.ww[:, :-1].shape)
+        mass = np.full(SYMBOLS, 1e-6)
         mass[: len(counts)] = counts + ADDED
-        self.bw[:] = np.log(mass)
-        self.bw[len(counts) :] = -30.0
-        self.bc[:] = np.log(np.concatenate([mass.reshape(-1, PER_CLASS).sum(1), tail_mass]))
-        self.bc -= self.bc.max()
+        mass[WORDS:] = tail_mass
+        self.ww[:, -1] = np.log(mass)
+        self.ww[len(counts) : WORDS, -1] = -30.0
+        self.wc[:, -1] = np.log(mass.reshape(-1, PER_CLASS).sum(1))
+        self.wc[:, -1] -= self.wc[:, -1].max()
         return self
 
 
-def _softmax_at(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of the targets, and the probabilities of all, which replace ``logits``."""
-    np.clip(logits, -60.0, 60.0, out=logits)  # biases and states keep logits small: no maximum is needed
-    at = logits[np.arange(len(target)), target]
-    np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], np.float32)
-    logits /= total[:, None]
-    return at - np.log(total), logits
-
-
 class Model:
     def __init__(self, w: Weights):
         self.w = w
         self.m, self.v, self.t = np.zeros_like(w.flat), np.zeros_like(w.flat), 0
+        self.g = None
 
     def states(self, x: np.ndarray, h: np.ndarray, keep: bool):
-        """States after each symbol of ``x`` (lanes, window), from ``h``."""
-        w, n = self.w, HIDDEN
-        hs = np.empty((x.shape[1], len(x), n), np.float32)
-        held = []
-        for t in range(x.shape[1]):
+        """States after each symbol of ``x`` (lanes, window), from ``h``; with ``keep`` also gates, candidates and what the candidates take from the state before."""
+        w, n, (lanes, width) = self.w, HIDDEN, x.shape
+        hs = np.empty((width, lanes, n), np.float32)
+        rows = width if keep else 1
+        gates, candidates, taken = np.empty((rows, lanes, 2 * n), np.float32), np.empty((rows, lanes, n), np.float32), np.empty((rows, lanes, n), np.float32)
+        for t in range(width):
+            k = t if keep else 0
+            zr, c, ghn = gates[k], candidates[k], taken[k]
             gx, gh = w.g[x[:, t]], h @ w.u
-            zr = gx[:, : 2 * n] + gh[:, : 2 * n]
+            np.add(gx[:, : 2 * n], gh[:, : 2 * n], out=zr)
             zr *= 0.5
             np.tanh(zr, out=zr)
             zr *= 0.5
             zr += 0.5
-            z, r, ghn = zr[:, :n], zr[:, n:], gh[:, 2 * n :]
-            c = gx[:, 2 * n :] + r * ghn
+            ghn[:] = gh[:, 2 * n :]
+            np.multiply(zr[:, n:], ghn, out=c)
+            c += gx[:, 2 * n :]
             np.tanh(c, out=c)
-            if keep:
-                held.append((h, z, r, c, ghn))
-            h = np.add(c, z * (h - c), out=hs[t])
-        return hs, held
+            new = hs[t]
+            np.subtract(h, c, out=new)
+            new *= zr[:, :n]
+            new += c
+            h = new
+        return hs, (gates, candidates, taken)
 
     def likelihood(self, hs: np.ndarray, y: np.ndarray, mask: np.ndarray, grads: Weights | None = None):
-        """Natural log-probabilities (lanes, window) of ``y``; with ``grads``, also what flows back into the states."""
+        """Natural log-probabilities (lanes, window) of ``y``; with ``grads``, also what flows back into the states.
+
+        Tokens are sorted by their class, and a block of them at a time meets
+        the weights, classes down and tokens across: blocks stay in the cache.
+        """
         w = self.w
         t, lane = np.nonzero(mask.T)
-        states, target = hs[t, lane], y[lane, t]
-        head = target < WORDS
-        cls = np.where(head, target // PER_CLASS, target - WORDS + WORDS // PER_CLASS)
-        logits = states @ w.wc.T
-        logits += w.bc
-        out, p = _softmax_at(logits, cls)
-        back = None
-        if grads is not None:
-            p[np.arange(len(cls)), cls] -= 1.0
-            p /= len(cls)
-            grads.wc += p.T @ states
-            grads.bc += p.sum(0)
-            back = p @ w.wc
-        order = np.argsort(np.where(head, cls, 1 << 20), kind="stable")[: int(head.sum())]
-        edges = np.searchsorted(cls[order], np.arange(WORDS // PER_CLASS + 1))
-        for k in range(WORDS // PER_CLASS):
-            rows = order[edges[k] : edges[k + 1]]
-            if len(rows):
-                lo = k * PER_CLASS
-                logits = states[rows] @ w.ww[lo : lo + PER_CLASS].T
-                logits += w.bw[lo : lo + PER_CLASS]
-                word = target[rows] - lo
-                ll, q = _softmax_at(logits, word)
-                out[rows] += ll
-                if grads is not None:
-                    q[np.arange(len(rows)), word] -= 1.0
-                    q /= len(cls)
-                    grads.ww[lo : lo + PER_CLASS] += q.T @ states[rows]
-                    grads.bw[lo : lo + PER_CLASS] += q.sum(0)
-                    back[rows] += q @ w.ww[lo : lo + PER_CLASS]
+        target = y[lane, t]
+        order = np.argsort(target // PER_CLASS, kind="stable")
+        t, lane, target = t[order], lane[order], target[order]
+        n, (cls, word) = len(target), np.divmod(target, PER_CLASS)
+        states = np.ones((HIDDEN + 1, n), np.float32)
+        states[:HIDDEN] = hs[t, lane].T
+        out, back = np.zeros(n, np.float32), None if grads is None else np.empty((HIDDEN, n), np.float32)
+
+        def softmax(weights, gradient, lo, hi, at, first):
+            x, each = states[:, lo:hi], np.arange(hi - lo)
+            logits = weights @ x
+            logits -= logits.max(0)
+            out[lo:hi] += logits[at[lo:hi], each]
+            np.exp(logits, out=logits)
+            total = logits.sum(0)
+            out[lo:hi] -= np.log(total)
+            if gradient is not None:
+                logits *= 1.0 / (n * total)
+                logits[at[lo:hi], each] -= 1.0 / n
+                gradient += logits @ x.T
+                flow = weights[:, :HIDDEN].T @ logits
+                back[:, lo:hi] = flow if first else back[:, lo:hi] + flow
+
+        for lo in range(0, n, BLOCK):
+            softmax(w.wc, None if grads is None else grads.wc, lo, min(n, lo + BLOCK), cls, True)
+        edges = np.searchsorted(cls, np.arange(SYMBOLS // PER_CLASS + 1)).tolist()
+        for k, (start, end) in enumerate(zip(edges, edges[1:])):
+            part = slice(k * PER_CLASS, (k + 1) * PER_CLASS)
+            for lo in range(start, end, BLOCK):
+                softmax(w.ww[part], None if grads is None else grads.ww[part], lo, min(end, lo + BLOCK), word, False)
         ll = np.zeros(mask.shape, np.float64)
         ll[lane, t] = out
         if grads is None:
             return ll, None
         dhs = np.zeros_like(hs)
-        dhs[t, lane] = back
+        dhs[t, lane] = back.T
         return ll, dhs
 
     def learn(self, x, y, mask, h, rate: float) -> np.ndarray:
         """One step of truncated backpropagation through the window; the state after it."""
-        n, g = HIDDEN, Weights()
-        hs, held = self.states(x, h, True)
+        n = HIDDEN
+        g = self.g = self.g or Weights()
+        g.flat[:] = 0
+        hs, (gates, c, taken) = self.states(x, h, True)
         _, dhs = self.likelihood(hs, y, mask, g)
-        dh, dgx = np.zeros_like(h), np.empty((x.shape[1], len(x), 3 * n), np.float32)
-        for t in range(x.shape[1] - 1, -1, -1):
-            prev, z, r, c, ghn = held[t]
-            dh = dh + dhs[t]
-            dc = dh * (1.0 - z) * (1.0 - c * c)
-            d = dgx[t]
-            d[:, :n] = dh * (prev - c) * z * (1.0 - z)
-            d[:, n : 2 * n] = dc * ghn * r * (1.0 - r)
-            d[:, 2 * n :] = dc
-            dgh = d.copy()
-            dgh[:, 2 * n :] *= r
-            g.u += prev.T @ dgh
-            dh = dh * z + dgh @ self.w.u.T
+        z, r = gates[:, :, :n], gates[:, :, n:]
+        before = np.concatenate([h[None], hs[:-1]])
+        # What a change of the state after a step does to candidate, update gate and reset gate of the step.
+        to_c = (1.0 - z) * (1.0 - c * c)
+        to_z = (before - c) * z * (1.0 - z)
+        to_r = to_c * taken * r * (1.0 - r)
+        to_taken = to_c * r
+        dh, flow, dgh = np.zeros_like(h), np.empty(dhs.shape, np.float32), np.empty((len(z), len(h), 3 * n), np.float32)
+        back = np.ascontiguousarray(self.w.u.T)
+        for t in range(len(z) - 1, -1, -1):
+            dh += dhs[t]
+            flow[t] = dh
+            d = dgh[t]
+            np.multiply(dh, to_z[t], out=d[:, :n])
+            np.multiply(dh, to_r[t], out=d[:, n : 2 * n])
+            np.multiply(dh, to_taken[t], out=d[:, 2 * n :])
+            dh *= z[t]
+            dh += d @ back
+        g.u += before.reshape(-1, n).T @ dgh.reshape(-1, 3 * n)
+        dgx = dgh
+        np.multiply(flow, to_c, out=dgx[:, :, 2 * n :])
         symbol = x.T.reshape(-1)
         order = np.argsort(symbol, kind="stable")
         at = np.nonzero(np.r_[True, np.diff(symbol[order]) > 0])[0]
         g.g[symbol[order[at]]] = np.add.reduceat(dgx.reshape(-1, 3 * n)[order], at)
         self.t += 1
-        self.m += 0.1 * (g.flat - self.m)
-        self.v += 0.01 * (g.flat * g.flat - self.v)
-        step = (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)
-        self.w.flat -= np.float32(rate) * step.astype(np.float32)
+        # In blocks, in place: the moments and the step of a block stay in the cache.
+        size, up = np.float32(rate / (1 - 0.9**self.t)), np.float32(1 / (1 - 0.99**self.t))
+        for lo in range(0, len(g.flat), 1 << 15):
+            part = slice(lo, lo + (1 << 15))
+            d, m, v = g.flat[part], self.m[part], self.v[part]
+            m += np.float32(0.1) * (d - m)
+            d *= d
+            v += np.float32(0.01) * (d - v)
+            step = np.sqrt(v * up)
+            step += np.float32(1e-6)
+            np.divide(m, step, out=step)
+            step *= size
+            self.w.flat[part] -= step
         return hs[-1]
 
 
@@ -335,7 +358,9 @@ def trained(docs: DataFrame, lexicon, first: Weights) -> Weights:
 
     Round ``r`` takes the documents whose hash says so, on every worker; all
     documents are read once in all.  A worker with little to read keeps fewer
-    documents side by side, so that it makes as many steps.
+    documents side by side, so that it makes as many steps.  A worker is a task:
+    how the input is split into tasks, and the order of its rows, are part of
+    the result, as the order is for any stochastic gradient.
     """
     spark, w = docs.sparkSession, first
     for r, rate in enumerate(RATES):
