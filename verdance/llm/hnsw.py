@@ -14,14 +14,16 @@ from pyspark.sql import types as T
 
 from verdance.llm.common import mixed, table
 from verdance.operators.components import connected_components
-from verdance.storage import materialize
+from verdance.storage import materialize, result_only
 
-#: Vectors of a shard, and of a block of queries, at most in expectation.
-SHARD_ROWS, BLOCK_ROWS = 8192, 1024
+#: Vectors of a shard, at least and at most, where a label has as many, and of a block of queries, in expectation.
+SHARD_ROWS, MOST_SHARD_ROWS, BLOCK_ROWS = 8192, 65_536, 8192
+#: Queries that meet a shard at once.
+AT_ONCE = 1024
 #: Links of a node on the upper layers and on the lowest; beams of build and first search.
 M, M0, EF_BUILD, EF = 16, 32, 48, 48
-#: Share of true links that an audit must find, and of a block's queries that it takes.
-RECALL, AUDITED = 0.995, 1 / 8
+#: Share of true links that audits must find; queries that a shard's audit takes, at first and where those met fewer than the least number of links.
+RECALL, AUDITS, MORE_AUDITS, LEAST_TRUTHS = 0.995, 512, 8192, 20
 THRESHOLD = 0.93
 
 
@@ -156,58 +158,30 @@ class Graph:
         return self
 
 
-def linked(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float, first: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int]]:
-    """Pairs ``(query, node)`` with a cosine of at least ``threshold`` in double precision, and an audit of the first beam.
+def linked(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``(query, node)`` that the graph finds with a cosine of at least ``threshold`` in double precision.
 
-    Beams start at ``first`` and double, for queries whose beam holds nothing
-    but links, until it holds something else, and for the whole block until an
-    audit by brute force on every eighth query finds ``RECALL`` of the true
-    links.  If the beam would be half of the shard the block is scanned.
-    ``x`` and ``q`` are unit vectors in double precision; ``own`` is the node
-    that a query is itself, or -1.
-
-    The audit is ``(hits, truths, 1)`` of the first beam over links to others,
-    for the caller to pool, because one block may have few or none; zeros if
-    the block was scanned from the start.
+    A query whose beam holds nothing but links is searched again with a
+    doubled one, until it holds something else or the whole shard.  ``x`` and
+    ``q`` are unit vectors in double precision.
     """
     q32, slack = q.astype(np.float32), threshold - 1e-4
-    audit = np.arange(0, len(q), round(1 / AUDITED))
-    truth = (q[audit] @ x.T) >= threshold
-    itself = np.nonzero(own[audit] >= 0)[0]
-    truth[itself, own[audit][itself]] = False
-
-    def exact(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.nonzero(q[rows] @ x.T >= threshold)
-        return rows[a], b
-
-    ef, seen = first, (0, 0, 0)
-    while 2 * ef < len(x):
-        found_q, found_x, todo, wide = [], [], np.arange(len(q)), ef
-        while len(todo):
-            if 2 * wide >= len(x):
-                a, b = exact(todo)
-                found_q.append(a)
-                found_x.append(b)
-                break
-            ids, sims = graph.search(q32[todo], wide)
-            full = (sims >= slack).all(1)
-            a, b = np.nonzero((sims >= slack) & ~full[:, None])
-            a, b = todo[a], ids[a, b]
-            good = np.einsum("nd,nd->n", q[a], x[b]) >= threshold
-            found_q.append(a[good])
-            found_x.append(b[good])
-            todo, wide = todo[full], wide * 2
-        a, b = np.concatenate(found_q), np.concatenate(found_x)
-        hits = np.zeros(truth.shape, bool)
-        sampled = np.isin(a, audit)
-        hits[np.searchsorted(audit, a[sampled]), b[sampled]] = True
-        n_hits, n_true = int((hits & truth).sum()), int(truth.sum())
-        if ef == first:
-            seen = (n_hits, n_true, 1)
-        if n_hits >= RECALL * n_true:
-            return a, b, seen
-        ef *= 2
-    return *exact(np.arange(len(q))), seen
+    found_q, found_x, todo, wide = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(q)), min(ef, len(x))
+    while len(todo):
+        ids, sims = graph.search(q32[todo], wide)
+        full = (sims >= slack).all(1) & (wide < len(x))
+        a, b = np.nonzero((sims >= slack) & ~full[:, None])
+        a, b = todo[a], ids[a, b]
+        good = np.einsum("nd,nd->n", q[a], x[b]) >= threshold
+        found_q.append(a[good])
+        found_x.append(b[good])
+        todo, wide = todo[full], min(wide * 2, len(x))
+    return np.concatenate(found_q), np.concatenate(found_x)
+
+
+def scanned(x: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same pairs by brute force."""
+    return np.nonzero(q @ x.T >= threshold)
 
 
 def _unit(packed: bytes, dim: int, dtype: str) -> np.ndarray:
@@ -232,23 +206,36 @@ def _forest(pairs: Iterator[tuple[int, int]], n: int) -> list[int]:
     return parent
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, audit_log: str | None = None) -> DataFrame:
     """``(id, n_links, component_id, kept)`` for each row: vectors of one label linked by cosine.
 
     ``n_links`` counts the other vectors linked directly, ``component_id`` is
     the smallest id that links reach and ``kept`` marks the row that has it.
     Null labels and vectors that are null, zero, or hold a null or non-finite
-    component link with nothing; vectors of different length do not link.
+    component link with nothing, and so does a row with a null id, which has no
+    component; vectors of different length do not link.  Other columns are not
+    read; an empty table gives an empty result.
 
     Equal vectors are one node with a count, so copies are never expanded.
-    The nodes of a label are dealt to shards of a bounded size, so a hot label
-    is many shards; each shard has a graph of its own, and every block of the
-    label's nodes is a query to every shard.  The audits of all cells of a label
-    are pooled, and the label is searched again with a doubled beam until the
-    pooled recall is enough.  A task gives back counts and a
-    spanning forest of the links it found, never the pairs.  Repeated ids are
-    vectors of their own with a common answer for the component.
+    The nodes of a label are dealt to shards, whose size grows with the square
+    root of the label's up to a bound, so a hot label is many shards; each
+    shard has a graph of its own, and every block of the label's nodes is a
+    query to every shard.  Links come from the graphs.  In each shard a fixed
+    number of queries is also scanned by brute force; these audits are pooled
+    over the label, taken again with more queries if they met too few links,
+    and the label is searched again with a doubled beam until the pooled recall
+    is enough.  Only a label whose beam would hold a whole shard and whose
+    audits still fail is scanned instead.  A task gives back counts and a spanning forest of the links it found, never
+    the pairs.  Repeated ids are vectors of their own with a common answer for
+    the component.
+
+    ``audit_log`` names a folder for the audits, a Parquet table ``(label, dim,
+    beam, audits, hits, truths)``: one row per label and search.
     """
+    return result_only(rows.sparkSession, "near-vectors", lambda: _near_duplicates(rows, id_col, vec_col, label_col, threshold, audit_log))
+
+
+def _near_duplicates(rows: DataFrame, id_col: str, vec_col: str, label_col: str, threshold: float, audit_log: str | None) -> DataFrame:
     kind = next(f.dataType for f in rows.schema if f.name == vec_col)
     dtype = "<f4" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "<f8"
     schema = pa.schema([("id", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("vec", pa.binary())])
@@ -271,7 +258,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     nodes = plain.where("vec is not null and id is not null").groupBy("label", "dim", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     nodes = materialize(nodes, "distinct-vectors")
     counts = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    counts = counts.selectExpr("label", "dim", f"cast(ceil(n / {SHARD_ROWS}) as int) as shards", f"cast(ceil(n / {BLOCK_ROWS}) as int) as blocks")
+    size = f"least({MOST_SHARD_ROWS}, greatest({SHARD_ROWS}, 32 * sqrt(n)))"
+    counts = counts.selectExpr("label", "dim", "n", f"cast(ceil(n / {size}) as int) as shards", f"cast(ceil(n / {BLOCK_ROWS}) as int) as blocks")
     dealt = nodes.join(counts, ["label", "dim"]).withColumn("shard", F.expr("cast(pmod(xxhash64(rep), shards) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(rep, 1), blocks) as int)"))
 
     def pack(pdf: pd.DataFrame) -> tuple:
@@ -282,62 +270,88 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         ids, copies, vecs = pack(pdf)
         first = pdf.iloc[0]
         x = _unit(vecs, int(first["dim"]), dtype)
-        row = (first["label"], int(first["dim"]), int(first["shard"]), int(first["blocks"]), ids.tobytes(), copies.tobytes(), vecs, Graph(x, ids).state())
-        return pd.DataFrame([row], columns=["label", "dim", "shard", "blocks", "ids", "copies", "vecs", "graph"])
+        row = (first["label"], int(first["dim"]), int(first["shard"]), int(first["blocks"]), int(first["n"]), ids.tobytes(), copies.tobytes(), vecs, Graph(x, ids).state())
+        return pd.DataFrame([row], columns=["label", "dim", "shard", "blocks", "n", "ids", "copies", "vecs", "graph"])
 
     def blocked(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, _, vecs = pack(pdf)
         first = pdf.iloc[0]
         return pd.DataFrame([(first["label"], int(first["dim"]), int(first["block"]), int(first["shards"]), ids.tobytes(), vecs)], columns=["label", "dim", "block", "shards", "ids", "vecs"])
 
-    index = materialize(dealt.groupBy("label", "dim", "shard").applyInPandas(built, "label string, dim int, shard int, blocks int, ids binary, copies binary, vecs binary, graph binary"), "vector-graphs")
+    index = materialize(dealt.groupBy("label", "dim", "shard").applyInPandas(built, "label string, dim int, shard int, blocks int, n long, ids binary, copies binary, vecs binary, graph binary"), "vector-graphs")
     queries = materialize(dealt.groupBy("label", "dim", "block").applyInPandas(blocked, "label string, dim int, block int, shards int, ids binary, vecs binary"), "vector-queries")
 
+    columns = ["id", "links", "root", "label", "dim", "audits", "truths"]
+
     def searched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame([], columns=["id", "links", "root", "label", "dim", "truths", "searched"])
+            return pd.DataFrame([], columns=columns)
         a, b = left.iloc[0], right.iloc[0]
-        dim = int(a["dim"])
+        dim, shard, ef = int(a["dim"]), int(a["shard"]), int(a["ef"])
         x, q = _unit(a["vecs"], dim, dtype), _unit(b["vecs"], dim, dtype)
         ids, copies, asked = np.frombuffer(a["ids"], np.int64), np.frombuffer(a["copies"], np.int64), np.frombuffer(b["ids"], np.int64)
-        at_id = np.searchsorted(ids, asked)
-        own = np.where(ids[np.minimum(at_id, len(ids) - 1)] == asked, at_id, -1)
-        at, to, (hits, truths, beams) = linked(Graph.restored(x, a["graph"]), x, q, threshold, int(a["ef"]), own)
-        other = asked[at] != ids[to]
-        at, to = at[other], to[other]
+        graph = Graph.restored(x, a["graph"])
+        # Which queries are audited differs from shard to shard.
+        luck = mixed(asked.view(np.uint64) + np.uint64(shard + 1) * np.uint64(0x9E3779B97F4A7C15)).astype(np.float64) / 2.0**64
+        audited = luck * int(a["n"]) < int(a["wanted"])
+        at, to, hits, truths = [], [], 0, 0
+        for lo in range(0, len(asked), AT_ONCE):
+            part, chosen = q[lo : lo + AT_ONCE], np.nonzero(audited[lo : lo + AT_ONCE])[0]
+            scan = ef < 0
+            i, j = scanned(x, part, threshold) if scan else linked(graph, x, part, threshold, ef)
+            other = asked[lo + i] != ids[j]
+            i, j = i[other], j[other]
+            at.append(lo + i)
+            to.append(j)
+            if not scan and len(chosen):
+                k, m = scanned(x, part[chosen], threshold)
+                truths += int((asked[lo + chosen[k]] != ids[m]).sum())
+                hits += int(np.isin(i, chosen).sum())  # what the graph found is verified, so it is among the truths
+        at, to = np.concatenate(at), np.concatenate(to)
         links = np.bincount(at, copies[to], len(asked)).astype(np.int64)
         nodes, where = np.unique(np.concatenate([asked, ids]), return_inverse=True)
         root = np.asarray(_forest(zip(where[at].tolist(), where[len(asked) + to].tolist()), len(nodes)))
         moved = np.nonzero(root != np.arange(len(nodes)))[0]
         some = links > 0
         out = pd.DataFrame({"id": np.concatenate([asked[some], nodes[moved]]), "links": np.concatenate([links[some], np.zeros(len(moved), np.int64)]), "root": np.concatenate([asked[some], nodes[root[moved]]])})
-        out = out.assign(label=a["label"], dim=dim, truths=0, searched=0)
+        out = out.assign(label=a["label"], dim=dim, audits=0, truths=0)
         # The cell's audit is a row without an id, with the hits in the place of the links.
-        return pd.concat([out, pd.DataFrame([(None, hits, None, a["label"], dim, truths, beams)], columns=out.columns)]).astype({"id": "Int64", "root": "Int64"})
+        return pd.concat([out, pd.DataFrame([(None, hits, None, a["label"], dim, int(audited.sum()) * (ef >= 0), truths)], columns=columns)]).astype({"id": "Int64", "root": "Int64"})
 
     key = ["label", "dim", "shard", "block"]
-    todo, asks, done_links = index.withColumn("ef", F.lit(EF)), queries, []
+    todo, asks, done_links = index.withColumn("ef", F.lit(EF)).withColumn("wanted", F.lit(AUDITS)), queries, []
     while True:
         to_blocks = todo.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks").groupBy(*key)
         to_shards = asks.withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))).drop("shards").groupBy(*key)
-        part = materialize(to_blocks.cogroup(to_shards).applyInPandas(searched, "id long, links long, root long, label string, dim int, truths long, searched long"), "vector-links")
-        # One beam serves all cells of a label, so their audits are one sample; a label without a sampled link proves nothing and is scanned.
-        audits = part.where("id is null").groupBy("label", "dim").agg(F.sum("links").alias("hits"), F.sum("truths").alias("truths"), F.sum("searched").alias("searched"))
-        poor = materialize(audits.where((F.col("searched") > 0) & ((F.col("truths") == 0) | (F.col("hits") < RECALL * F.col("truths")))).select("label", "dim", "truths"), "vector-audits")
+        part = materialize(to_blocks.cogroup(to_shards).applyInPandas(searched, "id long, links long, root long, label string, dim int, audits long, truths long"), "vector-links")
+        # One beam serves all cells of a label, so their audits are one sample.
+        audits = part.where("id is null").groupBy("label", "dim").agg(F.sum("links").alias("hits"), F.sum("truths").alias("truths"), F.sum("audits").alias("audits"))
+        sizes = todo.groupBy("label", "dim").agg(F.max("n").alias("n"), F.count("*").alias("shards"), F.max("ef").alias("ef"), F.max("wanted").alias("wanted"))
+        audits = materialize(audits.join(sizes, ["label", "dim"]), "vector-audits")
+        if audit_log:
+            audits.select("label", "dim", F.col("ef").alias("beam"), "audits", "hits", "truths").write.mode("append").parquet(audit_log)
+        failed = F.col("hits") < RECALL * F.col("truths")
+        few = (F.col("truths") < LEAST_TRUTHS) & (F.col("wanted") < F.least("n", F.lit(MORE_AUDITS)))
+        # Too few links met: more audits with the same beam. Recall too low: a wider beam, and a scan where it would hold a whole shard.
+        wider = F.when(F.col("ef") * 2 * F.col("shards") >= F.col("n"), F.lit(-1)).otherwise(F.col("ef") * 2)
+        poor = audits.where((F.col("ef") >= 0) & (failed | few)).select("label", "dim", F.when(failed, wider).otherwise(F.col("ef")).alias("next_ef"), F.when(few, F.lit(MORE_AUDITS)).otherwise(F.col("wanted")).alias("next_wanted"))
+        poor = materialize(poor, "vector-audits")
         part = part.where("id is not null")
         if poor.isEmpty():
             done_links.append(part)
             break
         done_links.append(part.join(poor, ["label", "dim"], "left_anti"))
-        todo = todo.join(poor, ["label", "dim"]).withColumn("ef", F.when(F.col("truths") == 0, F.lit(1 << 29)).otherwise(F.col("ef") * 2)).drop("truths")
-        asks = asks.join(poor.drop("truths"), ["label", "dim"])
+        todo = todo.join(poor, ["label", "dim"]).drop("ef", "wanted").withColumnsRenamed({"next_ef": "ef", "next_wanted": "wanted"})
+        asks = asks.join(poor.select("label", "dim"), ["label", "dim"])
     found = reduce(DataFrame.unionByName, [x.select("id", "links", "root") for x in done_links])
     links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     comp = connected_components(found, "id", "root").withColumnsRenamed({"node": "rep"})
     done = nodes.join(links, "rep", "left").join(comp, "rep", "left").select("label", "dim", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = plain.join(done, ["label", "dim", "vec"], "left")
-    component = F.coalesce("component", "id")
-    return out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    # Rows that link with nothing never meet the join: they would be one hot key there.
+    able = F.col("vec").isNotNull() & F.col("id").isNotNull()
+    linked_rows = plain.where(able).join(done, ["label", "dim", "vec"]).select("id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    alone = plain.where(~able).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked_rows.unionByName(alone)
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,6 @@ BITS = 64
 CHUNK = 16_384
 #: Hamming radius of the search, and the blocks a fingerprint is cut into.
 RADIUS, BLOCKS = 3, 6
-#: Cells of the id range that are dealt to the buckets of the neighbour pass: bounds what is broadcast.
-CELLS = 65_536
 
 
 def words_of(text: Column) -> Column:
@@ -106,7 +104,20 @@ def within_radius(queries: DataFrame, all_rows: DataFrame, radius: int = RADIUS,
     for t, m in reversed(list(enumerate(masks))):
         first = F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(t)).otherwise(first)
     hit = (a.t == b.t) & (a.key == b.key) & (F.bit_count(x) <= radius) & (a.t == first)
-    return a.join(b, hit).select("q", "fp", F.bit_count(x).alias("distance"))
+    # The planner would size the tables before they are exploded, and broadcast what grows with the data.
+    return a.hint("merge").join(b.hint("merge"), hit).select("q", "fp", F.bit_count(x).alias("distance"))
+
+
+def _bucket(key: Column, firsts: list[tuple[int | None, int]]) -> Column:
+    """Which bucket of consecutive keys ``(id, h)`` a row is in, by the sorted first keys of the buckets but the first: two short scans."""
+    if not firsts:
+        return F.lit(0)
+    step = max(1, int(len(firsts) ** 0.5))
+    whole = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("h")) for i, h in firsts])
+    coarse = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("h")) for i, h in firsts[::step]])
+    blocks = F.size(F.filter(coarse, lambda b: b <= key))
+    inside = F.filter(F.slice(whole, (blocks - 1) * step + 1, step), lambda b: b <= key)
+    return F.when(blocks == 0, 0).otherwise((blocks - 1) * step + F.size(inside))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
@@ -114,33 +125,29 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Data
 
     Gives ``bucket, at`` (a key of the row), ``id, text`` (null: empty) and
     ``next_id, next_text``.  A null id comes before all others; equal ids are
-    in the order of their texts.  Texts are shuffled once, into buckets of
-    consecutive ids; the first row of each bucket also goes to the bucket
-    before it.  The cut points come from a count over the id column alone in
-    at most ``CELLS`` cells, and the map from cells to buckets, which is
-    broadcast, has that many rows whatever the data.
+    in the order of a hash of their texts, and equal rows follow each other.
+    An empty table gives an empty result.
+
+    A range partitioning of the narrow table of ids and hashes gives the cut
+    points, at most ``buckets`` of them, so buckets have near equal rows
+    whatever the ids are: outliers, hashed ids, one id with a third of all
+    rows.  Texts are then shuffled once, into their buckets; the first row of
+    each bucket also goes to the bucket before it.
     """
-    ids = docs.select(F.col(id_col).alias("id"))
-    low, high = ids.agg(F.min("id"), F.max("id")).first()
-    low, high = float(low or 0), float(high or 0)
-    cell = F.coalesce(F.floor((F.col("id").cast("double") - low) / F.lit(max(1.0, (high - low) / CELLS))), F.lit(-1)).cast("long")
-    counted = ids.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
-    whole = Window.orderBy("cell")
-    dealt = counted.withColumn("before", F.sum("n").over(whole) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    dealt = dealt.withColumn("share", F.expr(f"before * {int(buckets)} div all"))
-    dealt = dealt.withColumn("bucket", F.dense_rank().over(Window.orderBy("share")) - 1).withColumn("opens", F.coalesce(F.lag("share").over(whole) != F.col("share"), F.lit(True)))
-    dealt = dealt.withColumn("last", F.max("bucket").over(Window.partitionBy()))
-    dealt = materialize(dealt.select("cell", "bucket", "opens", "first_id", "last"), "id-buckets")
-
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("cell", cell)
-    rows = rows.join(F.broadcast(dealt), "cell")
-    opens = F.col("opens") & F.col("id").eqNullSafe(F.col("first_id"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    ranged = rows.select("id", "h").repartitionByRange(buckets, F.col("id").asc_nulls_first(), "h").select(F.struct("id", "h").alias("k"), F.spark_partition_id().alias("part"))
+    firsts = sorted(((r["k"]["id"], r["k"]["h"]) for r in ranged.groupBy("part").agg(F.min("k").alias("k")).collect()), key=lambda k: (k[0] is not None, k[0] or 0, k[1]))  # a row for each bucket
+    key = F.struct("id", "h")
+    last = max(0, len(firsts) - 1)
+    opening = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("h")) for i, h in firsts])
+    rows = rows.withColumn("bucket", _bucket(key, firsts[1:]))
+    opens = F.get(opening, F.col("bucket")) == key if firsts else F.lit(False)
     here = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest"), F.lit(0).alias("wrap"))
-    there = F.struct(F.when(F.col("bucket") == 0, F.col("last")).otherwise(F.col("bucket") - 1).alias("bucket"), F.lit(1).alias("guest"), (F.col("bucket") == 0).cast("int").alias("wrap"))
-    rows = rows.select("id", "text", F.explode(F.when(opens, F.array(here, there)).otherwise(F.array(here))).alias("to")).select("id", "text", "to.*")
-    order = Window.partitionBy("bucket").orderBy("wrap", F.col("id").asc_nulls_first(), "text", "guest")
-    rows = rows.select("bucket", F.row_number().over(order).alias("at"), "guest", "id", "text", F.lead("id").over(order).alias("next_id"), F.lead("text").over(order).alias("next_text"))
-    return rows.where("guest = 0").drop("guest")
+    there = F.struct(F.when(F.col("bucket") == 0, last).otherwise(F.col("bucket") - 1).alias("bucket"), F.lit(1).alias("guest"), (F.col("bucket") == 0).cast("int").alias("wrap"))
+    rows = rows.select("id", "h", "text", F.explode(F.when(opens, F.array(here, there)).otherwise(F.array(here))).alias("to")).select("id", "h", "text", "to.*")
+    order = Window.partitionBy("bucket").orderBy("wrap", F.col("id").asc_nulls_first(), "h", "guest")
+    rows = rows.select("bucket", F.row_number().over(order).alias("at"), "guest", "id", "h", "text", F.lead("id").over(order).alias("next_id"), F.lead("text").over(order).alias("next_text"))
+    return rows.where("guest = 0").drop("guest", "h")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

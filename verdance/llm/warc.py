@@ -37,30 +37,38 @@ def record_types(pages: DataFrame, id_col: str, payload: Column) -> DataFrame:
     map-side minimum, so a payload that a third of all rows share is no hot
     key there, and a join that meets it can be split.
     """
-    keys = pages.select(F.col(id_col).alias("id"), F.sha2(payload, 256).alias("sha256"))
+    keys = pages.select(F.col(f"`{id_col}`").alias("id"), F.sha2(payload, 256).alias("sha256"))
     first = keys.groupBy("sha256").agg(F.min("id").alias("first_id"))
     return keys.distinct().join(first, "sha256")
 
 
 def chunk_rows(pages: DataFrame, id_col: str, url_col: str, payload_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The chunked record table: ``id, url, size, sha1, first_id, chunk_no, chunk``, a record's chunks in order in one partition.
+    """The chunked record table: ``id, url, size, sha1, refers_to, revisit, chunk_no, chunk``, a record's chunks in order in one partition.
 
     ``payload_col`` is text, written as UTF-8, or binary; null is an empty
-    payload, which has one empty chunk.  Rows that repeat an id and a payload
-    are records of their own and of the same type.
+    payload, which has one empty chunk, and so has a revisit.  Rows that repeat
+    an id and a payload are records of their own and of the same type; a null
+    id is an id, and the largest.  Other columns are not read.  An empty table
+    has no chunks.
+
+    Payloads are cut where they are read; from there on no row is larger than
+    a chunk.
     """
-    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
+    id_, payload = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     types = record_types(pages, id_col, payload)
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
-    # By id, which is unique, and not by digest, which is not: no key is hot.
-    rows = rows.join(types.withColumnsRenamed({"id": "id_", "sha256": "sha_"}), F.col("id").eqNullSafe(F.col("id_")) & (F.col("sha256") == F.col("sha_")))
+    whole = pages.select(F.monotonically_increasing_id().alias("record"), id_.alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"))
     size = F.octet_length("payload").cast("long")
+    steps = F.sequence(F.lit(0), ((F.greatest(size, F.lit(1)) - 1) / chunk_bytes).cast("int"))
+    # The pieces are one array, so that no exploded row drags the payload along; the outer lambda makes the bytes of the text once, not once a piece.
+    pieces = F.transform(F.array("payload"), lambda p: F.transform(steps, lambda i: F.substring(p, i * chunk_bytes + 1, F.lit(chunk_bytes))))[0]
+    # Digests come before the explosion: after it they would be taken once a piece.
+    rows = whole.select("record", "id", "url", size.alias("size"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256"), pieces.alias("pieces"))
+    rows = rows.select("record", "id", "url", "size", "sha1", "sha256", F.posexplode_outer("pieces").alias("chunk_no", "chunk"))
+    rows = rows.join(types.withColumnsRenamed({"id": "id_", "sha256": "sha_"}).hint("merge"), F.col("id").eqNullSafe(F.col("id_")) & (F.col("sha256") == F.col("sha_")))
     revisit = ~F.col("id").eqNullSafe(F.col("first_id"))
-    rows = rows.select("id", "url", size.alias("size"), F.sha1("payload").alias("sha1"), F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit"), "payload")
-    steps = F.sequence(F.lit(0), F.when(F.col("revisit"), F.lit(0)).otherwise(((F.greatest("size", F.lit(1)) - 1) / chunk_bytes).cast("int")))
-    rows = rows.select("*", F.explode(steps).alias("chunk_no"))
-    chunk = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.expr(f"substring(payload, chunk_no * {chunk_bytes} + 1, {chunk_bytes})"))
-    return rows.select("id", "url", "size", "sha1", "refers_to", "revisit", "chunk_no", chunk.alias("chunk"))
+    rows = rows.withColumn("revisit", revisit).where("not revisit or chunk_no = 0").sortWithinPartitions("id", "sha256", "record", "chunk_no")
+    chunk = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("chunk"))
+    return rows.select("id", "url", "size", "sha1", F.when(F.col("revisit"), F.col("first_id")).alias("refers_to"), "revisit", "chunk_no", chunk.alias("chunk"))
 
 
 class _GzipMembers:
