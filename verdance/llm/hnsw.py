@@ -162,8 +162,10 @@ def linked(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float, ef: int
     """Pairs ``(query, node)`` that the graph finds with a cosine of at least ``threshold`` in double precision.
 
     A query whose beam holds nothing but links is searched again with a
-    doubled one, until it holds something else or the whole shard.  ``x`` and
-    ``q`` are unit vectors in double precision.
+    doubled one, until it holds something else; where that beam would look at
+    more neighbours than the shard has nodes, such a query meets all nodes
+    instead, which is exact and costs less.  ``x`` and ``q`` are unit vectors
+    in double precision.
     """
     q32, slack = q.astype(np.float32), threshold - 1e-4
     found_q, found_x, todo, wide = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(q)), min(ef, len(x))
@@ -176,6 +178,11 @@ def linked(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float, ef: int
         found_q.append(a[good])
         found_x.append(b[good])
         todo, wide = todo[full], min(wide * 2, len(x))
+        if wide * M0 >= len(x):
+            a, b = scanned(x, q[todo], threshold)
+            found_q.append(todo[a])
+            found_x.append(b)
+            break
     return np.concatenate(found_q), np.concatenate(found_x)
 
 
