@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -18,11 +20,16 @@ def kept_in_worker(key: tuple, build: Callable[[], Any]) -> Any:
     """What a Python worker remembers from task to task: one thing at a time.
 
     Workers serve one operator after the other; what the last one remembered
-    is dropped when the next one begins, so memory is the largest and not the
-    sum.
+    is dropped, and its memory handed back to the system, when the next one
+    begins, so memory is the largest and not the sum.
     """
     if key not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
         _kept[key] = build()
     return _kept[key]
 

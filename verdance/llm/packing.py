@@ -131,19 +131,25 @@ class ChunkEncoder:
         return b"".join(map(self.chunks.__getitem__, filter(None, re.split(r"[ \t-\r]+", text)) if odd else text.split()))
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, most: int = REMEMBERED) -> ChunkEncoder:
     """One for all tasks of a worker."""
-    return kept_in_worker(("chunks", path), lambda: ChunkEncoder(path))
+    return kept_in_worker(("chunks", path, most), lambda: ChunkEncoder(path, most))
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("k", pa.int32()), ("part", pa.int32()), ("rank_in_part", pa.int64())])
 
 
-def pieces(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all documents with their class and their rank among the class's pieces of the same task."""
+def pieces(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """Pieces of all documents with their class and their rank among the class's pieces of the same task.
+
+    A null or empty text is its end id alone.  Every row is a document, so a
+    repeated row has pieces of its own, and so have rows with equal or null
+    ids.  Other columns are not read; an empty table has no pieces.
+    ``remembered`` chunks of text at most are kept with their ids in a worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, ranks = encoder(vocabulary_path), TaskContext.get().partitionId(), Counter()
+        encode, part, ranks = encoder(vocabulary_path, remembered), TaskContext.get().partitionId(), Counter()
         end = int(end_id).to_bytes(4, "little")
 
         def rows():
