@@ -22,6 +22,8 @@ from verdance.storage import drop_tables, materialize, recorded
 
 #: Near duplicates: words of a shingle, and the similarity in hundredths.
 WORDS, ALIKE = 5, 80
+#: Chunks of text that a worker remembers when it packs: its memory also holds what the stages before have left.
+REMEMBERED = 150_000
 #: The operators' columns have names of their own here, so that a column of the input that is called like one keeps its values.
 OWN = "__pipeline_"
 
@@ -85,7 +87,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Every row is a document, also a repeated one or one without an id; a null or empty text is its end id alone; an empty table has no pieces.
     """
     ship(spark)
-    return packing.harmonic_pack(packing.pieces(docs, public_tokenizers.path(packing.VOCABULARY)))
+    return packing.harmonic_pack(packing.pieces(docs, public_tokenizers.path(packing.VOCABULARY), remembered=REMEMBERED))
 
 
 STAGES = [
