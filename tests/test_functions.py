@@ -108,6 +108,19 @@ def test_replayed_draws_share_one_stream():
 
 
 def test_long_roh_prefers_counts(spark):
-    df = spark.createDataFrame([("1", "0", "0"), ("NA", "", "2500"), ("0", "0", "9999")], "NSEG_2_5Mb string, nseg_gt5mb string, MAX_ROH_KB string")
+    df = spark.createDataFrame([("1", "0", "0"), ("NA", "", "2500"), ("0", "0", "9999"), ("NA", "2", "0"), ("0", ".", "9999")], "NSEG_2_5Mb string, nseg_5mb_plus string, Max_ROH_segment_KB string")
     flag, how = qc.long_roh(df)
-    assert [tuple(r) for r in df.select(flag, how).collect()] == [(True, "length_class_counts"), (True, "maximum_length_kb"), (False, "length_class_counts")]
+    counts = "NSEG_2_5Mb_plus_NSEG_gt5Mb"
+    assert [tuple(r) for r in df.select(flag, how).collect()] == [(True, counts), (True, "maximum_ROH_length_KB"), (False, counts), (True, counts), (False, counts)]
+    for name in ("Max_ROH_BP", "Max_ROH_length_bp", "Maximum_ROH_BP"):
+        df = spark.createDataFrame([("2000000",), ("2000001",)], f"{name} string")
+        assert [tuple(r) for r in df.select(*qc.long_roh(df)).collect()] == [(False, "maximum_ROH_length_BP"), (True, "maximum_ROH_length_BP")]
+
+
+def test_metadata_as_users_have_it(spark, tmp_path):
+    from verdance.sources.tables import read_metadata
+
+    rows = ["IID\tMaterial_type\tEx_situ_site\tRegion\tRegistered_region", "W1\tWILD\tPingshun\t\tqinling", "W2\twild\t\tNA\tqinling", "E1\texsitu\tTongguan\t\t", "E2\tEx situ\tPingshun\tlvliang\ttaihang", "NA\tWild\t\t\t", "\tWild\t\t\t"]
+    (tmp_path / "m.tsv").write_text("\n".join(rows) + "\n")
+    got = {r.sample_id: (r.material, r.garden, r.region) for r in read_metadata(spark, str(tmp_path / "m.tsv")).collect()}
+    assert got == {"W1": ("Wild", "NA", "Qinling Mountains"), "W2": ("Wild", "NA", "NA"), "E1": ("Ex_situ", "Tongguan", "NA"), "E2": ("Ex_situ", "Pingshun", "Lvliang Mountain")}

@@ -49,8 +49,8 @@ def canonical_region(x: Column) -> Column:
 
 
 def canonical_material(x: Column) -> Column:
-    t = F.regexp_replace(cleaned(x), r"[- ]", "_")
-    return F.when(F.lower(t) == "wild", "Wild").when(F.lower(t) == "ex_situ", "Ex_situ").otherwise(t)
+    t = F.lower(F.regexp_replace(cleaned(x), r"[- ]", "_"))
+    return F.when(t == "wild", "Wild").when(t.isin("ex_situ", "exsitu"), "Ex_situ").otherwise(cleaned(x))
 
 
 def first_column(columns: Sequence[str], *aliases: str) -> str | None:

@@ -8,25 +8,27 @@ from pyspark.sql import functions as F
 from verdance.functions.text import first_column, number
 from verdance.operators.checks import assert_empty
 
-# Column names under which the length classes and lengths come, most trusted first.
-COUNT_2_5 = ("NSEG_2_5Mb", "ROH_2_5Mb_N", "N_2_5Mb")
-COUNT_GT5 = ("NSEG_gt5Mb", "ROH_gt5Mb_N", "N_gt5Mb")
-MAX_KB = ("MAX_ROH_KB", "Max_ROH_KB", "Longest_ROH_KB")
-MAX_BP = ("MAX_ROH_BP", "Max_ROH_BP", "Longest_ROH_BP")
+# Column names under which the length classes and lengths come, most trusted first, and the names of the three ways.
+COUNT_2_5 = ("NSEG_2_5Mb", "N_ROH_2_5Mb", "ROH_2_5Mb_N")
+COUNT_GT5 = ("NSEG_gt5Mb", "NSEG_5Mb_plus", "N_ROH_gt5Mb")
+MAX_KB = ("Max_ROH_KB", "Max_ROH_length_KB", "Maximum_ROH_KB", "Max_total_ROH_KB_observed", "Max_ROH_segment_KB")
+MAX_BP = ("Max_ROH_BP", "Max_ROH_length_bp", "Maximum_ROH_BP")
+BY_COUNTS, BY_KB, BY_BP = "NSEG_2_5Mb_plus_NSEG_gt5Mb", "maximum_ROH_length_KB", "maximum_ROH_length_BP"
 
 
 def long_roh(df: DataFrame) -> tuple[Column, Column]:
     """Whether a row has a run of homozygosity above 2 Mb, and how that was told.
 
-    Counts of the two long classes go first, then the longest run in kb, then
-    in bp; a row with none of them is an error.
+    Counts of the two long classes go first, of which one is enough and an
+    absent one is 0, then the longest run in kb, then in bp; a row with none of
+    them is an error.
     """
     col = lambda names: number(F.col(f"`{c}`")) if (c := first_column(df.columns, *names)) else F.lit(None).cast("double")
     n2, n5, kb, bp = (col(n) for n in (COUNT_2_5, COUNT_GT5, MAX_KB, MAX_BP))
-    counted = n2.isNotNull() & n5.isNotNull()
+    counted = n2.isNotNull() | n5.isNotNull()
     none = F.raise_error(F.lit("no usable ROH length field"))
-    flag = F.when(counted, n2 + n5 > 0).when(kb.isNotNull(), kb > 2000).when(bp.isNotNull(), bp > 2_000_000).otherwise(none.cast("boolean"))
-    how = F.when(counted, "length_class_counts").when(kb.isNotNull(), "maximum_length_kb").when(bp.isNotNull(), "maximum_length_bp")
+    flag = F.when(counted, F.coalesce(n2, F.lit(0.0)) + F.coalesce(n5, F.lit(0.0)) > 0).when(kb.isNotNull(), kb > 2000).when(bp.isNotNull(), bp > 2_000_000).otherwise(none.cast("boolean"))
+    how = F.when(counted, BY_COUNTS).when(kb.isNotNull(), BY_KB).when(bp.isNotNull(), BY_BP)
     return flag, how
 
 

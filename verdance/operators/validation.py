@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,9 +19,19 @@ def anchor_checks(observed: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(observed, "Item", "left").select("Item", "Observed", "Expected", diff.alias("Absolute_difference"), F.when(known, tolerance).alias("Tolerance"), status.alias("Status"))
 
 
-def invariants(metrics: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """One row per rule, an SQL condition over the one-row frame ``metrics``: ``(Invariant, Status)``; null counts as failed."""
-    rows = F.array(*[F.struct(F.lit(n).alias("Invariant"), F.when(F.coalesce(F.expr(r), F.lit(False)), "PASS").otherwise("FAIL").alias("Status")) for n, r in rules.items()])
+def invariants(metrics: DataFrame, rules: dict[str, tuple[str, tuple[str, ...]]]) -> DataFrame:
+    """``(Invariant, Status, Detail)``, one row per rule: an SQL condition over the one-row frame ``metrics`` and the columns that its detail shows.
+
+    A null condition counts as failed.  Whole numbers are shown without a point.
+    """
+
+    def shown(name: str) -> Column:
+        x = F.col(name).cast("double")
+        text = F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+        return F.concat(F.lit(f"{name}="), F.coalesce(text, F.lit("NA")))
+
+    status = lambda r: F.when(F.coalesce(F.expr(r), F.lit(False)), "PASS").otherwise("FAIL")
+    rows = F.array(*[F.struct(F.lit(n).alias("Invariant"), status(r).alias("Status"), F.concat_ws(", ", *map(shown, names)).alias("Detail")) for n, (r, names) in rules.items()])
     return metrics.select(F.explode(rows).alias("r")).select("r.*")
 
 

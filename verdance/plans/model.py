@@ -104,23 +104,26 @@ class Model:
 
     @property
     def pairs(self) -> DataFrame:
-        """``(a, b, pi_hat)``: similarities of sample pairs from orders, a pair's smallest one."""
+        """``(a, b, pi_hat)``: a similarity of each pair of samples from all orders that name both; few are high, so that the graph has components."""
         orders = self.table("orders")
-        every = max(1, orders.count() // 15000)
         one, two = F.col("o_custkey") % 100, F.expr("(o_orderkey div 7) % 100")
-        rows = orders.where(F.col("o_orderkey") % (75 * every) == 0).select(F.least(one, two).alias("i"), F.greatest(one, two).alias("j"), (F.expr("cast(floor(o_totalprice) as bigint)") % 1000 / F.lit(1000.0)).alias("s")).where("i <> j")
-        rows = rows.groupBy("i", "j").agg(F.min("s").alias("pi_hat"))
+        rows = orders.select(F.least(one, two).alias("i"), F.greatest(one, two).alias("j"), F.expr("cast(floor(o_totalprice) as bigint)").alias("v")).where("i <> j")
+        rows = rows.groupBy("i", "j").agg((F.sum("v") % 1000 / F.lit(1000.0)).alias("s"))
+        for power in (2, 4, 8, 16):  # the same products in the same order as the SQL
+            rows = rows.withColumn(f"s{power}", F.col("s" if power == 2 else f"s{power // 2}") * F.col("s" if power == 2 else f"s{power // 2}"))
+        rows = rows.select("i", "j", (F.col("s16") * F.col("s8")).alias("pi_hat"))
         known = self.samples.select("sample_id", "ord")
         name = lambda c, n: known.select(F.col("ord").cast("long").alias(c), F.col("sample_id").alias(n))
         return rows.join(F.broadcast(name("i", "x")), "i").join(F.broadcast(name("j", "y")), "j").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "pi_hat")
 
     @property
     def roh(self) -> DataFrame:
-        """``(SampleID, NSEG_2_5Mb, NSEG_gt5Mb)`` from all events, users folded onto the samples: a value is a length of as many tens of kilobases."""
+        """``(SampleID, NSEG_2_5Mb, NSEG_gt5Mb)`` from all events, users folded onto the samples: a value is a length of as many tens of kilobases; every seventh sample has one count only."""
         kb = F.col("value") * 10
         got = self.table("events").groupBy((F.col("user_id") % 100).cast("int").alias("ord")).agg(F.count_if((kb > 4200) & (kb <= 4600)).alias("m"), F.count_if(kb > 4600).alias("l"))
         z = lambda c: F.coalesce(c, F.lit(0)).cast("string")
-        return self.samples.join(got, "ord", "left").select(F.col("sample_id").alias("SampleID"), z("m").alias("NSEG_2_5Mb"), z("l").alias("NSEG_gt5Mb"))
+        one_count = F.when(F.col("ord") % 7 == 3, "NA").otherwise(z("m"))
+        return self.samples.join(got, "ord", "left").select(F.col("sample_id").alias("SampleID"), one_count.alias("NSEG_2_5Mb"), z("l").alias("NSEG_gt5Mb"))
 
     @property
     def quotas(self) -> DataFrame:

@@ -135,9 +135,9 @@ def _val_cols() -> str:
 
 _LEVELS = [0.9, 0.8, 0.7, 0.5]
 _EDGES = [
-    "ev AS (SELECT greatest(1, count(*) // 15000) AS e FROM orders)",
-    "pr0 AS (SELECT least(o_custkey % 100, (o_orderkey // 7) % 100) AS i, greatest(o_custkey % 100, (o_orderkey // 7) % 100) AS j, (CAST(floor(o_totalprice) AS BIGINT) % 1000) / 1000.0 AS s FROM orders, ev WHERE o_orderkey % (75 * e) = 0)",
-    "pairs AS (SELECT least(x.sample_id, y.sample_id) AS a, greatest(x.sample_id, y.sample_id) AS b, min(s) AS pi FROM pr0 JOIN samples x ON x.ord = i JOIN samples y ON y.ord = j WHERE i <> j GROUP BY 1, 2)",
+    "pr0 AS (SELECT least(o_custkey % 100, (o_orderkey // 7) % 100) AS i, greatest(o_custkey % 100, (o_orderkey // 7) % 100) AS j, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) % 1000 / CAST(1000 AS DOUBLE) AS s FROM orders GROUP BY 1, 2)",
+    "pr2 AS (SELECT i, j, s * s AS s2 FROM pr0 WHERE i <> j), pr4 AS (SELECT i, j, s2 * s2 AS s4 FROM pr2), pr8 AS (SELECT i, j, s4 * s4 AS s8 FROM pr4), pr24 AS (SELECT i, j, (s8 * s8) * s8 AS s FROM pr8)",
+    "pairs AS (SELECT least(x.sample_id, y.sample_id) AS a, greatest(x.sample_id, y.sample_id) AS b, s AS pi FROM pr24 JOIN samples x ON x.ord = i JOIN samples y ON y.ord = j)",
     values("lv", "th, label", [(t, f"PIHAT_ge_{t:.2f}") for t in _LEVELS]),
     "mem AS (SELECT 'All' AS scope, sample_id FROM samples UNION ALL SELECT material, sample_id FROM samples UNION ALL SELECT garden, sample_id FROM samples WHERE garden <> 'NA')",
     "nodes AS (SELECT 'global' AS scope, th, sample_id FROM samples, lv UNION ALL SELECT scope, th, sample_id FROM mem, lv)",
@@ -194,7 +194,7 @@ _REC = [
     "cov AS (SELECT DISTINCT plan, chrom, pos FROM sel JOIN car ON car.sample_id = sel.sample_id)",
     "pls AS (SELECT plan, count(*) AS n FROM sel GROUP BY plan)",
 ]
-_ROH = "roh AS (SELECT s.sample_id, count(*) FILTER (value * 10 > 4200) > 0 AS lng FROM samples s LEFT JOIN events e ON e.user_id = s.ord GROUP BY s.sample_id)"
+_ROH = "roh AS (SELECT s.sample_id, count(*) FILTER (value * 10 > CASE WHEN s.ord % 7 = 3 THEN 4600 ELSE 4200 END) > 0 AS lng FROM samples s LEFT JOIN events e ON e.user_id % 100 = s.ord GROUP BY s.sample_id)"
 _QC = [
     *_EDGES,
     *_G,
@@ -213,7 +213,7 @@ _PORT = [
     "cn AS (SELECT count(*) AS target_total, count(*) FILTER (NOT Current) AS Current_missing, count(*) FILTER (NOT Core) AS Core_missing, count(*) FILTER (NOT Plan_A) AS Plan_A_missing, count(*) FILTER (NOT Plan_B) AS Plan_B_missing, count(*) FILTER (Current AND NOT Core) AS core_added_loss,"
     " count(*) FILTER (Current AND NOT Core AND Plan_A) AS Plan_A_rescued_loss, count(*) FILTER (NOT Current AND Plan_A) AS Plan_A_recovered_original, count(*) FILTER (Current AND NOT Core AND Plan_B) AS Plan_B_rescued_loss, count(*) FILTER (NOT Current AND Plan_B) AS Plan_B_recovered_original FROM pres)",
 ]
-HASHED_N = 20
+HASHED_N = 1000
 _HASH = [
     *_REC,
     f"pool AS (SELECT plan, k.perm, s.region, s.sample_id, q, row_number() OVER (PARTITION BY plan, k.perm, s.region ORDER BY md5('7|' || plan || '|' || k.perm || '|' || s.sample_id), s.sample_id) AS rk FROM samples s JOIN quota ON quota.region = s.region, range(1, {HASHED_N + 1}) AS k(perm) WHERE s.material = 'Wild' AND q > 0)",
@@ -244,9 +244,9 @@ SQL = {
     "rarefied_by_threshold": q(f"SELECT th.t AS AC_threshold, th.tmin AS Wild_minor_count_min, {_SET_COLS}, {_RARE_COLS} FROM sets CROSS JOIN th LEFT JOIN val v ON v.s = sets.s AND v.mc >= tmin GROUP BY th.t, th.tmin, sets.s, sets.k, sets.nn", *_RARE),
     "callability_sites": q(f"SELECT chrom AS CHROM, pos AS POS, minor AS Wild_minor_allele, mc AS Wild_minor_count, {rnd('maf')} AS Wild_minor_MAF, bin AS Wild_MAF_bin, Wild_AN, Ex_situ_AN, {rnd('wr')} AS Wild_call_rate, {rnd('er')} AS Ex_situ_call_rate, st AS Allele_status FROM rt WHERE st = 'Ex_situ_missing'", *_CALL),
     "callability_summary": q(f"SELECT s.st AS Allele_status, th.t AS AC_threshold, th.tmin AS Wild_minor_count_min, b.bin AS Wild_MAF_bin, count(wr) AS Site_N, {_call_cols()} FROM (VALUES ('Ex_situ_missing'), ('Ex_situ_retained')) AS s(st) CROSS JOIN th CROSS JOIN allbins b LEFT JOIN gq ON gq.st = s.st AND gq.t = th.t AND gq.bin = b.bin GROUP BY s.st, th.t, th.tmin, b.bin", *_CALL),
-    "status_disagreements": q("SELECT chrom, pos, CAST(NULL AS BOOLEAN) AS rebuilt, CAST(NULL AS BOOLEAN) AS listed FROM miss WHERE n_Ex_situ > 0"),
+    "status_disagreements": q("SELECT chrom, pos, n_Ex_situ <= 0 AS rebuilt, CASE WHEN n_Ex_situ > 0 THEN true END AS listed FROM uni WHERE (n_Ex_situ > 0 AND CAST(pos AS BIGINT) % 40 = 7) OR (n_Ex_situ <= 0 AND CAST(pos AS BIGINT) % 5 = 3)"),
     "carrier_quality": q(f"SELECT th.t AS AC_threshold, th.tmin AS Wild_minor_count_min, b.bin AS Wild_MAF_bin, count(x.dos) AS Carrier_genotype_N, CAST(coalesce(sum(x.dos), 0) AS BIGINT) AS Carrier_target_allele_copies, {_val_cols()} FROM th CROSS JOIN allbins b LEFT JOIN crx x ON x.t = th.t AND x.bin = b.bin GROUP BY th.t, th.tmin, b.bin", *_CARR),
-    "similarity_pairs": q("SELECT a, b, pi AS pi_hat FROM pairs", *_EDGES),
+    "similarity_pairs": q(f"SELECT a, b, {rnd('pi')} AS pi_hat FROM pairs", *_EDGES),
     "global_threshold_summary": q(f"SELECT label AS Threshold, c.th AS PI_HAT_min, count(*) AS Total_samples, (SELECT count(*) FROM pairs WHERE pi >= c.th) AS High_similarity_pair_count, count(*) FILTER (sample_id = rep) AS Effective_independent_N, count(*) FILTER (sample_id = rep AND size >= 2) AS Redundant_component_N, count(*) FILTER (size >= 2) AS Samples_in_redundant_components, count(*) FILTER (sample_id <> rep) AS Redundant_nonrepresentative_N, {rnd('count(*) FILTER (sample_id <> rep) / count(*)')} AS Redundancy_rate FROM comp c JOIN lv ON lv.th = c.th WHERE scope = 'global' GROUP BY label, c.th", *_EDGES),
     "group_threshold_summary": q(f"SELECT label AS Threshold, x.th AS PI_HAT_min, gs AS Graph_scope, grp AS \"Group\", nn AS Nominal_N, e AS Effective_independent_N, nn - e AS Redundant_reduction_N, {share0('nn - e', 'nn')} AS Redundancy_rate FROM (SELECT 'global_component_membership' AS gs, mem.scope AS grp, th, count(*) AS nn, count(DISTINCT rep) AS e FROM mem JOIN comp ON comp.sample_id = mem.sample_id AND comp.scope = 'global' GROUP BY mem.scope, th UNION ALL SELECT 'induced_subgraph', scope, th, count(*), count(DISTINCT rep) FROM comp WHERE scope <> 'global' GROUP BY scope, th) x JOIN lv ON lv.th = x.th", *_EDGES),
     "component_summary": q("SELECT label AS Threshold, c.th AS PI_HAT_min, label || '_C' || lpad(CAST(no AS VARCHAR), 4, '0') AS Component_ID, count(*) AS Component_size, rep AS Representative_sample_global, count(*) FILTER (material = 'Wild') AS N_Wild, count(*) FILTER (material = 'Ex_situ') AS N_Ex_situ, count(*) FILTER (garden = 'Pingshun') AS N_Pingshun, count(*) FILTER (garden = 'Tongguan') AS N_Tongguan, count(*) FILTER (garden = 'Zhendong') AS N_Zhendong, string_agg(c.sample_id, ';' ORDER BY c.sample_id) AS Samples FROM comp c JOIN lv ON lv.th = c.th JOIN samples s ON s.sample_id = c.sample_id WHERE scope = 'global' GROUP BY label, c.th, no, rep", *_EDGES),
@@ -269,16 +269,20 @@ SQL = {
         + ", ".join(f"{rnd(f'quantile_cont(d.x, {v})')} AS Random_{k}" for k, v in (("q025", 0.025), ("q05", 0.05), ("q50", 0.5), ("q95", 0.95), ("q975", 0.975)))
         + f", {rnd('max(d.x)')} AS Random_max, {rnd('(o.x - quantile_cont(d.x, 0.975)) * 100')} AS Greedy_minus_random_q975_percentage_points, {rnd('(count(*) FILTER (d.x >= o.x) + 1) / (count(*) + 1)')} AS Empirical_p_random_ge_greedy, {rnd('count(*) FILTER (d.x <= o.x) / count(*)')} AS Greedy_percentile_vs_random, "
         f"{rnd('CASE WHEN coalesce(stddev_samp(d.x), 0) > 1e-12 THEN (o.x - avg(d.x)) / stddev_samp(d.x) ELSE 0 END')} AS Greedy_z_score FROM dist d JOIN obs o ON o.plan = d.plan AND o.bin = d.bin GROUP BY d.plan, d.n, d.bin, d.t, o.r, o.x", *_HASH),
-    "qc_samples": q(f"SELECT plan AS Plan, CAST(step AS INTEGER) AS Step, sample_id AS SampleID, {rnd('r')} AS Target_site_call_rate, {rnd('pct')} AS Call_rate_percentile_within_all_Wild, r < 0.6 AS Below_selected_call_rate_threshold, cid AS Global_component_ID, size AS Global_component_size, lng AS ROH_gt_2Mb, 'length_class_counts' AS ROH_gt_2Mb_detection_method FROM qc", *_QC),
-    "qc_by_plan": q(f"SELECT qc.plan AS Plan, count(*) AS Selected_sample_N, {rnd('min(r)')} AS Call_rate_min, {rnd('quantile_cont(r, 0.05)')} AS Call_rate_p05, {rnd('quantile_cont(r, 0.5)')} AS Call_rate_median, {rnd('avg(r)')} AS Call_rate_mean, {rnd('max(r)')} AS Call_rate_max, count(*) FILTER (r < 0.6) AS Below_call_rate_threshold_N, CAST(0.6 AS DOUBLE) AS Call_rate_threshold, count(*) FILTER (lng) AS Selected_with_ROH_gt_2Mb_N, (SELECT count(*) FROM rep_ WHERE rep_.plan = qc.plan) AS Repeated_PIHAT_component_N, CAST(coalesce((SELECT sum(n) FROM rep_ WHERE rep_.plan = qc.plan), 0) AS BIGINT) AS Repeated_selected_accession_N, 'length_class_counts' AS ROH_detection_method FROM qc GROUP BY qc.plan", *_QC),
+    "qc_samples": q(f"SELECT plan AS Plan, CAST(step AS INTEGER) AS Step, sample_id AS SampleID, {rnd('r')} AS Target_site_call_rate, {rnd('pct')} AS Call_rate_percentile_within_all_Wild, r < 0.6 AS Below_selected_call_rate_threshold, cid AS Global_component_ID, size AS Global_component_size, lng AS ROH_gt_2Mb, 'NSEG_2_5Mb_plus_NSEG_gt5Mb' AS ROH_gt_2Mb_detection_method FROM qc", *_QC),
+    "qc_by_plan": q(f"SELECT qc.plan AS Plan, count(*) AS Selected_sample_N, {rnd('min(r)')} AS Call_rate_min, {rnd('quantile_cont(r, 0.05)')} AS Call_rate_p05, {rnd('quantile_cont(r, 0.5)')} AS Call_rate_median, {rnd('avg(r)')} AS Call_rate_mean, {rnd('max(r)')} AS Call_rate_max, count(*) FILTER (r < 0.6) AS Below_call_rate_threshold_N, CAST(0.6 AS DOUBLE) AS Call_rate_threshold, count(*) FILTER (lng) AS Selected_with_ROH_gt_2Mb_N, (SELECT count(*) FROM rep_ WHERE rep_.plan = qc.plan) AS Repeated_PIHAT_component_N, CAST(coalesce((SELECT sum(n) FROM rep_ WHERE rep_.plan = qc.plan), 0) AS BIGINT) AS Repeated_selected_accession_N, 'NSEG_2_5Mb_plus_NSEG_gt5Mb' AS ROH_detection_method FROM qc GROUP BY qc.plan", *_QC),
     "qc_repeated_components": q("SELECT plan AS Plan, cid AS Global_component_ID, n AS Selected_sample_N, ids AS Selected_samples FROM rep_", *_QC),
     "portfolios": q("SELECT pf AS Portfolio, count(*) AS Sample_N, any_value(target_total) AS Target_total, any_value(target_total) - any_value(ms) AS Retained, any_value(ms) AS Missing, " + rnd("(any_value(target_total) - any_value(ms)) / any_value(target_total)") + " AS Retention_rate FROM (SELECT port.pf, target_total, CASE pf WHEN 'Current' THEN Current_missing WHEN 'Core' THEN Core_missing WHEN 'Plan_A' THEN Plan_A_missing ELSE Plan_B_missing END AS ms FROM port, cn) GROUP BY pf", *_PORT),
     "loss_and_rescue": q("SELECT * FROM cn", *_PORT),
     "portfolio_identities": q("SELECT 'core_loss' AS identity, Core_missing = Current_missing + core_added_loss AS holds FROM cn UNION ALL SELECT 'Plan_A_balance', Plan_A_missing = Current_missing - Plan_A_recovered_original + core_added_loss - Plan_A_rescued_loss FROM cn UNION ALL SELECT 'Plan_B_balance', Plan_B_missing = Current_missing - Plan_B_recovered_original + core_added_loss - Plan_B_rescued_loss FROM cn", *_PORT),
-    "site_order_check": "WITH e AS (SELECT event_id AS row_index, event_type AS chrom, user_id AS pos_n, event_id FROM events WHERE event_id < 2000), w AS (SELECT *, lag(pos_n) OVER (PARTITION BY chrom ORDER BY row_index) AS pp, lag(row_index) OVER (PARTITION BY chrom ORDER BY row_index) AS pr FROM e) SELECT chrom, pos_n, row_index, CASE WHEN pos_n <= pp THEN 'unsorted_or_duplicate' ELSE 'noncontiguous_chromosome' END AS violation FROM w WHERE pos_n <= pp OR row_index <> pr + 1",
+    "site_order_check": "WITH e AS (SELECT event_id AS row_index, event_type AS chrom, user_id AS pos_n, event_id FROM events), w AS (SELECT *, lag(pos_n) OVER (PARTITION BY chrom ORDER BY row_index) AS pp, lag(row_index) OVER (PARTITION BY chrom ORDER BY row_index) AS pr FROM e) SELECT chrom, pos_n, row_index, CASE WHEN pos_n <= pp THEN 'unsorted_or_duplicate' ELSE 'noncontiguous_chromosome' END AS violation FROM w WHERE pos_n <= pp OR row_index <> pr + 1",
     "duplicate_sites": "SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
     "anchor_checks": q("SELECT e.Item AS Item, o.v AS Observed, e.x AS Expected, abs(o.v - e.x) AS Absolute_difference, CASE WHEN o.v IS NULL THEN NULL WHEN e.x = floor(e.x) THEN 0.0 ELSE 1e-8 END AS Tolerance, CASE WHEN o.v IS NULL THEN 'NOT_IMPLEMENTED' WHEN abs(o.v - e.x) <= CASE WHEN e.x = floor(e.x) THEN 0.0 ELSE 1e-8 END THEN 'PASS' ELSE 'FAIL' END AS Status FROM (SELECT 'wild_minor_total' AS Item, CAST(171 AS DOUBLE) AS x UNION ALL SELECT 'combined_ex_situ_missing', 19 UNION ALL SELECT 'half', 0.5 UNION ALL SELECT 'unknown', 1) e LEFT JOIN (SELECT 'wild_minor_total' AS Item, CAST(count(*) AS DOUBLE) AS v FROM uni UNION ALL SELECT 'combined_ex_situ_missing', count(*) FROM miss UNION ALL SELECT 'half', 0.5) o USING (Item)"),
-    "invariants": q("SELECT 'retained_plus_missing' AS Invariant, CASE WHEN count(*) FILTER (n_Ex_situ > 0) + count(*) FILTER (n_Ex_situ = 0) = count(*) THEN 'PASS' ELSE 'FAIL' END AS Status FROM uni UNION ALL SELECT 'complement_still_missing', CASE WHEN (SELECT count(*) FROM ps WHERE cls = 'Still_missing_from_all_ex_situ') = (SELECT count(*) FROM miss) THEN 'PASS' ELSE 'FAIL' END UNION ALL SELECT 'regions_partition_missing', CASE WHEN (SELECT count(*) FROM occ) = (SELECT count(*) FROM miss) THEN 'PASS' ELSE 'FAIL' END", _BY_SITE, *_OCC),
+    "invariants": q(
+        "SELECT 'retained_plus_missing' AS Invariant, CASE WHEN kept + lost = total THEN 'PASS' ELSE 'FAIL' END AS Status, 'kept=' || kept || ', lost=' || lost || ', total=' || total AS Detail FROM iv"
+        " UNION ALL SELECT 'complement_still_missing', CASE WHEN still = lost THEN 'PASS' ELSE 'FAIL' END, 'still=' || still || ', lost=' || lost FROM iv"
+        " UNION ALL SELECT 'regions_partition_missing', CASE WHEN regional = lost THEN 'PASS' ELSE 'FAIL' END, 'regional=' || regional || ', lost=' || lost FROM iv", _BY_SITE, *_OCC,
+        "iv AS (SELECT count(*) FILTER (n_Ex_situ > 0) AS kept, count(*) FILTER (n_Ex_situ = 0) AS lost, count(*) AS total, (SELECT count(*) FROM ps WHERE cls = 'Still_missing_from_all_ex_situ') AS still, (SELECT count(*) FROM occ) AS regional FROM uni)"),
     "region_canonicalise": "SELECT i AS id, CASE WHEN trim(x) = '' THEN 'NA' ELSE coalesce(CASE lower(regexp_replace(trim(replace(x, '_', ' ')), '\\s+', ' ', 'g')) WHEN 'qinling' THEN 'Qinling Mountains' WHEN 'lvliang mountains' THEN 'Lvliang Mountain' WHEN 'taihang' THEN 'Taihang Mountains' WHEN 'zhongtiaoshan' THEN 'Zhongtiao Mountain' END, trim(regexp_replace(replace(x, '_', ' '), '\\s+', ' ', 'g'))) END AS region FROM (VALUES (1, ' qinling '), (2, 'Lvliang_Mountains'), (3, 'TAIHANG'), (4, ''), (5, 'Zhongtiaoshan'), (6, 'Else  where')) AS t(i, x)",
     "genotype_readings": q("SELECT gt, CASE WHEN regexp_full_match(gt, '[0-9][/|][0-9]') THEN replace(replace(gt, '|', '/'), '/', ',') END AS strict_diploid, CASE WHEN regexp_full_match(gt, '[0-9]([/|][0-9])*') THEN replace(replace(gt, '|', '/'), '/', ',') END AS complete, CASE WHEN gt LIKE '%x%' THEN '' ELSE array_to_string(list_filter(string_split(replace(gt, '|', '/'), '/'), lambda z: z <> '.'), ',') END AS called_lenient FROM g", *_GT),
     "key_value_table": q("SELECT 'targets' AS Item, CAST(count(*) AS VARCHAR) AS Value FROM uni UNION ALL SELECT 'missing', CAST(count(*) AS VARCHAR) FROM miss UNION ALL SELECT 'nested', 'True' UNION ALL SELECT 'nothing', 'NA'"),

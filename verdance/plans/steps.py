@@ -294,7 +294,9 @@ def qc_step(s: Study) -> None:
     write_tsv(qc.repeated_components(rows), out / "03.repeated_PIHAT_component_check.tsv", order=("Plan", "Global_component_ID"))
     got = {r["Plan"]: r for r in plan.collect()}
     long, twice = (sum(r[c] for r in got.values()) for c in ("Selected_with_ROH_gt_2Mb_N", "Repeated_PIHAT_component_N"))
-    write_items([("All_Wild_call_rate_N", rates.count()), *[(f"Plan_{p[-1]}_sample_N", r["Selected_sample_N"]) for p, r in sorted(got.items())], ("Selected_with_ROH_gt_2Mb_across_plan_checks", long), ("Repeated_PIHAT_components_across_plan_checks", twice), ("Plan_A_is_subset_of_Plan_B", True)], out / "04.internal_check.tsv")
+    x, b = F.col("Target_site_call_rate"), got[selection.PLANS[1]]
+    wild = rates.agg(F.count("*").alias("N"), F.min(x).alias("min"), F.percentile(x, F.lit(0.5)).alias("median"), F.max(x).alias("max")).first().asDict()
+    write_items([*[(f"All_Wild_call_rate_{k}", v) for k, v in wild.items()], *[(f"Plan_{p[-1]}_sample_N", r["Selected_sample_N"]) for p, r in sorted(got.items())], ("Selected_with_ROH_gt_2Mb_across_plan_checks", long), ("Repeated_PIHAT_components_across_plan_checks", twice), ("Plan_B_selected_with_ROH_gt_2Mb", b["Selected_with_ROH_gt_2Mb_N"]), ("Plan_B_repeated_PIHAT_components", b["Repeated_PIHAT_component_N"]), ("Plan_A_is_subset_of_Plan_B", True)], out / "04.internal_check.tsv")
     if s.p["validate_known_results"] and (long or twice):
         raise ValidationError("selected samples have long runs of homozygosity or share a component")
 
@@ -369,19 +371,19 @@ def validation_step(s: Study) -> None:
     more |= {"distribution_rows": int(tables.read_key_values(s.spark, str(s.out(8) / "05.internal_check.tsv"))["Distribution_rows"]), "qc_b": next(int(r["Selected_sample_N"]) for r in s.result(9, "02.selected_Wild_QC_summary_by_plan.tsv").collect() if r["Plan"] == "Greedy_Plan_B")}
     row = s.spark.createDataFrame([tuple(float(v) for v in (m | more).values())], ", ".join(f"`{k}` double" for k in m | more))
     rules = {
-        "wild_retained_plus_missing_equals_total": "combined_ex_situ_retained + combined_ex_situ_missing = wild_minor_total",
-        "core_and_low_partition_current_ex_situ": "core_and_low = 0 and de_redundant_core_n + lower_priority_redundant_n = ex_situ_total",
-        "plan_A_is_subset_of_plan_B": "only_a = 0",
-        "ALT_state_arithmetic": "reported_alt_states_retained + reported_alt_states_lost = reported_alt_states_total",
-        "complementarity_still_missing_equals_combined_exsitu_missing": "still = combined_ex_situ_missing",
-        "regional_occurrence_partitions_missing_targets": "regional = combined_ex_situ_missing",
-        **{f"rarefaction_observed_matches_allele_representation_{g}": f"abs(rare_{g.lower()} - {g.lower()}_retained) < 1e-8" for g in representation.GROUPS[2:]},
-        "true_ALT_copy_weighted_arithmetic": "true_alt_copy_covered + true_alt_copy_uncovered = true_alt_copy_total",
-        "greedy_full_target_recovery_matches_internal_counts": "rec_a = plan_a_recovered and rec_b = plan_b_recovered",
-        "random_distribution_row_count": "distribution_rows = random_permutations * 2 * 5",
-        "selected_QC_no_missing_join_silent_fallback": "plan_b_wild_n = qc_b",
-        "direct_current_matches_ACAN_baseline": "direct_total = wild_minor_total and direct_missing = combined_ex_situ_missing",
-        "direct_core_size_matches_components": "direct_core = de_redundant_core_n",
+        "wild_retained_plus_missing_equals_total": ("combined_ex_situ_retained + combined_ex_situ_missing = wild_minor_total", ("combined_ex_situ_retained", "combined_ex_situ_missing", "wild_minor_total")),
+        "core_and_low_partition_current_ex_situ": ("core_and_low = 0 and de_redundant_core_n + lower_priority_redundant_n = ex_situ_total", ("core_and_low", "de_redundant_core_n", "lower_priority_redundant_n", "ex_situ_total")),
+        "plan_A_is_subset_of_plan_B": ("only_a = 0", ("only_a",)),
+        "ALT_state_arithmetic": ("reported_alt_states_retained + reported_alt_states_lost = reported_alt_states_total", ("reported_alt_states_retained", "reported_alt_states_lost", "reported_alt_states_total")),
+        "complementarity_still_missing_equals_combined_exsitu_missing": ("still = combined_ex_situ_missing", ("still", "combined_ex_situ_missing")),
+        "regional_occurrence_partitions_missing_targets": ("regional = combined_ex_situ_missing", ("regional", "combined_ex_situ_missing")),
+        **{f"rarefaction_observed_matches_allele_representation_{g}": (f"abs(rare_{g.lower()} - {g.lower()}_retained) < 1e-8", (f"rare_{g.lower()}", f"{g.lower()}_retained")) for g in representation.GROUPS[2:]},
+        "true_ALT_copy_weighted_arithmetic": ("true_alt_copy_covered + true_alt_copy_uncovered = true_alt_copy_total", ("true_alt_copy_covered", "true_alt_copy_uncovered", "true_alt_copy_total")),
+        "greedy_full_target_recovery_matches_internal_counts": ("rec_a = plan_a_recovered and rec_b = plan_b_recovered", ("rec_a", "plan_a_recovered", "rec_b", "plan_b_recovered")),
+        "random_distribution_row_count": ("distribution_rows = random_permutations * 2 * 5", ("distribution_rows", "random_permutations")),
+        "selected_QC_no_missing_join_silent_fallback": ("plan_b_wild_n = qc_b", ("plan_b_wild_n", "qc_b")),
+        "direct_current_matches_ACAN_baseline": ("direct_total = wild_minor_total and direct_missing = combined_ex_situ_missing", ("direct_total", "wild_minor_total", "direct_missing", "combined_ex_situ_missing")),
+        "direct_core_size_matches_components": ("direct_core = de_redundant_core_n", ("direct_core", "de_redundant_core_n")),
     }
     held = materialize(validation.invariants(row, rules), "invariants")
     expected = [(k, float(v)) for k, v in (s.config.raw.get("expected_results") or {}).items()]

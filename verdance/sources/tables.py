@@ -70,15 +70,20 @@ def read_missing_targets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """``(sample_id, material, garden, region, Original_*)`` with null words, materials and regions made uniform."""
+    """``(sample_id, material, garden, region, Original_*)`` with null words, materials and regions made uniform.
+
+    Rows without an id, or with a null word in its place, are left out.  A blank
+    region is looked up in ``Registered_region``; a null word is not blank.
+    """
     df = read_tsv(spark, path)
     col = lambda *names: cleaned(F.col(f"`{c}`")) if (c := first_column(df.columns, *names)) else F.lit("NA")
-    if not first_column(df.columns, "SampleID", "Sample", "ID"):
+    raw = lambda name: F.col(f"`{c}`") if (c := first_column(df.columns, name)) else F.lit("")
+    if not first_column(df.columns, "SampleID", "IID"):
         raise ValidationError(f"{path} has no sample column")
     material = canonical_material(col("Material_type", "Material"))
     garden = F.when(material == "Wild", "NA").otherwise(col("Ex_situ_site", "Garden"))
-    region = canonical_region(F.coalesce(F.nullif(col("Region"), F.lit("NA")), col("Registered_region")))
-    out = df.select(col("SampleID", "Sample", "ID").alias("sample_id"), material.alias("material"), garden.alias("garden"), region.alias("region"), *[col(c).alias(c) for c in ("Original_province", "Original_city", "Original_county")])
+    region = canonical_region(F.when(raw("Region") == "", raw("Registered_region")).otherwise(raw("Region")))
+    out = df.where(col("SampleID", "IID") != "NA").select(col("SampleID", "IID").alias("sample_id"), material.alias("material"), garden.alias("garden"), region.alias("region"), *[col(c).alias(c) for c in ("Original_province", "Original_city", "Original_county")])
     assert_empty(duplicates(out, "sample_id"), f"{path} lists samples twice")
     assert_empty(out.where(~F.col("material").isin("Wild", "Ex_situ")).select("sample_id", "material"), f"{path} has unknown materials")
     assert_empty(out.where((F.col("material") == "Ex_situ") & ~F.col("garden").isin("Pingshun", "Tongguan", "Zhendong")).select("sample_id", "garden"), f"{path} has unknown gardens")
