@@ -7,6 +7,7 @@ lost executor costs a reread and never a result.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
 import uuid
@@ -76,13 +77,20 @@ def recorded() -> Iterator[list[str]]:
         _scopes.open = [x for x in _scopes.open if x is not made]
 
 
+def release(spark: SparkSession) -> None:
+    """Have both garbage collectors run, on which Spark drops the shuffle files of plans that nobody holds any more; by itself it asks for that every half hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_tables(spark: SparkSession, made: list[str]) -> None:
-    """Delete the tables of a list, empty it, and take them off all open lists."""
+    """Delete the tables of a list and unused shuffle files, empty the list, and take its tables off all open lists."""
     gone = set(made)
     for path in gone:
         drop_path(spark, path)
     for held in [made, *getattr(_scopes, "open", [])]:
         held[:] = [x for x in held if x not in gone]
+    release(spark)
 
 
 def result_only(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
