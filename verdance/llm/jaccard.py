@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from verdance.llm.common import in_batches, kept_in_worker, mixed, table
 from verdance.operators.components import connected_components
-from verdance.storage import materialize, result_only
+from verdance.storage import drop_tables, materialize, recorded, result_only
 
 #: Cells of the frequency sketch, in blocks that are merged independently.
 CELLS, BLOCKS = 1 << 21, 64
@@ -242,9 +242,13 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, num: int
     sig = signatures(docs, id_col, text_col, size)
     plain = sig.where("kind = 0").select("id", "n", "digest")
     reps = materialize(plain.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "shingle-classes")
-    logs = frequencies(sig.where("kind = 1"))
+    spark = docs.sparkSession
+    with recorded() as sketches:
+        logs = frequencies(sig.where("kind = 1"))
+    drop_tables(spark, sketches)
     held = prefixes(docs, id_col, text_col, size, num, den, logs).join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    held = materialize(held, "shingle-prefixes")
+    with recorded() as sets:
+        held = materialize(held, "shingle-prefixes")
     # ``room``: how many tokens of the set come after this one.
     posts = held.select("id", "n", "matches", F.posexplode("prefix").alias("at", "token")).select("id", "n", "matches", "token", (F.col("n") - F.col("at") - 1).alias("room"))
 
@@ -263,6 +267,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, num: int
     led = led.where(_alike(F.col("n"), F.col("n_leader"), num, den) & (F.col("common") >= F.col("want")))
     stars = led.groupBy("id").agg(F.max_by("leader", F.struct("common", -F.col("leader"))).alias("leader"))
     stars = _compared(stars.select(F.col("leader").alias("x"), F.col("id").alias("y")), docs, id_col, text_col, size, num, den, "stars", deltas=True)
+    drop_tables(spark, sets)
     comp = connected_components(stars.where("linked"), "x", "y")
     home = comp.withColumnRenamed("node", "id")
     around = stars.where("close").select(F.col("y").alias("id"), F.col("x").alias("center"))
