@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from verdance.functions import alleles as A
 
 KIND = "random_region_matched"
+#: Buckets in which targets are numbered side by side.
+NUMBERING = 256
 
 
 def replayed_draws(wild: Sequence[str], pools: Mapping[str, Sequence[str]], plans: Mapping[str, Mapping[str, int]], n: int, seed: int, burn: bool = True) -> list[tuple[str, int, str]]:
@@ -55,16 +57,25 @@ def hashed_draws(wild: DataFrame, quotas: DataFrame, n: int, seed: int) -> DataF
 
 def _bitmaps(per_target: DataFrame) -> DataFrame:
     """Per sample and bin (and all bins) the targets it carries as bitmaps of 32,768 bits."""
-    numbered = per_target.select("Wild_MAF_bin", "carriers", F.row_number().over(_by_site()).alias("idx"))
+    numbered = _numbered(per_target).select("Wild_MAF_bin", "carriers", "idx")
     rows = A.with_all_bin(numbered).select("Wild_MAF_bin", "idx", F.explode("carriers").alias("SampleID"))
     return rows.groupBy("SampleID", "Wild_MAF_bin", F.bitmap_bucket_number("idx").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("idx")).alias("bits"))
 
 
-def _by_site():
+def _numbered(per_target: DataFrame) -> DataFrame:
+    """Targets with dense numbers ``idx`` from 1: the place within a hash bucket of the site, after all buckets before it.
+
+    A lost task gives the same numbers again, since both parts depend on the
+    rows alone.
+    """
     from pyspark.sql import Window
 
-    # Missing targets only, of which a study has some hundred thousand: numbers must be dense for the bitmaps.
-    return Window.orderBy("CHROM", "POS")
+    rows = per_target.withColumn("__b", F.pmod(F.xxhash64("CHROM", "POS"), F.lit(NUMBERING)))
+    totals = rows.groupBy("__b").agg(F.count("*").alias("__n"))
+    # At most NUMBERING rows, in the window and in the broadcast.
+    before = totals.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
+    placed = rows.withColumn("__k", F.row_number().over(Window.partitionBy("__b").orderBy("CHROM", "POS")))
+    return placed.join(F.broadcast(before), "__b").withColumn("idx", F.col("__before") + F.col("__k")).drop("__b", "__k", "__before")
 
 
 def distribution(per_target: DataFrame, draws: DataFrame) -> DataFrame:
