@@ -20,7 +20,7 @@ from verdance.storage import materialize
 #: Symbols of an n-gram, and what is taken off each count.
 ORDER, DISCOUNT = 6, 0.9
 #: Labelled rows that are learned from, in expectation, and n-grams that a model holds at most.
-FITTED, NGRAMS = 100_000, 500_000
+FITTED, NGRAMS = 20_000, 250_000
 #: How many of a text's most telling words are compared, beside the whole text, and the symbols that a word counts as at least.
 TELLING, SHORTEST = (1, 2, 4, 8), 8.0
 #: A document is called toxic from this score on.
@@ -36,6 +36,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 def spellings(token: str) -> list[str]:
     """The runs of letters of a token in lower case, cut after ``LONGEST`` letters each; none for a bare sign or number."""
+    if token.isalpha() and len(token) <= LONGEST:
+        return [token.lower()]
     return [run[i : i + LONGEST] for run in _LETTERS.findall(token.lower()) for i in range(0, len(run), LONGEST)]
 
 
@@ -45,19 +47,19 @@ def ngrams_of(word: str) -> list[str]:
     return [s[max(0, i + 1 - ORDER) : i + 1] for i in range(1, len(s))]
 
 
-def hashed(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit keys of strings in the rows of a matrix of code points, right aligned; columns before the last ``length`` do not count."""
-    key = mixed(lengths.astype(np.uint64) + np.uint64(1))
-    width = symbols.shape[1]
-    for j in range(width):
-        used = lengths >= width - j
-        key = np.where(used, mixed(key * np.uint64(0x9E3779B97F4A7C15) + symbols[:, j].astype(np.uint64)), key)
-    return key
+#: What the code points of an n-gram are multiplied with, by their place from the end; a context has the places of its n-gram.
+_WEIGHTS = mixed(np.arange(1, ORDER + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def _right_aligned(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+def hashed(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit keys of strings from the weighted sums of their code points."""
+    return mixed(sums + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _keys(texts: list[str], width: int) -> np.ndarray:
+    """Keys of strings of at most ``width`` characters, right aligned."""
     flat = np.frombuffer("".join(t.rjust(width, "\0") for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return flat.reshape(len(texts), width), np.fromiter(map(len, texts), np.int64, len(texts))
+    return hashed(flat.reshape(len(texts), width).astype(np.uint64) @ _WEIGHTS[:width], np.fromiter(map(len, texts), np.int64, len(texts)))
 
 
 class Models:
@@ -74,27 +76,30 @@ class Models:
         out = np.zeros((3, len(words)))
         if not words:
             return out
-        wide = ["\0" * (ORDER - 2) + START + w + END for w in words]
+        flat = np.frombuffer("".join("\0" * (ORDER - 2) + START + w + END for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-        flat = np.frombuffer("".join(wide).encode("utf-32-le", "surrogatepass"), np.uint32)
-        grams = np.lib.stride_tricks.sliding_window_view(flat, ORDER)
-        first = np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1)
         owner = np.repeat(np.arange(len(words)), sizes)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        grams = grams[first[owner] + place]
+        first = np.arange(len(owner)) + owner * (ORDER - 1)
         length = np.minimum(place + 2, ORDER)
+        sums = np.zeros(len(owner), np.uint64)
+        for j in range(ORDER):
+            sums += flat[first + j] * _WEIGHTS[j]
+        last = flat[first + ORDER - 1] * _WEIGHTS[-1]
         logs = np.zeros((2, len(owner)))
-        open_at = np.arange(len(owner))
-        while len(open_at):
-            known, where = _find(self.keys, hashed(grams[open_at], length[open_at]))
-            logs[:, open_at[known]] += self.logs[:, where[known]]
-            open_at = open_at[~known]
-            single = length[open_at] == 1
-            logs[:, open_at[single]] += self.floor
-            open_at = open_at[~single]
-            seen, where = _find(self.contexts, hashed(grams[open_at][:, :-1], length[open_at] - 1))
-            logs[:, open_at[seen]] += self.back[:, where[seen]]
-            length[open_at] -= 1
+        left = np.arange(len(owner))
+        while len(left):
+            known, where = _find(self.keys, hashed(sums[left], length[left]))
+            logs[:, left[known]] += self.logs[:, where[known]]
+            left = left[~known]
+            single = length[left] == 1
+            logs[:, left[single]] += self.floor
+            left = left[~single]
+            seen, where = _find(self.contexts, hashed(sums[left] - last[left], length[left] - 1))
+            logs[:, left[seen]] += self.back[:, where[seen]]
+            gone = ORDER - length[left]
+            sums[left] -= flat[first[left] + gone] * _WEIGHTS[gone]
+            length[left] -= 1
         for m in range(2):
             out[m] = np.bincount(owner, logs[m], len(words))
         out[2] = sizes
@@ -159,7 +164,7 @@ def fit_models(counts: pd.DataFrame) -> Models:
     back.append(np.stack(rests))
     # Anchored contexts are their own strings, so none of the lists names an n-gram or a context twice.
     logs, back = np.concatenate(logs, 1), np.concatenate(back, 1)
-    out = Models(hashed(*_right_aligned(grams, ORDER)), logs[0], logs[1], hashed(*_right_aligned(contexts, ORDER - 1)), back[0], back[1], len(levels[-1]))
+    out = Models(_keys(grams, ORDER), logs[0], logs[1], _keys(contexts, ORDER - 1), back[0], back[1], len(levels[-1]))
     out.floor = float(np.log(unigram_rest))
     return out
 
@@ -210,7 +215,8 @@ class Reader:
         for piece in pieces(text or ""):
             tokens = piece.split()
             if tokens:
-                self.learn(set(tokens))
+                if not self.known.keys() >= (words := set(tokens)):
+                    self.learn(words)
                 f = self.facts[:, np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))]
                 total += f.sum(1)
                 best = np.concatenate([best, (f[0] - f[1]) / np.maximum(f[2], SHORTEST)])
