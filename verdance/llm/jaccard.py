@@ -22,8 +22,8 @@ CELLS, BLOCKS = 1 << 21, 64
 FAN_IN = 128
 #: Matches a prefix may ask for, and the cost of verifying a pair in units of a posting.
 MOST_MATCHES, VERIFY_COST = 4, 32.0
-#: Ids that are sent to every worker at most: 8 MB.
-BROADCAST_IDS = 1_000_000
+#: Wanted classes that are sent to every worker at most: three numbers each, 12 MB.
+BROADCAST_IDS = 500_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 250_000
 
@@ -63,6 +63,11 @@ class Shingler:
         return np.unique(acc)
 
 
+def digest_of(shingles: np.ndarray) -> bytes:
+    """What tells a shingle set from all others."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _cell(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64(CELLS - 1)).astype(np.int64)
 
@@ -70,10 +75,10 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """One pass over all texts: a digest of each shingle set, and this task's counts of shingles per cell.
 
-    Rows with ``kind`` 0 are documents ``(id, n, digest)``; rows with ``kind``
+    Rows with ``kind`` 0 are documents ``(id, text_hash, n, digest)``; rows with ``kind``
     1 are blocks of the task's frequency sketch ``(id: the block, cells)``.
     """
-    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("cells", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts, held = shingler(size), np.zeros(CELLS, np.int32), []
@@ -81,22 +86,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
         def rows():
             nonlocal held
             for b in batches:
-                for i, text in zip(b.column(0), b.column(1)):
+                for i, text, h in zip(b.column(0), b.column(1), b.column(2)):
                     s = shingles(text.as_py())
                     held.append(s)
                     if len(held) >= 512:
                         np.add(counts, np.bincount(_cell(np.concatenate(held)), minlength=CELLS), out=counts, casting="unsafe")
                         held = []
-                    yield 0, i.as_py(), len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, None
+                    yield 0, i.as_py(), h.as_py(), len(s), digest_of(s) if len(s) else None, None
             if held:
                 np.add(counts, np.bincount(_cell(np.concatenate(held)), minlength=CELLS), out=counts, casting="unsafe")
 
         yield from in_batches(rows(), schema)
         if counts.any():
             for k, block in enumerate(counts.reshape(BLOCKS, -1)):
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((1, k, 0, None, np.minimum(block, 255).astype(np.uint8).tobytes()), schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((1, k, None, 0, None, np.minimum(block, 255).astype(np.uint8).tobytes()), schema)], schema=schema)
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "kind int, id long, n long, digest binary, cells binary")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, "kind int, id long, text_hash long, n long, digest binary, cells binary")
     return materialize(out, "shingle-signatures")
 
 
@@ -152,10 +157,10 @@ def prefix_of(tokens: np.ndarray, logs: np.ndarray, num: int, den: int) -> tuple
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, logs: np.ndarray) -> DataFrame:
-    """``(id, n, matches, prefix)`` of all documents that have shingles."""
+    """``(id, digest, n, matches, prefix)`` of all documents that have shingles."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(logs)  # CELLS bytes
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("matches", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("matches", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, logs = shingler(size), held.value
@@ -166,36 +171,48 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, d
                     s = shingles(text.as_py())
                     if len(s):
                         p, matches = prefix_of(s, logs, num, den)
-                        yield i.as_py(), len(s), matches, p.view(np.int64)
+                        yield i.as_py(), digest_of(s), len(s), matches, p.view(np.int64)
 
         yield from in_batches(rows(), schema, 1024)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, n long, matches int, prefix array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, digest binary, n long, matches int, prefix array<long>")
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, ids: DataFrame) -> DataFrame:
-    """``(id, tokens)`` of the documents whose id is in ``ids``.
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(id, tokens)`` of the classes whose number is in ``nodes``.
 
-    Few ids (their number is checked) go to every worker and texts stay where
-    they are; more than ``BROADCAST_IDS`` meet the texts in a shuffle.
+    ``classes`` are ``(node, rep, digest)``: a class is read from a document
+    with the id ``rep`` whose shingles have the digest.  Few classes (their
+    number is checked) go to every worker and texts stay where they are; more
+    than ``BROADCAST_IDS`` meet the texts in a shuffle.
     """
     schema = pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(size)
-        yield from in_batches(((i.as_py(), shingles(text.as_py()).view(np.int64)) for b in batches for i, text in zip(b.column(0), b.column(1))), schema, 256)
 
-    ids = materialize(ids, "wanted-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(ids, "id", "left_semi")
-    return wanted.mapInArrow(run, "id long, tokens array<long>").dropDuplicates(["id"])
+        def rows():
+            for b in batches:
+                for node, mark, text in zip(b.column(0), b.column(1), b.column(2)):
+                    s = shingles(text.as_py())
+                    # An id may come with several texts: each class takes its own.
+                    if len(s) and int.from_bytes(digest_of(s)[:8], "big", signed=True) == mark.as_py():
+                        yield node.as_py(), s.view(np.int64)
+
+        yield from in_batches(rows(), schema, 256)
+
+    mark = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    wanted = materialize(classes.join(nodes.select(F.col("id").alias("node")), "node", "left_semi").select("node", F.col("rep").alias("id"), mark.alias("mark")), "wanted-classes")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(wanted, "id").select("node", "mark", "text")
+    return texts.mapInArrow(run, "id long, tokens array<long>").dropDuplicates(["id"])
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, label: str, deltas: bool = False) -> DataFrame:
+def _compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, label: str, classes: DataFrame, deltas: bool = False) -> DataFrame:
     """The pairs ``(x, y)`` with ``linked``, by exact intersection; with ``deltas`` also ``n_y`` and what ``y`` has more (``added``) and less (``lacking``) than ``x``."""
     pairs = materialize(pairs.select("x", "y"), f"{label}-asked")
     ids = pairs.select("x").union(pairs.select("y")).toDF("id").distinct()
-    sets = materialize(shingle_sets(docs, id_col, text_col, size, ids), f"{label}-sets")
+    sets = materialize(shingle_sets(docs, id_col, text_col, size, ids, classes), f"{label}-sets")
     a = sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx"))
     b = sets.select(F.col("id").alias("y"), F.col("tokens").alias("ty"))
     both = pairs.join(a, "x").join(b, "y").withColumn("common", F.size(F.array_intersect("tx", "ty")))
@@ -212,14 +229,17 @@ def _alike(n1: Column, n2: Column, num: int, den: int) -> Column:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``(id, n_shingles, component_id)`` for each row of ``docs``: groups of texts linked by Jaccard similarity of at least ``num / den``.
+    """``(id, n_shingles, component_id, text_hash, component)`` for each row of ``docs``: groups of texts linked by Jaccard similarity of at least ``num / den``.
 
     Sets are the distinct ``size``-word shingles.  Two documents are linked
     when ``den`` times the intersection reaches ``num`` times the union;
     ``component_id`` is the smallest id that links reach.  A null or wordless
-    text has the empty set and is linked with nothing.  Rows that repeat an id
-    must repeat its text; each gets the same answer.  A null id is a document
-    of its own without links.
+    text has the empty set and is linked with nothing.  Rows are documents, also
+    those that repeat an id: with the same text they get the same answer, with
+    another text their own.  ``component`` numbers the components, of which two
+    can have the same smallest id then; it is null where there are no links to
+    speak of: without words, and for a null id, which is a document of its own.
+    ``text_hash`` is ``xxhash64`` of the text.
 
     The join is exact, and no group is expanded into pairs:
 
@@ -240,13 +260,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _components(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
     sig = signatures(docs, id_col, text_col, size)
-    plain = sig.where("kind = 0").select("id", "n", "digest")
-    reps = materialize(plain.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "shingle-classes")
+    plain = sig.where("kind = 0").select("id", "text_hash", "n", "digest")
+    # Equal sets are one class: from here on ``id`` is the number of a class, and documents are found again by ``rep`` and digest.
+    reps = plain.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id())
+    reps = materialize(reps, "shingle-classes")
     spark = docs.sparkSession
     with recorded() as sketches:
         logs = frequencies(sig.where("kind = 1"))
     drop_tables(spark, sketches)
-    held = prefixes(docs, id_col, text_col, size, num, den, logs).join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    held = prefixes(docs, id_col, text_col, size, num, den, logs).join(reps.withColumnRenamed("rep", "id"), ["id", "digest"]).select(F.col("node").alias("id"), "n", "matches", "prefix").dropDuplicates(["id"])
     with recorded() as sets:
         held = materialize(held, "shingle-prefixes")
     # ``room``: how many tokens of the set come after this one.
@@ -266,7 +288,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, num: int
     # One leader for each: what this round leaves out the next one decides.
     led = led.where(_alike(F.col("n"), F.col("n_leader"), num, den) & (F.col("common") >= F.col("want")))
     stars = led.groupBy("id").agg(F.max_by("leader", F.struct("common", -F.col("leader"))).alias("leader"))
-    stars = _compared(stars.select(F.col("leader").alias("x"), F.col("id").alias("y")), docs, id_col, text_col, size, num, den, "stars", deltas=True)
+    stars = _compared(stars.select(F.col("leader").alias("x"), F.col("id").alias("y")), docs, id_col, text_col, size, num, den, "stars", reps, deltas=True)
     drop_tables(spark, sets)
     comp = connected_components(stars.where("linked"), "x", "y")
     home = comp.withColumnRenamed("node", "id")
@@ -303,7 +325,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, num: int
     want = F.least("matches_a", "matches_b")
     cross = cross.where((F.col("comp_a") != F.col("comp_b")) & meets("_a", "_b", "n", "n", "n", "n", F.least("room_a", "room_b") + want))
     pairs = cross.groupBy(F.least("id_a", "id_b").alias("x"), F.greatest("id_a", "id_b").alias("y"), want.alias("want")).agg(F.count("*").alias("common")).where("common >= want").select("x", "y")
-    more = _compared(pairs, docs, id_col, text_col, size, num, den, "cross-pairs").where("linked").select("x", "y")
+    more = _compared(pairs, docs, id_col, text_col, size, num, den, "cross-pairs", reps).where("linked").select("x", "y")
 
     # The same centre C: if x is not linked with C and shares none of its differences from C with y, then x and y are not linked:
     # with c = (1 - t) / (1 + t), |x ^ C| > c (|x| + |C|) and |y| <= |C| + |y ^ C| give |x ^ y| = |x ^ C| + |y ^ C| > c (|x| + |y|).
@@ -335,8 +357,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, num: int
 
     # Components of components: the nodes left are the first round's.
     comp2 = connected_components(more.join(comp.selectExpr("node as x", "component as cx"), "x", "left").join(comp.selectExpr("node as y", "component as cy"), "y", "left").select(F.coalesce("cx", "x").alias("src"), F.coalesce("cy", "y").alias("dst")))
-    final = reps.join(comp.selectExpr("node as rep", "component as c1"), "rep", "left").withColumn("c1", F.coalesce("c1", "rep")).join(comp2.selectExpr("node as c1", "component as c2"), "c1", "left").select("digest", F.coalesce("c2", "c1").alias("component_id"))
-    return plain.join(final, "digest", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    final = reps.join(comp.selectExpr("node", "component as c1"), "node", "left").withColumn("c1", F.coalesce("c1", "node")).join(comp2.selectExpr("node as c1", "component as c2"), "c1", "left").select("digest", "rep", F.coalesce("c2", "c1").alias("component"))
+    final = materialize(final, "class-components")
+    least = final.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = plain.where("id is not null and digest is not null").join(final.select("digest", "component").join(least, "component"), "digest")
+    alone = plain.where("id is null or digest is null").select("id", "text_hash", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    return linked.select(*alone.columns).unionByName(alone).select("id", F.col("n").alias("n_shingles"), "component_id", "text_hash", "component")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
