@@ -66,6 +66,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines leave the texts, and ``n_chars`` follows; every row stays.
 
     Copies of whole documents keep their text: the next stage removes them as documents.
+    Repeated rows keep their number and get equal texts; null texts stay null; an empty table stays empty.
     """
     out = lines.dedup_lines(docs, keep_whole_copies=True, prefix=OWN).select(*docs.columns)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else out
@@ -73,11 +74,28 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; rows with a null id are no one's copy."""
+    """Of each group of linked documents one row stays: of those with the smallest id.
+
+    Rows are judged one by one, also where ids repeat: a row that is like no
+    other stays, whatever else has its id; of rows with equal id and text one
+    stays, and it is not stated which.  Rows with a null id and texts without
+    words are no one's copy; an empty table stays empty.
+    """
     ship(spark)
-    found = jaccard.jaccard_components(docs, size=WORDS, num=ALIKE, den=100)
-    gone = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = jaccard.jaccard_components(docs, size=WORDS, num=ALIKE, den=100).where("component is not null")
+    groups = found.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
+    # One row for each id and text of a group: whether it stays, and whether it must be made one row first.
+    rows = found.groupBy("component", "id", "text_hash").agg(F.count("*").alias("copies")).join(groups, "component")
+    judged = rows.select(F.col("id").alias(OWN + "id"), F.col("text_hash").alias(OWN + "hash"), (F.struct("id", "text_hash") == F.col("first")).alias(OWN + "stays"), (F.col("copies") > 1).alias(OWN + "repeats"))
+    judged = materialize(judged.where(f"not {OWN}stays or {OWN}repeats"), "near-duplicates")
+    hashed = docs.withColumn(OWN + "text", F.xxhash64("text"))
+    same = (F.col("doc_id") == F.col(OWN + "id")) & (F.col(OWN + "text") == F.col(OWN + "hash"))
+    kept = hashed.join(judged, same, "left_anti").select(*docs.columns)
+    again = judged.where(f"{OWN}stays")
+    if again.isEmpty():
+        return kept
+    one = hashed.join(again, same, "left_semi").dropDuplicates(["doc_id", OWN + "text"])
+    return kept.unionByName(one.select(*docs.columns))
 
 
 @_stage
