@@ -268,7 +268,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, num: int
     with recorded() as sketches:
         logs = frequencies(sig.where("kind = 1"))
     drop_tables(spark, sketches)
-    held = prefixes(docs, id_col, text_col, size, num, den, logs).join(reps.withColumnRenamed("rep", "id"), ["id", "digest"]).select(F.col("node").alias("id"), "n", "matches", "prefix").dropDuplicates(["id"])
+    held = prefixes(docs, id_col, text_col, size, num, den, logs).join(reps.withColumnRenamed("rep", "id"), ["id", "digest"]).dropDuplicates(["id", "digest"]).select(F.col("node").alias("id"), "n", "matches", "prefix")
     with recorded() as sets:
         held = materialize(held, "shingle-prefixes")
     # ``room``: how many tokens of the set come after this one.
