@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdance.functions import alleles as A
 from verdance.functions import genotypes as G
+from verdance.operators import inrecord
 from verdance.operators.checks import assert_empty
 
 
@@ -35,6 +38,29 @@ def state_counts(calls: DataFrame, classes: DataFrame, allow_partial: bool = Tru
     )
 
 
+def state_counts_in_record(records: DataFrame, names: Sequence[str], classes: Sequence[tuple[str, bool, str]], allow_partial: bool = True) -> DataFrame:
+    """What :func:`state_counts` gives, from records ``(chrom, pos, ref, alt, format, cells)`` of the samples ``names``.
+
+    ``classes`` lists ``(sample, in_core, garden)`` of the collection.  Counts
+    are taken inside each record, and only its alternatives become rows.
+    """
+    gardens = sorted({g for _, core, g in classes if not core})
+    groups = {"core": [s for s, core, _ in classes if core], **{f"low{i}": [s for s, core, g in classes if not core and g == garden] for i, garden in enumerate(gardens)}}
+    counted = inrecord.group_counts(records, names, groups, inrecord.LENIENT if allow_partial else inrecord.COMPLETE_ONLY)
+    low = [f"low{i}" for i in range(len(gardens))]
+    total = lambda values: sum(values[1:], values[0])
+    rows = counted.select("*", F.posexplode(F.split("alt", ",")).alias("i", "one_alt"))
+    of = lambda g: F.get(f"{g}_AC", F.col("i") + 1)
+    rows = rows.withColumn("n_core", of("core")).withColumn("n_low", total([of(g) for g in low]) if low else F.lit(0).cast("long"))
+    rows = rows.withColumn("n", F.col("n_core") + F.col("n_low")).withColumn("an", total([F.col(f"{g}_AN") for g in groups]))
+    here = F.array_compact(F.array(*[F.when(of(g) > 0, F.lit(garden)) for g, garden in zip(low, gardens)])) if low else F.array().cast("array<string>")
+    ac, an = F.col("n"), F.col("an")
+    return rows.where(A.snp_state(F.col("ref"), F.col("one_alt")) & (ac > 0)).select(
+        F.col("chrom").alias("CHROM"), F.col("pos").alias("POS"), F.col("ref").alias("REF"), (F.col("i") + 1).alias("ALT_index"), F.col("one_alt").alias("ALT"), an.alias("Current_AN"), ac.alias("Current_ALT_AC"), (ac / an).alias("Current_ALT_AF"),
+        F.col("core_AN").alias("Core_AN"), F.col("n_core").alias("Core_ALT_AC"), A.alt_frequency_bin(ac, an).alias("Current_ALT_freq_bin"), F.col("n_low").alias("low_copies"), here.alias("low_gardens"),
+    )
+
+
 def _bins(spark) -> DataFrame:
     return A.dimension(spark, Current_ALT_freq_bin=["All", *A.ALT_BINS])
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdance.functions import alleles as A
 from verdance.functions import genotypes as G
+from verdance.operators import inrecord
 from verdance.operators.checks import ValidationError, assert_empty
 
 NAMES = ("Current", "Core", "Plan_A", "Plan_B")
@@ -53,6 +54,15 @@ def presence(calls: DataFrame, wild: DataFrame, members: DataFrame, strict: bool
     return site.select("chrom", "pos", *[F.when(minor == "ALT", F.col(f"{p}_alt") > 0).otherwise(F.col(f"{p}_ref") > 0).alias(p) for p in NAMES])
 
 
+def presence_in_record(records: DataFrame, names: Sequence[str], wild: Sequence[str], members: Sequence[tuple[str, str]]) -> DataFrame:
+    """What :func:`presence` gives, from records ``(chrom, pos, ref, alt, format, cells)`` of the samples ``names``; ``members`` lists ``(portfolio, sample)``."""
+    groups = {"Wild": list(wild), **{p: [s for q, s in members if q == p] for p in NAMES}}
+    counted = inrecord.group_counts(records, names, groups, inrecord.STRICT)
+    ac, an = F.get("Wild_AC", F.lit(1)), F.col("Wild_AN")
+    site = counted.where(A.polymorphic(ac, an)).withColumn("code", G.target_code(A.minor_allele(ac, an)))
+    return site.select("chrom", "pos", *[(F.get(f"{p}_AC", F.col("code")) > 0).alias(p) for p in NAMES])
+
+
 def counters(sites: DataFrame) -> DataFrame:
     """One row of counters: targets, missing per portfolio, loss by the core, rescue and recovery by the plans."""
     lost = F.col("Current") & ~F.col("Core")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from verdance.functions import alleles as A
 from verdance.functions import genotypes as G
+from verdance.operators import inrecord
 from verdance.operators.checks import ValidationError
 from verdance.storage import materialize
 
@@ -32,6 +33,11 @@ def carriers_and_calls(calls: DataFrame, missing: DataFrame) -> DataFrame:
     )
 
 
+def carriers_in_record(records: DataFrame, names: Sequence[str], samples: Sequence[str], missing: DataFrame) -> DataFrame:
+    """What :func:`carriers_and_calls` gives, from records ``(chrom, pos, format, cells)`` of the samples ``names``; only records of targets are read."""
+    return inrecord.carriers_and_called(inrecord.target_sites(records, missing), names, samples)
+
+
 def call_rates(per_target: DataFrame, wild: DataFrame) -> DataFrame:
     """Called targets of each Wild sample ``(sample_id, region, ord)``; the denominator is all targets."""
     total = per_target.agg(F.count("*").alias("Total_target_sites"))

@@ -136,7 +136,27 @@ class Model:
         return {r["Region"]: r["Quota"] for r in self.quotas.where(F.col("Plan") == plan).orderBy("rng_order").collect()}
 
     @property
-    def multi_calls(self) -> DataFrame:
+    def names(self) -> list[str]:
+        """All samples in the order of a record's cells: the cohort."""
+        return [r["sample_id"] for r in self.samples.orderBy("ord").collect()]
+
+    def _cells(self, gt) -> list:
+        """Aggregates of a site's calls into the array of cells that a VCF record has; a sample without a call has a dot."""
+        held = F.map_from_entries(F.collect_list(F.struct("sample_id", gt.alias("gt"))))
+        names = F.array(*[F.lit(n) for n in self.names])
+        return [F.lit("GT").alias("format"), F.transform(names, lambda n: F.coalesce(F.try_element_at(held, n), F.lit("."))).alias("cells")]
+
+    @property
+    def records(self) -> DataFrame:
+        """Biallelic records ``(chrom, pos, ref, alt, format, cells)``, one for each site."""
+        return self.calls.groupBy("chrom", "pos").agg(F.lit("A").alias("ref"), F.lit("C").alias("alt"), *self._cells(F.col("gt"))).select("chrom", "pos", "ref", "alt", "format", "cells")
+
+    @property
+    def multi_records(self) -> DataFrame:
+        """Records with several alternatives, star alleles, lower case and equal bases, with the collection's calls."""
+        return self._multi().groupBy("chrom", "pos", "ref", "alt").agg(*self._cells(F.col("gt"))).select("chrom", "pos", "ref", "alt", "format", "cells")
+
+    def _multi(self) -> DataFrame:
         """Calls of the collection with several alternatives, star alleles, lower case and equal bases: ``(chrom, pos, ref, alt, sample_id, gt)``."""
         p = F.col("p")
         alt = reduce(lambda rest, case: F.when(p % case[0] == 0, case[1]).otherwise(rest), [(17, "A"), (13, "g"), (11, "C,*"), (7, "G,T")], F.lit("C"))

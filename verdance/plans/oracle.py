@@ -223,7 +223,10 @@ _HASH = [
     "dist AS (SELECT d.plan, d.perm, d.n, tb.bin, count(h.pos) AS r, tb.t, CASE WHEN tb.t = 0 THEN 0.0 ELSE count(h.pos) / tb.t END AS x FROM (SELECT plan, perm, count(*) AS n FROM draw GROUP BY plan, perm) d CROSS JOIN tb LEFT JOIN hit h ON h.plan = d.plan AND h.perm = d.perm AND (h.bin = tb.bin OR tb.bin = 'All') GROUP BY d.plan, d.perm, d.n, tb.bin, tb.t)",
     "obs AS (SELECT p.plan, tb.bin, count(c.pos) AS r, CASE WHEN tb.t = 0 THEN 0.0 ELSE count(c.pos) / tb.t END AS x FROM pls p CROSS JOIN tb LEFT JOIN (SELECT cov.plan, miss.chrom, miss.pos, miss.bin FROM cov JOIN miss USING (chrom, pos)) c ON c.plan = p.plan AND (c.bin = tb.bin OR tb.bin = 'All') GROUP BY p.plan, tb.bin, tb.t)",
 ]
-_GT = [values("g", "gt", ["0/1", "1|1", "./.", "1/.", ".|0", "0/0/1", "1", ".", "x/1", "0|0"])]
+_GT = [
+    "g0 AS (SELECT p, a1 || '/' || coalesce(CAST(a2 AS VARCHAR), '.') AS gt FROM calls)",
+    "g AS (SELECT CASE p % 7 WHEN 1 THEN replace(gt, '/', '|') WHEN 2 THEN gt || '/0' WHEN 3 THEN gt[1:1] WHEN 4 THEN replace(gt, '0/', 'x/') WHEN 5 THEN replace(gt, '0/', './') ELSE gt END AS gt, count(*) AS n FROM g0 GROUP BY ALL)",
+]
 
 SQL = {
     "retention_overall": q(f"SELECT g AS Target_group, {_RET} FROM (SELECT gr.g, count(h.n) AS n, count(*) FILTER (h.n > 0) AS k FROM gr LEFT JOIN held h USING (g) GROUP BY gr.g)"),
@@ -283,7 +286,9 @@ SQL = {
         " UNION ALL SELECT 'complement_still_missing', CASE WHEN still = lost THEN 'PASS' ELSE 'FAIL' END, 'still=' || still || ', lost=' || lost FROM iv"
         " UNION ALL SELECT 'regions_partition_missing', CASE WHEN regional = lost THEN 'PASS' ELSE 'FAIL' END, 'regional=' || regional || ', lost=' || lost FROM iv", _BY_SITE, *_OCC,
         "iv AS (SELECT count(*) FILTER (n_Ex_situ > 0) AS kept, count(*) FILTER (n_Ex_situ = 0) AS lost, count(*) AS total, (SELECT count(*) FROM ps WHERE cls = 'Still_missing_from_all_ex_situ') AS still, (SELECT count(*) FROM occ) AS regional FROM uni)"),
-    "region_canonicalise": "SELECT i AS id, CASE WHEN trim(x) = '' THEN 'NA' ELSE coalesce(CASE lower(regexp_replace(trim(replace(x, '_', ' ')), '\\s+', ' ', 'g')) WHEN 'qinling' THEN 'Qinling Mountains' WHEN 'lvliang mountains' THEN 'Lvliang Mountain' WHEN 'taihang' THEN 'Taihang Mountains' WHEN 'zhongtiaoshan' THEN 'Zhongtiao Mountain' END, trim(regexp_replace(replace(x, '_', ' '), '\\s+', ' ', 'g'))) END AS region FROM (VALUES (1, ' qinling '), (2, 'Lvliang_Mountains'), (3, 'TAIHANG'), (4, ''), (5, 'Zhongtiaoshan'), (6, 'Else  where')) AS t(i, x)",
-    "genotype_readings": q("SELECT gt, CASE WHEN regexp_full_match(gt, '[0-9][/|][0-9]') THEN replace(replace(gt, '|', '/'), '/', ',') END AS strict_diploid, CASE WHEN regexp_full_match(gt, '[0-9]([/|][0-9])*') THEN replace(replace(gt, '|', '/'), '/', ',') END AS complete, CASE WHEN gt LIKE '%x%' THEN '' ELSE array_to_string(list_filter(string_split(replace(gt, '|', '/'), '/'), lambda z: z <> '.'), ',') END AS called_lenient FROM g", *_GT),
+    "region_canonicalise": r"""WITH s AS (SELECT s_suppkey, ['qinling', 'Lvliang_Mountains', 'TAIHANG', '', 'Zhongtiaoshan', 'southern  loess', 'na'][s_suppkey % 7 + 1] AS stem, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+        x AS (SELECT s_suppkey, trim(regexp_replace(replace(CASE s_suppkey % 3 WHEN 0 THEN '  ' || upper(stem) WHEN 1 THEN stem || chr(9) ELSE stem || ' ' || n_name END, '_', ' '), '\s+', ' ', 'g')) AS t FROM s)
+        SELECT s_suppkey, CASE lower(t) WHEN '' THEN 'NA' WHEN 'qinling' THEN 'Qinling Mountains' WHEN 'lvliang mountains' THEN 'Lvliang Mountain' WHEN 'taihang' THEN 'Taihang Mountains' WHEN 'zhongtiaoshan' THEN 'Zhongtiao Mountain' WHEN 'southern loess' THEN 'Southern Loess Plateau' ELSE t END AS region FROM x""",
+    "genotype_readings": q("SELECT gt, n, CASE WHEN regexp_full_match(gt, '[0-9][/|][0-9]') THEN replace(replace(gt, '|', '/'), '/', ',') END AS strict_diploid, CASE WHEN regexp_full_match(gt, '[0-9]([/|][0-9])*') THEN replace(replace(gt, '|', '/'), '/', ',') END AS complete, CASE WHEN gt LIKE '%x%' THEN '' ELSE array_to_string(list_filter(string_split(replace(gt, '|', '/'), '/'), lambda z: z <> '.'), ',') END AS called_lenient FROM g", *_GT),
     "key_value_table": q("SELECT 'targets' AS Item, CAST(count(*) AS VARCHAR) AS Value FROM uni UNION ALL SELECT 'missing', CAST(count(*) AS VARCHAR) FROM miss UNION ALL SELECT 'nested', 'True' UNION ALL SELECT 'nothing', 'NA'"),
 }

@@ -194,8 +194,8 @@ def dedup_low(m: Model) -> DataFrame:
 
 
 def _states(m: Model) -> DataFrame:
-    classes = _status(m).select(F.col("SampleID").alias("sample_id"), F.col("Is_representative").alias("in_core"), F.col("Ex_situ_site").alias("garden"))
-    return altstates.state_counts(m.multi_calls, classes)
+    classes = [(r["SampleID"], r["Is_representative"], r["Ex_situ_site"]) for r in _status(m).select("SampleID", "Is_representative", "Ex_situ_site").collect()]  # the collection
+    return altstates.state_counts_in_record(m.multi_records, m.names, classes)
 
 
 @query
@@ -329,7 +329,8 @@ def _portfolio(m: Model) -> tuple[DataFrame, DataFrame]:
     of = lambda p: plans.where(F.col("Plan") == p).select(F.col("SampleID").alias("sample_id"))
     core = materialize(relatedness.core(_status(m)).select(F.col("SampleID").alias("sample_id")), "core")
     members = portfolios.portfolio_members(m.collection, core, of("Greedy_Plan_A"), of("Greedy_Plan_B"))
-    sites = portfolios.presence(m.calls.select("chrom", "pos", "sample_id", "gt"), m.wild, members)
+    in_them = [tuple(r) for r in members.select("portfolio", "sample_id").collect()]  # the cohort
+    sites = portfolios.presence_in_record(m.records, m.names, [r["sample_id"] for r in m.wild.collect()], in_them)
     return portfolios.counters(sites), members
 
 
@@ -382,16 +383,23 @@ def invariants(m: Model) -> DataFrame:
 
 @query
 def region_canonicalise(m: Model) -> DataFrame:
-    rows = A.dimension(m.spark, id=[1, 2, 3, 4, 5, 6], x=[" qinling ", "Lvliang_Mountains", "TAIHANG", "", "Zhongtiaoshan", "Else  where"])
-    return rows.select("id", canonical_region(F.col("x")).alias("region"))
+    """Spellings of region names made of each supplier's nation and name: white space, underscores, case, blanks and unknown names."""
+    stems = ["qinling", "Lvliang_Mountains", "TAIHANG", "", "Zhongtiaoshan", "southern  loess", "na"]
+    k = F.col("s_suppkey")
+    stem = F.element_at(F.array(*[F.lit(x) for x in stems]), (k % len(stems) + 1).cast("int"))
+    spelled = F.when(k % 3 == 0, F.concat(F.lit("  "), F.upper(stem))).when(k % 3 == 1, F.concat(stem, F.lit("\t"))).otherwise(F.concat(stem, F.lit(" "), F.col("n_name")))
+    rows = m.table("supplier").join(m.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return rows.select(k, canonical_region(spelled).alias("region"))
 
 
 @query
 def genotype_readings(m: Model) -> DataFrame:
-    rows = A.dimension(m.spark, gt=["0/1", "1|1", "./.", "1/.", ".|0", "0/0/1", "1", ".", "x/1", "0|0"])
+    """How often each genotype string occurs in all calls, bent into other ploidies and faults by site, and what the readings make of it."""
+    p, gt = F.col("p"), F.col("gt")
+    bent = F.when(p % 7 == 1, F.replace(gt, F.lit("/"), F.lit("|"))).when(p % 7 == 2, F.concat(gt, F.lit("/0"))).when(p % 7 == 3, F.substring(gt, 1, 1)).when(p % 7 == 4, F.replace(gt, F.lit("0/"), F.lit("x/"))).when(p % 7 == 5, F.replace(gt, F.lit("0/"), F.lit("./"))).otherwise(gt)
+    rows = m.calls.select(bent.alias("gt")).groupBy("gt").agg(F.count("*").alias("n"))
     shown = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    gt = F.col("gt")
-    return rows.select("gt", shown(G.strict_diploid_alleles(gt)).alias("strict_diploid"), shown(G.complete_alleles(gt)).alias("complete"), shown(G.called_alleles_lenient(gt, 1)).alias("called_lenient"))
+    return rows.select("gt", "n", shown(G.strict_diploid_alleles(gt)).alias("strict_diploid"), shown(G.complete_alleles(gt)).alias("complete"), shown(G.called_alleles_lenient(gt, 1)).alias("called_lenient"))
 
 
 @query

@@ -208,7 +208,8 @@ def alt_step(s: Study) -> None:
     records = vcf.read_records(s.spark, path, names)
     ids = [r["sample_id"] for r in current.orderBy("ord").collect()]
     (out / "00.current_ex_situ.samples.txt").write_text("".join(f"{i}\n" for i in ids))
-    states = materialize(altstates.state_counts(vcf.calls(records, names, ids), classes, s.p["allow_partial"]), "alt-states")
+    known = [tuple(r) for r in classes.select("sample_id", "in_core", "garden").collect()]  # the collection
+    states = materialize(altstates.state_counts_in_record(records, names, known, s.p["allow_partial"]), "alt-states")
     altstates.check_partition(states)
     lost = altstates.lost_states(states)
     write_tsv(altstates.coverage_summary(states), out / "01.deredundancy_ALT_coverage_summary.tsv", order=("Current_ALT_freq_bin",))
@@ -228,7 +229,7 @@ def selection_step(s: Study) -> None:
     assert_empty(goal.join(records, ["chrom", "pos"], "left_anti"), "the VCF lacks missing targets")
     assert_empty(records.join(goal, ["chrom", "pos"], "left_semi").groupBy("chrom", "pos").count().where("count > 1"), "the VCF repeats a target")
     ids = [r["sample_id"] for r in wild.orderBy("ord").collect()]
-    per = materialize(selection.carriers_and_calls(vcf.calls(records.join(goal, ["chrom", "pos"], "left_semi"), names, ids), missing), "target-carriers")
+    per = materialize(selection.carriers_in_record(records, names, ids, missing), "target-carriers")
     rates = selection.call_rates(per, wild)
     write_tsv(rates.orderBy("ord").drop("ord"), out / "00.Wild_target_site_call_rate.tsv")
     quotas = s.quotas()
@@ -312,9 +313,9 @@ def portfolio_step(s: Study) -> None:
     names = vcf.read_header(s.spark, path)
     records = vcf.read_records(s.spark, path, names)
     vcf.check_biallelic_sorted(records)
-    ids = [r["sample_id"] for r in wild.select("sample_id").union(coll.select("sample_id")).collect()]
     members = portfolios.portfolio_members(coll, core, a, b)
-    counted = materialize(portfolios.counters(portfolios.presence(vcf.calls(records, names, ids), wild, members)), "counters")
+    in_them, of_wild = [tuple(r) for r in members.select("portfolio", "sample_id").collect()], [r["sample_id"] for r in wild.collect()]  # the cohort
+    counted = materialize(portfolios.counters(portfolios.presence_in_record(records, names, of_wild, in_them)), "counters")
     portfolios.check_counters(counted)
     write_tsv(portfolios.portfolio_table(counted, members), out / "01.final_portfolios.tsv", order=("Portfolio",))
     write_counters(counted, out / "02.loss_and_rescue.json")
