@@ -84,3 +84,30 @@ def test_pipeline_removes_rows_not_ids(spark, rows):
         assert sum(kept[r] for r in {rows[j] for j in group if rows[j][0] == first}) >= 1
     assert kept[5, "wholly other words that are like no others at all"] == 1 and kept[9, "t u v"] + kept[9, "T u  v"] == 1 and kept[None, rows[0][1]] == 2
     assert stage(spark, docs.where("false"), "").collect() == []
+
+
+def test_links_of_vectors_that_share_an_id(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6, 16))
+    rows = []
+    for i in range(150):
+        v = base[rng.integers(6)] + rng.normal(size=16) * rng.choice([0.0, 0.05, 0.2, 0.5])
+        rows.append((int(rng.integers(60)), int(rng.integers(2)), v.tolist()))
+    rows += [(1, 0, base[0].tolist()), (1, 0, (base[0] * 2).tolist()), (1, 0, base[1].tolist()), (1, 1, base[0].tolist()), (None, 0, base[0].tolist())]
+    unit = np.array([r[2] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    linked = (unit @ unit.T >= 0.93) & np.array([[a[1] == b[1] and None not in (a[0], b[0]) for b in rows] for a in rows]) & ~np.eye(len(rows), dtype=bool)
+    at = list(range(len(rows)))
+    for _ in rows:
+        at = [min([at[i], *[at[j] for j in np.nonzero(linked[i])[0]]]) for i in range(len(rows))]
+    want = collections.Counter()
+    for i, (vec_id, _, _) in enumerate(rows):
+        least = None if vec_id is None else min(rows[j][0] for j in range(len(rows)) if at[j] == at[i] and rows[j][0] is not None)
+        want[vec_id, int(linked[i].sum()), least] += 1
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    assert collections.Counter((r.id, r.n_links, r.component_id) for r in got) == want
+
+
+def test_nothing_is_known_without_training_rows(spark):
+    out = gru.score_documents(spark.createDataFrame([(None, "a b c"), (None, None), (None, "")], "doc_id long, text string")).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens) for r in out) == [(1, 0, 0), (1, 0, 0), (4, 0, 0)]

@@ -341,6 +341,7 @@ def _averaged(rows: DataFrame) -> np.ndarray | None:
     """Mean of ``weights`` weighted by ``tokens``, in groups of at most 64 rows until one is left."""
 
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["tokens", "weights"])  # sums in one order, however the rows arrive
         n = pdf["tokens"].to_numpy(np.float64)
         total = sum(np.frombuffer(w, np.float32) * np.float64(k) for w, k in zip(pdf["weights"], n))
         return pd.DataFrame({"weights": [(total / n.sum()).astype(np.float32).tobytes()], "tokens": [int(n.sum())]})
@@ -483,7 +484,7 @@ def _scored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     out = out.drop("words", "times").join(rare, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0)) - (F.lit(1) if not n_train else F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0)) if n_train else F.lit(0).cast("long")).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base_score") + logs).alias("base_score"), (F.col("score") + logs).alias("score"),
     )
 

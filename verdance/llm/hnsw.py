@@ -233,8 +233,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     and the label is searched again with a doubled beam until the pooled recall
     is enough.  Only a label whose beam would hold a whole shard and whose
     audits still fail is scanned instead.  A task gives back counts and a spanning forest of the links it found, never
-    the pairs.  Repeated ids are vectors of their own with a common answer for
-    the component.
+    the pairs.  Rows that repeat an id are vectors of their own: each has its
+    own links and component, whose name is the smallest id in it.
 
     ``audit_log`` names a folder for the audits, a Parquet table ``(label, dim,
     beam, audits, hits, truths)``: one row per label and search.
@@ -263,15 +263,16 @@ def _near_duplicates(rows: DataFrame, id_col: str, vec_col: str, label_col: str,
     plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).alias("v"))
     plain = materialize(plain.mapInArrow(packed, "id long, label string, dim int, vec binary"), "vectors")
     nodes = plain.where("vec is not null and id is not null").groupBy("label", "dim", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    nodes = materialize(nodes, "distinct-vectors")
+    # An id may come with several vectors, so nodes have numbers of their own.
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")
     counts = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     size = f"least({MOST_SHARD_ROWS}, greatest({SHARD_ROWS}, 32 * sqrt(n)))"
     counts = counts.selectExpr("label", "dim", "n", f"cast(ceil(n / {size}) as int) as shards", f"cast(ceil(n / {BLOCK_ROWS}) as int) as blocks")
     dealt = nodes.join(counts, ["label", "dim"]).withColumn("shard", F.expr("cast(pmod(xxhash64(rep), shards) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(rep, 1), blocks) as int)"))
 
     def pack(pdf: pd.DataFrame) -> tuple:
-        pdf = pdf.sort_values("rep")
-        return pdf["rep"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64), b"".join(pdf["vec"])
+        pdf = pdf.sort_values("node")
+        return pdf["node"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64), b"".join(pdf["vec"])
 
     def built(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, copies, vecs = pack(pdf)
@@ -351,9 +352,11 @@ def _near_duplicates(rows: DataFrame, id_col: str, vec_col: str, label_col: str,
         todo = todo.join(poor, ["label", "dim"]).drop("ef", "wanted").withColumnsRenamed({"next_ef": "ef", "next_wanted": "wanted"})
         asks = asks.join(poor.select("label", "dim"), ["label", "dim"])
     found = reduce(DataFrame.unionByName, [x.select("id", "links", "root") for x in done_links])
-    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
-    comp = connected_components(found, "id", "root").withColumnsRenamed({"node": "rep"})
-    done = nodes.join(links, "rep", "left").join(comp, "rep", "left").select("label", "dim", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    links = found.groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
+    comp = connected_components(found, "id", "root")
+    done = nodes.join(links, "node", "left").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = done.groupBy(F.col("component").alias("of")).agg(F.min("rep").alias("least"))
+    done = done.join(least, F.col("component") == F.col("of")).select("label", "dim", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("least").alias("component"))
     # Rows that link with nothing never meet the join: they would be one hot key there.
     able = F.col("vec").isNotNull() & F.col("id").isNotNull()
     linked_rows = plain.where(able).join(done, ["label", "dim", "vec"]).select("id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
