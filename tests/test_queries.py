@@ -7,6 +7,7 @@ from compare import same
 
 from verdance.plans.model import Model
 from verdance.plans.oracle import SQL
+from verdance.plans import text_queries  # noqa: F401
 from verdance.plans.queries import QUERIES, _per_target
 
 FOLDER = "/root/testdata/sf0.01"

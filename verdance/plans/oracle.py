@@ -292,3 +292,13 @@ SQL = {
     "genotype_readings": q("SELECT gt, n, CASE WHEN regexp_full_match(gt, '[0-9][/|][0-9]') THEN replace(replace(gt, '|', '/'), '/', ',') END AS strict_diploid, CASE WHEN regexp_full_match(gt, '[0-9]([/|][0-9])*') THEN replace(replace(gt, '|', '/'), '/', ',') END AS complete, CASE WHEN gt LIKE '%x%' THEN '' ELSE array_to_string(list_filter(string_split(replace(gt, '|', '/'), '/'), lambda z: z <> '.'), ',') END AS called_lenient FROM g", *_GT),
     "key_value_table": q("SELECT 'targets' AS Item, CAST(count(*) AS VARCHAR) AS Value FROM uni UNION ALL SELECT 'missing', CAST(count(*) AS VARCHAR) FROM miss UNION ALL SELECT 'nested', 'True' UNION ALL SELECT 'nothing', 'NA'"),
 }
+
+# What is written as text and read back answers what it answered before.
+SQL |= {
+    "text_retention_overall": SQL["retention_overall"],
+    "text_alt_state_summary": SQL["alt_state_summary"],
+    "text_call_rate": SQL["call_rate"],
+    "text_threshold_summary": SQL["global_threshold_summary"],
+    "text_sampling_order": SQL["random_sampling_order"],
+    "text_metadata": q("SELECT sample_id, material, garden, region FROM samples"),
+}
