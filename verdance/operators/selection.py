@@ -73,36 +73,89 @@ def gains_of(per_target: DataFrame, selected: Sequence[str]) -> dict[str, Counte
     return out
 
 
+def overlaps_of(per_target: DataFrame, selected: Sequence[str], leaders: Sequence[str]) -> dict[tuple[int, str], int]:
+    """Targets that ``selected`` leaves, counted by which of a few ``leaders`` carry them (a bit mask) and by bin: at most ``2 ** len(leaders)`` times four numbers."""
+    left = per_target
+    if selected:
+        left = left.where(~F.arrays_overlap("carriers", F.array(*[F.lit(s) for s in selected])))
+    bits = [F.when(F.array_contains("carriers", s), F.lit(1 << i)).otherwise(F.lit(0)) for i, s in enumerate(leaders)]
+    mask = sum(bits[1:], bits[0])
+    rows = left.groupBy(mask.alias("mask"), "Wild_MAF_bin").agg(F.count("*").alias("n")).where("mask > 0").collect()
+    return {(r["mask"], r["Wild_MAF_bin"]): r["n"] for r in rows}
+
+
+#: Candidates whose overlaps are counted together.
+LEADERS = 12
+
+
 def greedy(per_target: DataFrame, wild: Sequence[tuple[str, str, float]], quota: Mapping[str, int], weights: Mapping[str, float], start: Sequence[Pick] = (), stage: str = PLANS[0]) -> list[Pick]:
     """Picks until every region's quota is full.
 
     ``wild`` lists ``(sample, region, call rate)`` in the order that breaks the
     last ties.  Each step takes the candidate of an open region with the
     largest weighted gain, then the largest total gain, then the largest call
-    rate; quotas are filled even when nothing is gained.  Targets stay
-    distributed: a step is one pass over the per-target rows.
+    rate; quotas are filled even when nothing is gained.
+
+    Targets stay distributed, and picks are lazy: gains only fall as targets
+    are covered, so a pass over the targets bounds them for all later steps.  A
+    round counts all gains, and the overlaps of the ``LEADERS`` best
+    candidates; from these the leaders' gains are known after any of them was
+    picked.  The best leader is picked as long as no other candidate's bound
+    beats it, ties included; then the next round begins.  Two passes a round,
+    of which each picks at least one, usually many.  Negative weights let a
+    score rise as gains fall, so then a round picks one.
     """
     absent = [b for b in A.MAF_BINS[:3] if b not in weights]
     if absent:
         raise ValidationError(f"no weight for {absent}")
+    lazy = all(w >= 0 for w in weights.values())
     picks = list(start)
     chosen = {p.sample for p in picks}
     filled = Counter(p.region for p in picks)
     new: list[Pick] = []
+    place = {sample: (order, region, rate) for order, (sample, region, rate) in enumerate(wild)}
+
+    def key(sample: str, gains: Counter) -> tuple[float, int, float, int]:
+        order, _, rate = place[sample]
+        return sum(weights.get(b, 0.0) * gains[b] for b in A.MAF_BINS), gains.total(), rate, -order
+
+    def open_(sample: str) -> bool:
+        region = place[sample][1]
+        return sample not in chosen and filled[region] < quota.get(region, 0)
+
     while any(filled[r] < n for r, n in quota.items()):
-        gains = gains_of(per_target, [p.sample for p in picks])
-        options = []
-        for order, (sample, region, rate) in enumerate(wild):
-            if sample not in chosen and filled[region] < quota.get(region, 0):
-                own = gains.get(sample, Counter())
-                options.append(((sum(weights.get(b, 0.0) * own[b] for b in A.MAF_BINS), own.total(), rate, -order), sample, region, own))
-        if not options:
+        bound = gains_of(per_target, [p.sample for p in picks])
+        ranked = sorted(filter(open_, place), key=lambda s: key(s, bound.get(s, Counter())), reverse=True)
+        if not ranked:
             raise ValidationError(f"no candidate is left for {stage}")
-        (score, _, rate, minus), sample, region, own = max(options, key=lambda o: o[0])
-        filled[region] += 1
-        chosen.add(sample)
-        new.append(Pick(sample, region, len(picks) + 1, filled[region], quota[region], score, {b: own[b] for b in A.MAF_BINS}, rate, 1 - minus, stage))
-        picks.append(new[-1])
+        leaders = ranked[:LEADERS] if lazy else ranked[:1]
+        rest = ranked[len(leaders) :]
+        overlaps = overlaps_of(per_target, [p.sample for p in picks], leaders) if len(leaders) > 1 else {}
+        exact = {s: bound.get(s, Counter()) for s in leaders}
+        covered = 0
+        while True:
+            options = [s for s in leaders if open_(s)]
+            if not options:
+                break
+            best = max(options, key=lambda s: key(s, exact[s]))
+            others = next((s for s in rest if open_(s)), None)  # the rest is ranked by its bounds
+            if others is not None and key(others, bound.get(others, Counter())) > key(best, exact[best]):
+                break
+            order, region, rate = place[best]
+            filled[region] += 1
+            chosen.add(best)
+            own = exact[best]
+            new.append(Pick(best, region, len(picks) + 1, filled[region], quota[region], key(best, own)[0], {b: own[b] for b in A.MAF_BINS}, rate, 1 + order, stage))
+            picks.append(new[-1])
+            if not lazy or len(leaders) == 1:
+                break
+            covered |= 1 << leaders.index(best)
+            exact = {s: Counter() for s in leaders}
+            for (mask, bin_), n in overlaps.items():
+                if not mask & covered:
+                    for i, s in enumerate(leaders):
+                        if mask >> i & 1:
+                            exact[s][bin_] += n
     return new
 
 
