@@ -108,16 +108,26 @@ def within_radius(queries: DataFrame, all_rows: DataFrame, radius: int = RADIUS,
     return a.hint("merge").join(b.hint("merge"), hit).select("q", "fp", F.bit_count(x).alias("distance"))
 
 
-def _bucket(key: Column, firsts: list[tuple[int | None, int]]) -> Column:
-    """Which bucket of consecutive keys ``(id, h)`` a row is in, by the sorted first keys of the buckets but the first: two short scans."""
-    if not firsts:
-        return F.lit(0)
-    step = max(1, int(len(firsts) ** 0.5))
-    whole = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("h")) for i, h in firsts])
-    coarse = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("h")) for i, h in firsts[::step]])
-    blocks = F.size(F.filter(coarse, lambda b: b <= key))
-    inside = F.filter(F.slice(whole, (blocks - 1) * step + 1, step), lambda b: b <= key)
-    return F.when(blocks == 0, 0).otherwise((blocks - 1) * step + F.size(inside))
+def _cuts(ranged: DataFrame, buckets: int) -> tuple[Column, Column]:
+    """Sorted first keys ``(id, h)`` of the buckets of ``ranged(k, part)``, and every ``sqrt(buckets)``-th of all but the first.
+
+    They are written once, a row for each bucket, and come into the plan as
+    scalar subqueries: its size does not grow with the buckets.
+    """
+    firsts = materialize(ranged.groupBy("part").agg(F.min("k").alias("k")), "cuts")
+    step = max(1, int(buckets**0.5))
+    every = firsts.agg(F.sort_array(F.collect_list("k")).alias("k"))
+    return every.scalar(), every.select(F.filter(F.expr("slice(k, 2, greatest(size(k) - 1, 0))"), lambda _, i: i % step == 0)).scalar()
+
+
+def _bucket(key: Column, firsts: Column, coarse: Column, buckets: int) -> Column:
+    """Which bucket of consecutive keys ``(id, h)`` a row is in, by the sorted first keys of the buckets: two short scans."""
+    step = max(1, int(buckets**0.5))
+    # Cuts not above the key, from the key's place among them in falling order: subqueries cannot stand inside lambdas.
+    reached = lambda cuts: F.size(cuts) + 1 - F.array_position(F.sort_array(F.array_append(cuts, key), False), key).cast("int")
+    blocks = reached(coarse)
+    inside = reached(F.slice(firsts, (F.greatest(blocks, F.lit(1)) - 1) * step + 2, step))
+    return F.when(blocks == 0, 0).otherwise((blocks - 1) * step + inside)
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
@@ -136,12 +146,11 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Data
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     ranged = rows.select("id", "h").repartitionByRange(buckets, F.col("id").asc_nulls_first(), "h").select(F.struct("id", "h").alias("k"), F.spark_partition_id().alias("part"))
-    firsts = sorted(((r["k"]["id"], r["k"]["h"]) for r in ranged.groupBy("part").agg(F.min("k").alias("k")).collect()), key=lambda k: (k[0] is not None, k[0] or 0, k[1]))  # a row for each bucket
+    firsts, coarse = _cuts(ranged, buckets)
     key = F.struct("id", "h")
-    last = max(0, len(firsts) - 1)
-    opening = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("h")) for i, h in firsts])
-    rows = rows.withColumn("bucket", _bucket(key, firsts[1:]))
-    opens = F.get(opening, F.col("bucket")) == key if firsts else F.lit(False)
+    rows = rows.withColumn("bucket", _bucket(key, firsts, coarse, buckets))
+    opens = F.get(firsts, F.col("bucket")).eqNullSafe(key)
+    last = F.size(firsts) - 1
     here = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest"), F.lit(0).alias("wrap"))
     there = F.struct(F.when(F.col("bucket") == 0, last).otherwise(F.col("bucket") - 1).alias("bucket"), F.lit(1).alias("guest"), (F.col("bucket") == 0).cast("int").alias("wrap"))
     rows = rows.select("id", "h", "text", F.explode(F.when(opens, F.array(here, there)).otherwise(F.array(here))).alias("to")).select("id", "h", "text", "to.*")
