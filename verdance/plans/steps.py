@@ -157,10 +157,10 @@ def callability_step(s: Study) -> None:
     write_tsv(table.where("Allele_status = 'Ex_situ_missing'"), out / "02.ex_situ_missing_site_callability_summary.tsv", _header(table.columns), order, True)
     path = s.config.input("missing_site_vcf")
     names = vcf.read_header(s.spark, path)
-    records = vcf.read_records(s.spark, path, names)
+    records = vcf.read_records(s.spark, path, names, samples=wild)
     goal = missing.select(F.col("CHROM").alias("chrom"), F.col("POS").alias("pos"))
     assert_empty(goal.join(records, ["chrom", "pos"], "left_anti"), "the VCF lacks missing targets")
-    carriers = materialize(callability.carrier_calls(vcf.calls(records.join(goal, ["chrom", "pos"], "left_semi"), names, wild), missing), "carriers")
+    carriers = materialize(callability.carrier_calls(vcf.calls(records.join(goal, ["chrom", "pos"], "left_semi"), wild, wild), missing), "carriers")
     if s.p["strict_carrier_DP_GQ"]:
         callability.check_carriers(carriers)
     write_tsv(callability.carrier_quality(carriers), out / "03.Wild_carrier_DP_GQ_summary.tsv", order=(*THRESHOLD, *BIN), all_last=True)
@@ -205,11 +205,11 @@ def alt_step(s: Study) -> None:
     assert_empty(set_mismatch(classes, current, "sample_id"), "core and lower-priority samples are not the collection")
     path = s.config.input("pass_snp_vcf", "full_snp_vcf", "full_filtered_biallelic_snp_vcf")
     names = vcf.read_header(s.spark, path)
-    records = vcf.read_records(s.spark, path, names)
     ids = [r["sample_id"] for r in current.orderBy("ord").collect()]
+    records = vcf.read_records(s.spark, path, names, samples=ids)
     (out / "00.current_ex_situ.samples.txt").write_text("".join(f"{i}\n" for i in ids))
     known = [tuple(r) for r in classes.select("sample_id", "in_core", "garden").collect()]  # the collection
-    states = materialize(altstates.state_counts_in_record(records, names, known, s.p["allow_partial"]), "alt-states")
+    states = materialize(altstates.state_counts_in_record(records, ids, known, s.p["allow_partial"]), "alt-states")
     altstates.check_partition(states)
     lost = altstates.lost_states(states)
     write_tsv(altstates.coverage_summary(states), out / "01.deredundancy_ALT_coverage_summary.tsv", order=("Current_ALT_freq_bin",))
@@ -224,12 +224,12 @@ def selection_step(s: Study) -> None:
     out, missing, wild = s.fresh(7), materialize(s.missing(), "missing"), materialize(s.wild(), "wild")
     path = s.config.input("missing_site_vcf")
     names = vcf.read_header(s.spark, path)
-    records = vcf.read_records(s.spark, path, names, exact=False)
+    ids = [r["sample_id"] for r in wild.orderBy("ord").collect()]
+    records = vcf.read_records(s.spark, path, names, exact=False, samples=ids)
     goal = missing.select(F.col("CHROM").alias("chrom"), F.col("POS").alias("pos"))
     assert_empty(goal.join(records, ["chrom", "pos"], "left_anti"), "the VCF lacks missing targets")
     assert_empty(records.join(goal, ["chrom", "pos"], "left_semi").groupBy("chrom", "pos").count().where("count > 1"), "the VCF repeats a target")
-    ids = [r["sample_id"] for r in wild.orderBy("ord").collect()]
-    per = materialize(selection.carriers_in_record(records, names, ids, missing), "target-carriers")
+    per = materialize(selection.carriers_in_record(records, ids, ids, missing), "target-carriers")
     rates = selection.call_rates(per, wild)
     write_tsv(rates.orderBy("ord").drop("ord"), out / "00.Wild_target_site_call_rate.tsv")
     quotas = s.quotas()
@@ -311,11 +311,12 @@ def portfolio_step(s: Study) -> None:
     portfolios.check_members(wild, coll, core, a, b)
     path = s.config.input("diversity_snp_vcf")
     names = vcf.read_header(s.spark, path)
-    records = vcf.read_records(s.spark, path, names)
-    vcf.check_biallelic_sorted(records)
     members = portfolios.portfolio_members(coll, core, a, b)
     in_them, of_wild = [tuple(r) for r in members.select("portfolio", "sample_id").collect()], [r["sample_id"] for r in wild.collect()]  # the cohort
-    counted = materialize(portfolios.counters(portfolios.presence_in_record(records, names, of_wild, in_them)), "counters")
+    wanted = list(dict.fromkeys([*of_wild, *(x for _, x in in_them)]))
+    records = vcf.read_records(s.spark, path, names, samples=wanted)
+    vcf.check_biallelic_sorted(records)
+    counted = materialize(portfolios.counters(portfolios.presence_in_record(records, wanted, of_wild, in_them)), "counters")
     portfolios.check_counters(counted)
     write_tsv(portfolios.portfolio_table(counted, members), out / "01.final_portfolios.tsv", order=("Portfolio",))
     write_counters(counted, out / "02.loss_and_rescue.json")

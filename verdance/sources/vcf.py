@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdance.functions import genotypes as G
 from verdance.operators.checks import ValidationError, assert_empty, chromosome_overlaps, unsorted_positions
+from verdance.sources import blocks
 from verdance.sources.tables import numbered_lines
 
 
@@ -23,17 +24,32 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
-def read_records(spark: SparkSession, path: str, names: Sequence[str], exact: bool = True) -> DataFrame:
+def read_records(spark: SparkSession, path: str, names: Sequence[str], exact: bool = True, samples: Sequence[str] | None = None) -> DataFrame:
     """``(row_index, chrom, pos, ref, alt, format, cells)``; rows of another width are an error.
 
-    One gzip file is one partition: convert large cohorts to Parquet once and
-    read that.
+    ``cells`` has those of ``samples``, in their order (default: of all).  A
+    block-gzip file is read in many tasks, and the cells of other samples never
+    leave the reader; a plain gzip file is one partition.
     """
+    kept = [names.index(x) for x in checked_samples(names, samples)] if samples is not None else range(len(names))
+    n, wrong = 9 + len(names), f"{path} has rows of another width"
+    if kept and blocks.is_block_gzip(path):
+        rows = blocks.block_records(spark, path, n, kept, exact)
+        assert_empty(rows.where(F.col("n_columns") != n if exact else F.col("n_columns") < n).select("chrom", "pos", "n_columns"), wrong)
+        return rows.drop("n_columns")
     rows = numbered_lines(spark, path).where(~F.col("text").startswith("#")).withColumn("f", F.split(F.regexp_replace("text", "\r$", ""), "\t"))
-    n = 9 + len(names)
-    assert_empty(rows.where(F.size("f") != n if exact else F.size("f") < n).select(F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).alias("pos"), F.size("f").alias("n_columns")), f"{path} has rows of another width")
+    assert_empty(rows.where(F.size("f") != n if exact else F.size("f") < n).select(F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).alias("pos"), F.size("f").alias("n_columns")), wrong)
     at = lambda i: F.get("f", F.lit(i))
-    return rows.select(F.col("line").alias("row_index"), at(0).alias("chrom"), at(1).alias("pos"), at(3).alias("ref"), at(4).alias("alt"), at(8).alias("format"), F.slice("f", 10, len(names)).alias("cells"))
+    cells = F.slice("f", 10, len(names)) if samples is None else F.array(*[at(9 + i) for i in kept]).cast("array<string>")
+    return rows.select(F.col("line").alias("row_index"), at(0).alias("chrom"), at(1).alias("pos"), at(3).alias("ref"), at(4).alias("alt"), at(8).alias("format"), cells.alias("cells"))
+
+
+def checked_samples(names: Sequence[str], samples: Sequence[str]) -> Sequence[str]:
+    """The samples, all of which the VCF must have."""
+    absent = sorted(set(samples) - set(names))
+    if absent:
+        raise ValidationError(f"samples absent from the VCF: {absent[:10]}")
+    return samples
 
 
 def calls(records: DataFrame, names: Sequence[str], samples: Sequence[str]) -> DataFrame:
@@ -43,9 +59,7 @@ def calls(records: DataFrame, names: Sequence[str], samples: Sequence[str]) -> D
     cell that ends before GT has a null genotype.
     """
     place = {s: i for i, s in enumerate(names)}
-    absent = [s for s in samples if s not in place]
-    if absent:
-        raise ValidationError(f"samples absent from the VCF: {absent[:10]}")
+    checked_samples(names, samples)
     cells = F.array(*[F.struct(F.lit(s).alias("sample_id"), F.get("cells", F.lit(place[s])).alias("cell")) for s in samples])
     has_gt = F.array_contains(F.split("format", ":"), "GT")
     fmt = F.when(has_gt, F.col("format")).otherwise(F.raise_error(F.concat(F.lit("no GT at "), "chrom", F.lit(":"), "pos")))
