@@ -297,6 +297,8 @@ SQL = {
 SQL |= {
     "text_retention_overall": SQL["retention_overall"],
     "text_alt_state_summary": SQL["alt_state_summary"],
+    "text_alt_states_from_blocks": SQL["alt_state_summary"],
+    "text_carrier_cache": q("SELECT sample_id AS SampleID, bin AS Wild_MAF_bin, count(*) AS Carried_targets, CAST(sum(mc) AS BIGINT) AS Wild_minor_copies FROM dip WHERE carries GROUP BY sample_id, bin", *_G),
     "text_call_rate": SQL["call_rate"],
     "text_threshold_summary": SQL["global_threshold_summary"],
     "text_sampling_order": SQL["random_sampling_order"],

@@ -13,6 +13,7 @@ from verdance.functions.text import canonical_region
 from verdance.operators import altstates, callability, control, portfolios, qc, rarefaction, regions, relatedness, representation, selection, validation
 from verdance.operators.checks import ValidationError, assert_empty, set_mismatch
 from verdance.sinks import prepare_output, write_counters, write_items, write_sites, write_tsv
+from verdance.sources import carriers as caches
 from verdance.sources import tables, vcf
 from verdance.storage import materialize
 
@@ -21,6 +22,7 @@ NAMES = (
     "06_core_SNP_ALT_coverage", "07_greedy_plan_selection", "08_region_matched_random_control", "09_selected_sample_QC", "10_final_wild_portfolios", "validation",
 )
 MISSING = "05.ex_situ_missing_wild_minor_alleles.tsv.gz"
+CARRIERS, BITSETS = "07.Wild_target_carriers.parquet", "07.Wild_target_carrier_bitsets.json.gz"
 PLAN_FILES = {"Greedy_Plan_A": "01.Greedy_Plan_A_Wild_supplements.tsv", "Greedy_Plan_B": "02.Greedy_Plan_B_Wild_supplements.tsv"}
 BIN = ("Wild_MAF_bin",)
 THRESHOLD = ("AC_threshold",)
@@ -51,9 +53,22 @@ class Study:
     def universe(self) -> DataFrame:
         return materialize(representation.targets(representation.align(self.acan(*representation.GROUPS))), "universe")
 
-    def missing(self) -> DataFrame:
+    @property
+    def missing_path(self) -> str:
         override = self.missing_table or self.config.inputs.get("missing_table_override")
-        return tables.read_missing_targets(self.spark, self.config.resolve(override) if override else str(self.out(1) / MISSING))
+        return self.config.resolve(override) if override else str(self.out(1) / MISSING)
+
+    def missing(self) -> DataFrame:
+        return tables.read_missing_targets(self.spark, self.missing_path)
+
+    def carriers(self) -> DataFrame:
+        """Carriers of the missing targets as step 07 or another tool left them."""
+        own = self.out(7) / CARRIERS
+        if own.exists():
+            return self.spark.read.parquet(str(own))
+        wild = [r["sample_id"] for r in self.samples_of("Wild").orderBy("ord").collect()]
+        targets = materialize(caches.numbered_targets(self.missing()), "missing")
+        return materialize(caches.read_carrier_cache(self.spark, str(self.out(7) / BITSETS), targets, wild), "target-carriers")
 
     def metadata(self) -> DataFrame:
         return tables.read_metadata(self.spark, self.config.input("pihat_metadata", "metadata"))
@@ -221,7 +236,7 @@ def alt_step(s: Study) -> None:
 
 
 def selection_step(s: Study) -> None:
-    out, missing, wild = s.fresh(7), materialize(s.missing(), "missing"), materialize(s.wild(), "wild")
+    out, missing, wild = s.fresh(7), materialize(caches.numbered_targets(s.missing()), "missing"), materialize(s.wild(), "wild")
     path = s.config.input("missing_site_vcf")
     names = vcf.read_header(s.spark, path)
     ids = [r["sample_id"] for r in wild.orderBy("ord").collect()]
@@ -246,7 +261,9 @@ def selection_step(s: Study) -> None:
     write_tsv(rec.where("AC_threshold = 'all'"), out / "04.Greedy_plan_recovery_overall_and_MAF.tsv", order=("Plan", *BIN))
     write_tsv(selection.cumulative_recovery(per, members), out / "05.Greedy_cumulative_recovery.tsv", order=("Plan", "Step", *BIN))
     write_tsv(selection.region_composition(members, quotas.where(F.col("Plan").isin(*selection.PLANS)).select("Plan", "Region", "Quota")), out / "06.Greedy_plan_region_composition.tsv", order=("Plan", "Region"))
-    per.write.parquet(str(out / "07.Wild_target_carriers.parquet"))
+    per.write.parquet(str(out / CARRIERS))
+    if caches.document_size(len(ids), missing.count()) <= caches.LIMIT:
+        caches.write_carrier_cache(per, missing, wild, s.missing_path, str(out / BITSETS))
     got = {(r["Plan"], r["AC_threshold"], r["Wild_MAF_bin"]): r["Recovered_missing_Wild_minor_alleles"] for r in rec.collect()}
     a, b = (plans[p] for p in selection.PLANS)
     nested = {x.sample for x in a} <= {x.sample for x in b}
@@ -255,7 +272,7 @@ def selection_step(s: Study) -> None:
 
 def control_step(s: Study) -> None:
     out = s.fresh(8)
-    per, wild, quotas = s.spark.read.parquet(str(s.out(7) / "07.Wild_target_carriers.parquet")), s.wild(), s.quotas().where(F.col("Plan").isin(*selection.PLANS))
+    per, wild, quotas = s.carriers(), s.wild(), s.quotas().where(F.col("Plan").isin(*selection.PLANS))
     rows = [(r["sample_id"], r["region"]) for r in wild.orderBy("ord").collect()]
     pools: dict[str, list[str]] = {}
     for sample, region in rows:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from verdance.operators import altstates, control, relatedness, representation, selection
 from verdance.plans.model import Model
-from verdance.plans.queries import _status, query
-from verdance.sources import tables, vcf
+from verdance.plans.queries import _per_target, _status, query
+from verdance.sources import blocks, carriers, tables, vcf
 from verdance.storage import fresh_path
 
 _FIXED = ("#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
@@ -86,3 +86,27 @@ def text_sampling_order(m: Model) -> DataFrame:
     """The quota table with its explicit drawing order."""
     rows = m.quotas.select("Plan", F.col("Region").alias("Region"), F.col("Quota").alias("Sample_N"), F.col("rng_order").alias("Random_sampling_order"))
     return control.sampling_order(tables.read_quotas(m.spark, _tsv(m, rows, "quotas")), m.wild)
+
+
+@query
+def text_alt_states_from_blocks(m: Model) -> DataFrame:
+    """Multi-allelic records by way of block-gzip VCF in many tasks, with the cells of the collection only."""
+    lines = m.spark.read.text(_vcf(m, m.multi_records, "vcf-states"))
+    path = fresh_path(m.spark, "vcf-blocks")
+    blocks.write_blocks(lines.repartition(8, F.xxhash64("value")).sortWithinPartitions(F.startswith("value", F.lit("#")).desc()), path)
+    classes = [(r["SampleID"], r["Is_representative"], r["Ex_situ_site"]) for r in _status(m).select("SampleID", "Is_representative", "Ex_situ_site").collect()]  # the collection
+    wanted = [s for s, _, _ in classes]
+    names = vcf.read_header(m.spark, path)
+    return altstates.coverage_summary(altstates.state_counts_in_record(vcf.read_records(m.spark, path, names, samples=wanted), wanted, classes))
+
+
+@query
+def text_carrier_cache(m: Model) -> DataFrame:
+    """Carriers of the missing targets by way of a cache of hexadecimal bits: targets and their copies in the Wild panel by sample and frequency bin."""
+    missing = _tsv(m, m.missing, "missing")
+    targets = carriers.numbered_targets(tables.read_missing_targets(m.spark, missing))
+    path = fresh_path(m.spark, "bits")
+    carriers.write_carrier_cache(_per_target(m), targets, m.wild, missing, path)
+    wild = [r["sample_id"] for r in m.wild.orderBy("ord").collect()]  # the cohort
+    back = carriers.read_carrier_cache(m.spark, path, targets, wild)
+    return back.select("Wild_MAF_bin", "Wild_minor_count", F.explode("carriers").alias("SampleID")).groupBy("SampleID", "Wild_MAF_bin").agg(F.count("*").alias("Carried_targets"), F.sum("Wild_minor_count").alias("Wild_minor_copies"))
