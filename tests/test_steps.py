@@ -63,6 +63,14 @@ def test_quality_and_portfolios(done):
     assert len(held) == 15 and all(r["Status"] == "PASS" for r in held)
 
 
+def test_counters_come_from_the_passes(done):
+    one, four, six, seven = (items(done, steps.NAMES[k], f) for k, f in ((0, "09.internal_check.tsv"), (3, "05.internal_check.tsv"), (5, "04.internal_check.tsv"), (6, "08.internal_check.tsv")))
+    assert one["AC_AN_rows_scanned"] == four["ACAN_rows_scanned"] == "6"
+    assert [four[k] for k in ("Missing_targets_matched_in_VCF", "VCF_target_rows", "VCF_target_rows_with_DP", "VCF_target_rows_with_GQ")] == ["2"] * 4
+    assert [six[k] for k in ("VCF_sites_processed", "Total_ALT_records", "SNP_observed_ALT_states", "SNP_retained_ALT_states")] == ["6", "6", "4", "3"]
+    assert (seven["Plan_A_quota_total"], seven["Plan_B_quota_total"]) == ("2", "4")
+
+
 def test_outputs_are_not_overwritten(spark, done):
     with pytest.raises(ValidationError, match="not empty"):
         steps.run(spark, load_config(done / "config/study.json"), ["06"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,8 @@ def main() -> None:
     parser.add_argument("--step", action="append", help=f"number or name; may repeat; all without it: {', '.join(steps.NAMES)}")
     parser.add_argument("--missing-table", help="missing targets from elsewhere")
     args = parser.parse_args()
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
+    logging.getLogger("py4j").setLevel(logging.WARNING)
     spark = SparkSession.builder.appName("verdance").getOrCreate()
     steps.run(spark, load_config(args.config, args.project_root), args.step, args.missing_table)
 

@@ -12,6 +12,7 @@ from verdance.config import Config
 from verdance.functions.text import canonical_region
 from verdance.operators import altstates, callability, control, portfolios, qc, rarefaction, regions, relatedness, representation, selection, validation
 from verdance.operators.checks import ValidationError, assert_empty, set_mismatch
+from verdance.progress import Counted, watched
 from verdance.sinks import prepare_output, write_counters, write_items, write_sites, write_tsv
 from verdance.sources import carriers as caches
 from verdance.sources import tables, vcf
@@ -43,15 +44,17 @@ class Study:
     def samples_of(self, group: str) -> DataFrame:
         return tables.read_sample_list(self.spark, self.config.sample_list(group))
 
-    def acan(self, *groups: str) -> DataFrame:
+    def acan(self, *groups: str, wild_rows: Counted | None = None) -> DataFrame:
         parts = [tables.read_acan(self.spark, self.config.acan(g), g) for g in groups]
+        if wild_rows:
+            parts = [wild_rows.of(p, rows=F.count(F.lit(1))) if g == "Wild" else p for g, p in zip(groups, parts)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
 
-    def universe(self) -> DataFrame:
-        return materialize(representation.targets(representation.align(self.acan(*representation.GROUPS))), "universe")
+    def universe(self, wild_rows: Counted | None = None) -> DataFrame:
+        return materialize(representation.targets(representation.align(self.acan(*representation.GROUPS, wild_rows=wild_rows))), "universe")
 
     @property
     def missing_path(self) -> str:
@@ -93,7 +96,8 @@ class Study:
 
 
 def representation_step(s: Study) -> None:
-    out, u = s.fresh(1), s.universe()
+    out, scanned = s.fresh(1), Counted()
+    u = s.universe(scanned)
     write_tsv(representation.retention_overall(u), out / "01.wild_minor_allele_retention_overall.tsv", order=("Target_group",))
     write_tsv(representation.retention_by_maf(u), out / "02.wild_minor_allele_retention_by_MAF_bin.tsv", order=("Target_group", *BIN))
     write_tsv(representation.retention_by_threshold(u), out / "03.retention_AC_threshold_robustness.tsv", order=THRESHOLD)
@@ -106,9 +110,8 @@ def representation_step(s: Study) -> None:
     lost = F.col("Ex_situ_minor_count") <= 0
     held = {g: F.count_if(F.col(f"{g}_minor_count") > 0) for g in representation.TARGET_GROUPS}
     r = u.agg(F.count("*").alias("n"), F.count_if(lost).alias("m"), F.count_if(F.col("Pingshun_minor_count") <= 0).alias("ps"), *[F.count_if(lost & (F.col("Wild_minor_count") >= k)).alias(f"m{k}") for k in (2, 3)], *[v.alias(k) for k, v in held.items()]).first()
-    scanned = tables.read_acan(s.spark, s.config.acan("Wild"), "Wild").count()
     write_items(
-        [("AC_AN_rows_scanned", scanned), ("Wild_polymorphic_SNPs", r["n"]), ("Ex_situ_missing_Wild_minor_alleles", r["m"]), ("PS_RG_missing_Wild_minor_alleles", r["ps"]), ("Total_wild_SNP_minor_alleles", r["n"]), ("Combined_exsitu_retained", r["Ex_situ"]),
+        [("AC_AN_rows_scanned", scanned["rows"]), ("Wild_polymorphic_SNPs", r["n"]), ("Ex_situ_missing_Wild_minor_alleles", r["m"]), ("PS_RG_missing_Wild_minor_alleles", r["ps"]), ("Total_wild_SNP_minor_alleles", r["n"]), ("Combined_exsitu_retained", r["Ex_situ"]),
          ("Combined_exsitu_missing", r["m"]), *[(f"{g}_retained", r[g]) for g in representation.TARGET_GROUPS[1:]], ("AC_ge_2_missing", r["m2"]), ("AC_ge_3_missing", r["m3"])], out / "09.internal_check.tsv")
 
 
@@ -162,7 +165,8 @@ def _header(columns) -> list[str]:
 
 
 def callability_step(s: Study) -> None:
-    out, u, missing = s.fresh(4), s.universe(), materialize(s.missing(), "missing")
+    out, scanned, met, missing = s.fresh(4), Counted(), Counted(), materialize(s.missing(), "missing")
+    u = s.universe(scanned)
     assert_empty(callability.status_disagreements(u, missing), "allele counts and the missing table disagree")
     wild, n_coll = [r["sample_id"] for r in s.samples_of("Wild").orderBy("ord").collect()], s.samples_of("Ex_situ").count()
     rates = materialize(callability.site_call_rates(u, len(wild), n_coll, s.p["ploidy"]), "site-rates")
@@ -175,13 +179,15 @@ def callability_step(s: Study) -> None:
     records = vcf.read_records(s.spark, path, names, samples=wild)
     goal = missing.select(F.col("CHROM").alias("chrom"), F.col("POS").alias("pos"))
     assert_empty(goal.join(records, ["chrom", "pos"], "left_anti"), "the VCF lacks missing targets")
-    carriers = materialize(callability.carrier_calls(vcf.calls(records.join(goal, ["chrom", "pos"], "left_semi"), wild, wild), missing), "carriers")
+    has = lambda field: F.count_if(F.array_contains(F.split("format", ":"), field))
+    rows = met.of(records.join(goal, ["chrom", "pos"], "left_semi"), rows=F.count(F.lit(1)), dp=has("DP"), gq=has("GQ"))
+    carriers = materialize(callability.carrier_calls(vcf.calls(rows, wild, wild), missing), "carriers")
     if s.p["strict_carrier_DP_GQ"]:
         callability.check_carriers(carriers)
     write_tsv(callability.carrier_quality(carriers), out / "03.Wild_carrier_DP_GQ_summary.tsv", order=(*THRESHOLD, *BIN), all_last=True)
     write_sites(rates.where("Allele_status = 'Ex_situ_missing'").drop("Allele_status"), out / "04.ex_situ_missing_site_callability_by_site.tsv.gz")
     r = carriers.agg(F.count("*").alias("n"), F.count("dp").alias("dp"), F.count("gq").alias("gq")).first()
-    write_items([("Wild_sample_N", len(wild)), ("Ex_situ_sample_N", n_coll), ("Missing_targets_loaded", missing.count()), ("Wild_carrier_genotypes_all", r["n"]), ("Wild_carrier_genotypes_with_DP_all", r["dp"]), ("Wild_carrier_genotypes_with_GQ_all", r["gq"]), ("Strict_carrier_DP_GQ_validation", s.p["strict_carrier_DP_GQ"])], out / "05.internal_check.tsv")
+    write_items([("Wild_sample_N", len(wild)), ("Ex_situ_sample_N", n_coll), ("ACAN_rows_scanned", scanned["rows"]), ("Missing_targets_loaded", loaded := missing.count()), ("Missing_targets_matched_in_VCF", loaded), ("VCF_target_rows", met["rows"]), ("VCF_target_rows_with_DP", met["dp"]), ("VCF_target_rows_with_GQ", met["gq"]), ("Wild_carrier_genotypes_all", r["n"]), ("Wild_carrier_genotypes_with_DP_all", r["dp"]), ("Wild_carrier_genotypes_with_GQ_all", r["gq"]), ("Strict_carrier_DP_GQ_validation", s.p["strict_carrier_DP_GQ"])], out / "05.internal_check.tsv")
 
 
 def relatedness_step(s: Study) -> None:
@@ -221,7 +227,8 @@ def alt_step(s: Study) -> None:
     path = s.config.input("pass_snp_vcf", "full_snp_vcf", "full_filtered_biallelic_snp_vcf")
     names = vcf.read_header(s.spark, path)
     ids = [r["sample_id"] for r in current.orderBy("ord").collect()]
-    records = vcf.read_records(s.spark, path, names, samples=ids)
+    met = Counted()
+    records = met.of(vcf.read_records(s.spark, path, names, samples=ids), rows=F.count(F.lit(1)), alts=F.sum(F.size(F.split("alt", ","))))
     (out / "00.current_ex_situ.samples.txt").write_text("".join(f"{i}\n" for i in ids))
     known = [tuple(r) for r in classes.select("sample_id", "in_core", "garden").collect()]  # the collection
     states = materialize(altstates.state_counts_in_record(records, ids, known, s.p["allow_partial"]), "alt-states")
@@ -231,8 +238,7 @@ def alt_step(s: Study) -> None:
     write_tsv(altstates.lost_sources(lost), out / "02.lost_ALT_source_summary.tsv", order=("Loss_source_gardens", "Current_ALT_freq_bin"))
     write_sites(lost, out / "03.lost_ALT_states_after_deredundancy.tsv.gz")
     r = altstates.coverage_summary(states).where("Current_ALT_freq_bin = 'All'").first()
-    n = records.agg(F.count("*").alias("n"), F.sum(F.size(F.split("alt", ","))).alias("a")).first()
-    write_items([("VCF_sites_processed", n["n"]), ("Total_ALT_records", n["a"]), ("Current_ex_situ_sample_N", len(ids)), ("Core_sample_N", classes.where("in_core").count()), ("SNP_state_denominator", r[1]), ("SNP_state_numerator", r[2]), ("SNP_state_retention_rate", r[4]), ("True_copy_weight_denominator", r[5]), ("True_copy_weight_numerator", r[6]), ("True_copy_weighted_coverage_rate", r[8]), ("Partial_genotypes_allowed_for_called_allele_counting", s.p["allow_partial"])], out / "04.internal_check.tsv")
+    write_items([("VCF_sites_processed", met["rows"]), ("Total_ALT_records", met["alts"]), ("Current_ex_situ_sample_N", len(ids)), ("Core_sample_N", classes.where("in_core").count()), ("SNP_observed_ALT_states", r[1]), ("SNP_retained_ALT_states", r[2]), ("SNP_state_denominator", r[1]), ("SNP_state_numerator", r[2]), ("SNP_state_retention_rate", r[4]), ("True_copy_weight_denominator", r[5]), ("True_copy_weight_numerator", r[6]), ("True_copy_weighted_coverage_rate", r[8]), ("Partial_genotypes_allowed_for_called_allele_counting", s.p["allow_partial"])], out / "04.internal_check.tsv")
 
 
 def selection_step(s: Study) -> None:
@@ -267,7 +273,7 @@ def selection_step(s: Study) -> None:
     got = {(r["Plan"], r["AC_threshold"], r["Wild_MAF_bin"]): r["Recovered_missing_Wild_minor_alleles"] for r in rec.collect()}
     a, b = (plans[p] for p in selection.PLANS)
     nested = {x.sample for x in a} <= {x.sample for x in b}
-    write_items([("Missing_target_N", missing.count()), ("Wild_sample_N", len(ids)), ("Plan_A_is_subset_of_Plan_B", nested), ("Greedy_Plan_A_size", len(a)), ("Greedy_Plan_B_size", len(b)), *[(f"{p}_recovered_all", got[p, "all", "All"]) for p in selection.PLANS], ("Greedy_Plan_A_recovered_AC_ge_2", got["Greedy_Plan_A", "AC_ge_2", "All"]), ("Greedy_Plan_A_recovered_AC_ge_3", got["Greedy_Plan_A", "AC_ge_3", "All"])], out / "08.internal_check.tsv")
+    write_items([("Missing_target_N", missing.count()), ("Wild_sample_N", len(ids)), ("Plan_A_is_subset_of_Plan_B", nested), ("Greedy_Plan_A_size", len(a)), ("Greedy_Plan_B_size", len(b)), *[(f"Plan_{p[-1]}_quota_total", sum(quota[p].values())) for p in selection.PLANS], *[(f"{p}_recovered_all", got[p, "all", "All"]) for p in selection.PLANS], ("Greedy_Plan_A_recovered_AC_ge_2", got["Greedy_Plan_A", "AC_ge_2", "All"]), ("Greedy_Plan_A_recovered_AC_ge_3", got["Greedy_Plan_A", "AC_ge_3", "All"])], out / "08.internal_check.tsv")
 
 
 def control_step(s: Study) -> None:
@@ -422,4 +428,5 @@ def run(spark: SparkSession, config: Config, steps: list[str] | None = None, mis
     study = Study(spark, config, missing_table)
     for name, step in STEPS.items():
         if not steps or any(name == x or name.split("_")[0] == x.zfill(2) for x in steps):
-            step(study)
+            with watched(spark, name):
+                step(study)
