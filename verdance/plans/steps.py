@@ -73,6 +73,11 @@ class Study:
         targets = materialize(caches.numbered_targets(self.missing()), "missing")
         return materialize(caches.read_carrier_cache(self.spark, str(self.out(7) / BITSETS), targets, wild), "target-carriers")
 
+    def region_names(self, names: set[str]) -> dict[str, str]:
+        """Names of regions in the configuration, with their uniform spelling."""
+        rows = self.spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+        return {r["name"]: r["region"] for r in rows.select("name", canonical_region(F.col("name")).alias("region")).collect()}
+
     def metadata(self) -> DataFrame:
         return tables.read_metadata(self.spark, self.config.input("pihat_metadata", "metadata"))
 
@@ -117,12 +122,14 @@ def representation_step(s: Study) -> None:
 
 def regional_step(s: Study) -> None:
     out, missing = s.fresh(2), materialize(s.missing(), "missing")
-    files = {s.spark.range(1).select(canonical_region(F.lit(k))).first()[0]: v for k, v in s.config.regional_acan.items()}
+    named = s.config.regional_acan, s.p["region_sample_counts"]
+    same = s.region_names({k for names in named for k in names})
+    files = {same[k]: v for k, v in named[0].items()}
     if len(files) != len(s.config.regional_acan):
         raise ValidationError("two regional tables have the same region")
     sizes = s.wild().groupBy(F.col("region").alias("Region")).agg(F.count("*").alias("Wild_sample_N"))
     assert_empty(set_mismatch(sizes, s.spark.createDataFrame([(r,) for r in files], "Region string"), "Region"), "regional tables and Wild regions differ")
-    want = {s.spark.range(1).select(canonical_region(F.lit(k))).first()[0]: int(v) for k, v in s.p["region_sample_counts"].items()}
+    want = {same[k]: int(v) for k, v in named[1].items()}
     have = {r["Region"]: r["Wild_sample_N"] for r in sizes.collect()}
     if want and want != have:
         raise ValidationError(f"Wild samples per region are {have}, the configuration says {want}")
