@@ -58,3 +58,13 @@ def test_replayed_control_has_all_permutations(spark):
     assert got.count() == 2 * 1000 * 5
     assert {(r.Plan, r.Permutation): r.Recovered_missing_Wild_minor_alleles for r in got.where("Wild_MAF_bin = 'All'").collect()} == want
     assert {r.Random_N for r in QUERIES["random_control_summary"](spark, FOLDER).collect()} == {1000}
+
+
+@pytest.mark.parametrize("name", ["loss_and_rescue"])
+def test_portfolios_deal_the_lines_once(spark, monkeypatch, name):
+    read, table = [], Model.table
+    monkeypatch.setattr(Model, "table", lambda self, t: read.append(t) or table(self, t))
+    QUERIES[name](spark, FOLDER).collect()
+    assert read.count("lineitem") == 1
+    plan = Model(spark, FOLDER).records._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -7,13 +7,15 @@ first two lines of a site and sample are its genotype.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdance.functions import alleles as A
+from verdance.operators import inrecord
 from verdance.operators import representation as R
+from verdance.storage import materialize
 
 #: Regional quotas of the two plans, cut to what a region has.
 QUOTAS = {"Plan_A": {"AFRICA": 1, "AMERICA": 2, "MIDDLE EAST": 1}, "Plan_B": {"AFRICA": 3, "AMERICA": 3, "MIDDLE EAST": 3}}
@@ -47,22 +49,21 @@ class Model:
     def collection(self) -> DataFrame:
         return self.samples.where("material = 'Ex_situ'")
 
-    def _lines(self) -> DataFrame:
-        m = max(200, self.table("part").count() // 10)
-        rows = self.table("lineitem").select((F.col("l_partkey") % m).alias("p"), (F.col("l_suppkey") % 100).cast("int").alias("ord"), "l_orderkey", "l_linenumber", "l_discount", "l_quantity", "l_tax")
-        w = Window.partitionBy("p", "ord").orderBy("l_orderkey", "l_linenumber", "l_discount", "l_quantity", "l_tax")
-        return rows.withColumn("rn", F.row_number().over(w)).where("rn <= 2")
-
     @property
     def calls(self) -> DataFrame:
-        """``(p, chrom, pos, sample_id, material, garden, region, ord, a1, a2, gt, dp, gq)``."""
+        """``(p, chrom, pos, sample_id, material, garden, region, ord, a1, a2, gt, dp, gq)``.
+
+        Lines are dealt by site and sorted by site and sample, so the window here and all that is grouped by ``p`` later share one exchange.
+        """
+        m = max(200, self.table("part").count() // 10)
         rare = F.col("l_discount") >= 0.05
         p = F.col("p")
         minor_ref = F.when(rare & (F.col("l_quantity") <= 1 + p % 10), 0).otherwise(1)
         minor_alt = F.when(rare & (F.col("l_quantity") <= F.when(p % 10 == 9, 20).otherwise(p % 10)), 1).otherwise(0)
-        rows = self._lines().withColumn("a", F.when(p % 23 == 0, minor_ref).otherwise(minor_alt))
-        at = lambda k, c: F.max(F.when(F.col("rn") == k, F.col(c)))
-        two = rows.groupBy("p", "ord").agg(at(1, "a").alias("a1"), at(2, "a").alias("a2"), at(1, "l_quantity").alias("q"), at(1, "l_tax").alias("t"))
+        lines = self.table("lineitem").select((F.col("l_partkey") % m).alias("p"), (F.col("l_suppkey") % 100).cast("int").alias("ord"), "l_orderkey", "l_linenumber", "l_discount", "l_quantity", "l_tax")
+        rows = lines.repartition("p").withColumn("a", F.when(p % 23 == 0, minor_ref).otherwise(minor_alt)).withColumn("cell", p * 100 + F.col("ord"))
+        w = Window.partitionBy("cell", "p", "ord").orderBy("l_orderkey", "l_linenumber", "l_discount", "l_quantity", "l_tax")
+        two = rows.select("p", "ord", F.row_number().over(w).alias("rn"), F.col("a").alias("a1"), F.lead("a").over(w).alias("a2"), F.col("l_quantity").alias("q"), F.col("l_tax").alias("t")).where("rn = 1")
         two = two.join(F.broadcast(self.samples), "ord")  # 100 rows at most
         gt = F.concat(F.col("a1").cast("string"), F.lit("/"), F.coalesce(F.col("a2").cast("string"), F.lit(".")))
         return two.select("p", F.concat(F.lit("chr"), (p % 5).cast("string")).alias("chrom"), p.cast("string").alias("pos"), "sample_id", "material", "garden", "region", "ord", "a1", "a2", gt.alias("gt"), F.col("q").cast("int").cast("string").alias("dp"), (F.rint(F.col("t") * 100).cast("int") * 10).cast("string").alias("gq"))
@@ -72,7 +73,7 @@ class Model:
         """``(grp, chrom, pos, alt_ac, an)`` of the five groups, each site once in each."""
         ac = F.col("a1") + F.coalesce("a2", F.lit(0))
         an = F.when(F.col("a2").isNull(), 1).otherwise(2)
-        site = self.calls.groupBy("chrom", "pos").agg(*[F.coalesce(F.sum(F.when(self._in(g), x)), F.lit(0)).alias(f"{g}_{n}") for g in R.GROUPS for n, x in (("ac", ac), ("an", an))])
+        site = self.calls.groupBy("p", "chrom", "pos").agg(*[F.coalesce(F.sum(F.when(self._in(g), x)), F.lit(0)).alias(f"{g}_{n}") for g in R.GROUPS for n, x in (("ac", ac), ("an", an))])
         parts = F.array(*[F.struct(F.lit(g).alias("grp"), F.col(f"{g}_ac").alias("alt_ac"), F.col(f"{g}_an").alias("an")) for g in R.GROUPS])
         return site.select("chrom", "pos", F.explode(parts).alias("x")).select("x.grp", "chrom", "pos", "x.alt_ac", "x.an")
 
@@ -102,6 +103,11 @@ class Model:
         sizes = self.wild.groupBy(F.col("region").alias("Region")).agg(F.count("*").alias("Wild_sample_N"))
         return A.dimension(self.spark, Region=list(WILD_REGIONS)).join(sizes, "Region")
 
+    @cached_property
+    def held_pairs(self) -> DataFrame:
+        """``pairs``, at most one for two of a hundred samples, written once: components read them several times."""
+        return materialize(self.pairs, "pairs")
+
     @property
     def pairs(self) -> DataFrame:
         """``(a, b, pi_hat)``: a similarity of each pair of samples from all orders that name both; few are high, so that the graph has components."""
@@ -138,30 +144,47 @@ class Model:
     @property
     def names(self) -> list[str]:
         """All samples in the order of a record's cells: the cohort."""
-        return [r["sample_id"] for r in self.samples.orderBy("ord").collect()]
+        return list(self.cohort.values())
+
+    @cached_property
+    def cohort(self) -> dict[int, str]:
+        return {r["ord"]: r["sample_id"] for r in self.samples.orderBy("ord").collect()}
 
     def _cells(self, gt) -> list:
         """Aggregates of a site's calls into the array of cells that a VCF record has; a sample without a call has a dot."""
-        held = F.map_from_entries(F.collect_list(F.struct("sample_id", gt.alias("gt"))))
-        names = F.array(*[F.lit(n) for n in self.names])
-        return [F.lit("GT").alias("format"), F.transform(names, lambda n: F.coalesce(F.try_element_at(held, n), F.lit("."))).alias("cells")]
+        held = F.map_from_entries(F.collect_list(F.struct("ord", gt.alias("gt"))))
+        places = F.array(*[F.lit(n) for n in self.cohort]).cast("array<int>")
+        return [F.lit("GT").alias("format"), F.transform(places, lambda n: F.coalesce(F.try_element_at(held, n), F.lit("."))).alias("cells")]
 
     @property
     def records(self) -> DataFrame:
         """Biallelic records ``(chrom, pos, ref, alt, format, cells)``, one for each site."""
-        return self.calls.groupBy("chrom", "pos").agg(F.lit("A").alias("ref"), F.lit("C").alias("alt"), *self._cells(F.col("gt"))).select("chrom", "pos", "ref", "alt", "format", "cells")
+        return self.calls.groupBy("p", "chrom", "pos").agg(F.lit("A").alias("ref"), F.lit("C").alias("alt"), *self._cells(F.col("gt"))).select("chrom", "pos", "ref", "alt", "format", "cells")
+
+    @cached_property
+    def held_records(self) -> DataFrame:
+        """``records``, written once for the steps that read all calls several times."""
+        return materialize(self.records, "site-records")
+
+    @property
+    def held_missing(self) -> DataFrame:
+        """``missing``, from counts inside ``held_records``: the lines are not read again."""
+        groups = {g: [r["sample_id"] for r in self.samples.where(self._in(g)).collect()] for g in R.GROUPS}  # the cohort
+        counted = inrecord.group_counts(self.held_records, self.names, groups, inrecord.STRICT)
+        sites = counted.select("chrom", "pos", *[x for g in R.GROUPS for x in (F.get(f"{g}_AC", F.lit(1)).alias(f"{g}_AC"), F.col(f"{g}_AN"))])
+        return R.missing_targets(R.targets(sites))
 
     @property
     def multi_records(self) -> DataFrame:
         """Records with several alternatives, star alleles, lower case and equal bases, with the collection's calls."""
-        return self._multi().groupBy("chrom", "pos", "ref", "alt").agg(*self._cells(F.col("gt"))).select("chrom", "pos", "ref", "alt", "format", "cells")
+        return self._multi().groupBy("p", "chrom", "pos", "ref", "alt").agg(*self._cells(F.col("gt"))).select("chrom", "pos", "ref", "alt", "format", "cells")
 
     def _multi(self) -> DataFrame:
-        """Calls of the collection with several alternatives, star alleles, lower case and equal bases: ``(chrom, pos, ref, alt, sample_id, gt)``."""
+        """Calls of the collection with several alternatives, star alleles, lower case and equal bases: ``(p, chrom, pos, ref, alt, ord, gt)``."""
         p = F.col("p")
         alt = reduce(lambda rest, case: F.when(p % case[0] == 0, case[1]).otherwise(rest), [(17, "A"), (13, "g"), (11, "C,*"), (7, "G,T")], F.lit("C"))
         ref = F.when((p % 13 == 0) & (p % 7 != 0) & (p % 11 != 0), "a").otherwise("A")
         second = ((p % 7 == 0) | (p % 11 == 0)) & (F.col("ord") % 2 == 0)
         code = lambda c: F.when(second & (F.col(c) == 1), 2).otherwise(F.col(c)).cast("string")
         gt = F.concat(code("a1"), F.lit("|"), F.coalesce(code("a2"), F.lit(".")))
-        return self.calls.where("material = 'Ex_situ'").select("chrom", "pos", ref.alias("ref"), alt.alias("alt"), "sample_id", gt.alias("gt"))
+        return self.calls.where("material = 'Ex_situ'").select("p", "chrom", "pos", ref.alias("ref"), alt.alias("alt"), "ord", gt.alias("gt"))

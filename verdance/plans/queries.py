@@ -153,12 +153,12 @@ def similarity_pairs(m: Model) -> DataFrame:
 
 
 def _solved(m: Model, thresholds=relatedness.THRESHOLDS) -> DataFrame:
-    return relatedness.solved(m.samples, m.pairs, thresholds)
+    return relatedness.solved(m.samples, m.held_pairs, thresholds)
 
 
 @query
 def global_threshold_summary(m: Model) -> DataFrame:
-    return relatedness.global_summary(_solved(m), m.pairs, relatedness.THRESHOLDS)
+    return relatedness.global_summary(_solved(m), m.held_pairs, relatedness.THRESHOLDS)
 
 
 @query
@@ -214,8 +214,8 @@ def alt_lost_sources(m: Model) -> DataFrame:
 
 
 def _per_target(m: Model) -> DataFrame:
-    calls = m.calls.where("material = 'Wild'").select("chrom", "pos", "sample_id", "gt")
-    return materialize(selection.carriers_and_calls(calls, m.missing), "target-carriers")
+    wild = [r["sample_id"] for r in m.wild.orderBy("ord").collect()]  # the cohort
+    return materialize(selection.carriers_in_record(m.held_records, m.names, wild, m.held_missing), "target-carriers")
 
 
 def _plans(m: Model) -> tuple[DataFrame, dict]:
@@ -330,7 +330,7 @@ def _portfolio(m: Model) -> tuple[DataFrame, DataFrame]:
     core = materialize(relatedness.core(_status(m)).select(F.col("SampleID").alias("sample_id")), "core")
     members = portfolios.portfolio_members(m.collection, core, of("Greedy_Plan_A"), of("Greedy_Plan_B"))
     in_them = [tuple(r) for r in members.select("portfolio", "sample_id").collect()]  # the cohort
-    sites = portfolios.presence_in_record(m.records, m.names, [r["sample_id"] for r in m.wild.collect()], in_them)
+    sites = portfolios.presence_in_record(m.held_records, m.names, [r["sample_id"] for r in m.wild.collect()], in_them)
     return portfolios.counters(sites), members
 
 
