@@ -60,7 +60,7 @@ def test_replayed_control_has_all_permutations(spark):
     assert {r.Random_N for r in QUERIES["random_control_summary"](spark, FOLDER).collect()} == {1000}
 
 
-@pytest.mark.parametrize("name", ["loss_and_rescue"])
+@pytest.mark.parametrize("name", ["loss_and_rescue", "portfolio_identities"])
 def test_portfolios_deal_the_lines_once(spark, monkeypatch, name):
     read, table = [], Model.table
     monkeypatch.setattr(Model, "table", lambda self, t: read.append(t) or table(self, t))
