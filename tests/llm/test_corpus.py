@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -16,6 +17,7 @@ from compare import same
 from verdance.llm import bpe, gru, hnsw, jaccard, lines, packing, sharding, simhash, warc, weaklabels
 from verdance.llm.queries import ORACLE_SQL, QUERIES
 from verdance.shipping import ship
+from verdance.storage import shared_dir
 
 FOLDER = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, source string, extra string"
@@ -742,6 +744,26 @@ def test_jaccard_equals_brute_force(spark, k, num):
     assert got == brute_components(docs, k, num, 100)
 
 
+def test_jaccard_keeps_no_table_that_is_read_no_more(spark, monkeypatch):
+    """When pairs of different centres are compared, and later, whole sets of the leaders' pairs and tokens without a place are gone."""
+    there, write = {}, jaccard.materialize
+
+    def seen(df, label):
+        out = write(df, label)
+        folder = f"{shared_dir(spark)}/verdance/{spark.sparkContext.applicationId}".removeprefix("file:")
+        there[label] = {name.rsplit("-", 1)[0] for name in os.listdir(folder)} - before
+        return out
+
+    folder = f"{shared_dir(spark)}/verdance/{spark.sparkContext.applicationId}".removeprefix("file:")
+    before = {name.rsplit("-", 1)[0] for name in os.listdir(folder)} if os.path.isdir(folder) else set()
+    monkeypatch.setattr(jaccard, "materialize", seen)
+    QUERIES["op10_ngram_jaccard"](spark, FOLDER).count()
+    assert "stars-sets" in there["stars-sets"] and "shared-tokens" in there["shared-tokens"]
+    assert "shingle-prefixes" not in there["stars-sets"]
+    assert not there["cross-pairs-asked"] & {"stars-sets", "stars-asked", "shared-tokens", "shingle-prefixes"}
+    assert not there["followers"] & {"cross-pairs-sets", "placed-tokens"}
+
+
 def test_jaccard_query_and_edges(spark, odd, empty):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op10_ngram_jaccard"](spark, FOLDER).collect()}

@@ -210,9 +210,10 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, nodes:
 
 def _compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, label: str, classes: DataFrame, deltas: bool = False) -> DataFrame:
     """The pairs ``(x, y)`` with ``linked``, by exact intersection; with ``deltas`` also ``n_y`` and what ``y`` has more (``added``) and less (``lacking``) than ``x``."""
-    pairs = materialize(pairs.select("x", "y"), f"{label}-asked")
-    ids = pairs.select("x").union(pairs.select("y")).toDF("id").distinct()
-    sets = materialize(shingle_sets(docs, id_col, text_col, size, ids, classes), f"{label}-sets")
+    with recorded() as made:
+        pairs = materialize(pairs.select("x", "y"), f"{label}-asked")
+        ids = pairs.select("x").union(pairs.select("y")).toDF("id").distinct()
+        sets = materialize(shingle_sets(docs, id_col, text_col, size, ids, classes), f"{label}-sets")
     a = sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx"))
     b = sets.select(F.col("id").alias("y"), F.col("tokens").alias("ty"))
     both = pairs.join(a, "x").join(b, "y").withColumn("common", F.size(F.array_intersect("tx", "ty")))
@@ -220,7 +221,9 @@ def _compared(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, siz
     # Followers are near enough to their leader for their differences to be few.
     close = F.col("common") * den >= (F.size("tx") + F.size("ty") - F.col("common")) * max(0, 2 * num - den)
     more = [F.size("ty").alias("n_y"), F.array_except("ty", "tx").alias("added"), F.array_except("tx", "ty").alias("lacking"), close.alias("close")] if deltas else []
-    return materialize(both.select("x", "y", linked, *more), label)
+    out = materialize(both.select("x", "y", linked, *more), label)
+    drop_tables(docs.sparkSession, made)  # whole shingle sets, which nothing reads again
+    return out
 
 
 def _alike(n1: Column, n2: Column, num: int, den: int) -> Column:
@@ -277,7 +280,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, num: int
     # Sets can only be alike if their sizes are, so holders of a token meet by token and size band; alike sizes are in the same band or next to it.
     band = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
     shared = posts.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
-    shared = materialize(posts.join(shared, "token").withColumn("band", band), "shared-tokens")
+    with recorded() as tokens:
+        shared = materialize(posts.join(shared, "token").withColumn("band", band), "shared-tokens")
 
     # A token's leader is the holder whose prefix is shared most: a text that others were copied from, if there is one.
     fame = shared.groupBy("id").agg(F.count("*").alias("met"), F.sum(F.least("holders", F.lit(1 << 20))).alias("meets"))
@@ -288,14 +292,17 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, num: int
     # One leader for each: what this round leaves out the next one decides.
     led = led.where(_alike(F.col("n"), F.col("n_leader"), num, den) & (F.col("common") >= F.col("want")))
     stars = led.groupBy("id").agg(F.max_by("leader", F.struct("common", -F.col("leader"))).alias("leader"))
-    stars = _compared(stars.select(F.col("leader").alias("x"), F.col("id").alias("y")), docs, id_col, text_col, size, num, den, "stars", reps, deltas=True)
+    stars = materialize(stars.select(F.col("leader").alias("x"), F.col("id").alias("y")), "leader-pairs")
     drop_tables(spark, sets)
+    stars = _compared(stars, docs, id_col, text_col, size, num, den, "stars", reps, deltas=True)
     comp = connected_components(stars.where("linked"), "x", "y")
     home = comp.withColumnRenamed("node", "id")
     around = stars.where("close").select(F.col("y").alias("id"), F.col("x").alias("center"))
     placed = shared.join(home, "id", "left").join(around, "id", "left")
     # A leader that follows nobody is the centre of its own followers, and so is anyone else of none.
-    placed = materialize(placed.select("id", "n", "matches", "token", "room", "band", F.coalesce("component", "id").alias("comp"), F.coalesce("center", "id").alias("center")), "placed-tokens")
+    with recorded() as places:
+        placed = materialize(placed.select("id", "n", "matches", "token", "room", "band", F.coalesce("component", "id").alias("comp"), F.coalesce("center", "id").alias("center")), "placed-tokens")
+    drop_tables(spark, tokens)
 
     # Different centres: by shared prefix tokens, first centre by centre, so that one centre's followers never meet each other here.
     # Linked sets share at least o = num / (num + den) * (n1 + n2) tokens, of which all but ``want`` come after each of the first ``want``
@@ -326,6 +333,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, num: int
     cross = cross.where((F.col("comp_a") != F.col("comp_b")) & meets("_a", "_b", "n", "n", "n", "n", F.least("room_a", "room_b") + want))
     pairs = cross.groupBy(F.least("id_a", "id_b").alias("x"), F.greatest("id_a", "id_b").alias("y"), want.alias("want")).agg(F.count("*").alias("common")).where("common >= want").select("x", "y")
     more = _compared(pairs, docs, id_col, text_col, size, num, den, "cross-pairs", reps).where("linked").select("x", "y")
+    drop_tables(spark, places)
 
     # The same centre C: if x is not linked with C and shares none of its differences from C with y, then x and y are not linked:
     # with c = (1 - t) / (1 + t), |x ^ C| > c (|x| + |C|) and |y| <= |C| + |y ^ C| give |x ^ y| = |x ^ C| + |y ^ C| > c (|x| + |y|).
