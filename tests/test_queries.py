@@ -1,10 +1,13 @@
 """Every query over the driver model against its SQL."""
 
 import random
+import re
 
 import pytest
 from compare import same
+from pyspark.sql import functions as F
 
+from verdance.plans import model
 from verdance.plans.model import Model
 from verdance.plans.oracle import SQL
 from verdance.plans import text_queries  # noqa: F401
@@ -68,3 +71,22 @@ def test_portfolios_deal_the_lines_once(spark, monkeypatch, name):
     assert read.count("lineitem") == 1
     plan = Model(spark, FOLDER).records._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("kind", ["records", "multi_records"])
+def test_records_are_packed_without_lists(spark, monkeypatch, kind):
+    whole = sorted(tuple(r) for r in getattr(Model(spark, FOLDER), kind).select("chrom", "pos", "ref", "alt", F.array_join("cells", ",")).collect())
+    monkeypatch.setattr(model, "SITES_A_TASK", 16, raising=False)
+    m = Model(spark, FOLDER)
+    plan = getattr(m, kind)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    assert re.search(r"hashpartitioning\(p#\w+, 13\)", plan)  # 200 sites, 16 a task
+    assert sorted(tuple(r) for r in getattr(m, kind).select("chrom", "pos", "ref", "alt", F.array_join("cells", ",")).collect()) == whole
+
+
+def test_targets_bring_their_cells_without_a_join(spark):
+    m = Model(spark, FOLDER)
+    plan = m.held_targets._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(m.held_targets.select(*m.missing.columns)) == key(m.missing)

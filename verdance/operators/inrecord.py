@@ -59,6 +59,13 @@ def numbered_genotypes(cells: pa.ListArray, formats: list[str], columns: np.ndar
             raise ValidationError(f"a record's FORMAT has no GT: {f}")
         places.append(parts.index("GT"))
     picked = cells.flatten().take(pa.array((np.arange(n)[:, None] * width + columns).ravel()))
+    if set(formats) == {"GT"}:  # few strings, so only distinct ones are cut
+        coded, found = pc.dictionary_encode(picked), {}
+        of = np.array([found.setdefault(c if c is None else c.split(":", 1)[0], len(found)) for c in coded.dictionary.to_pylist()] or [0])
+        at = coded.indices.fill_null(len(of)).to_numpy(zero_copy_only=False)
+        if coded.null_count:
+            of = np.append(of, found.setdefault(None, len(found)))
+        return list(found), of[at].reshape(n, len(columns))
     if set(places) <= {0}:
         picked = pc.list_element(pc.split_pattern(picked, ":", max_splits=1), 0) if len(picked) else picked
         coded = pc.dictionary_encode(picked)
@@ -104,12 +111,14 @@ def places_of(names: Sequence[str], samples: Sequence[str]) -> np.ndarray:
     return np.array([place[s] for s in samples], np.int64)
 
 
-def group_counts(records: DataFrame, names: Sequence[str], groups: Mapping[str, Sequence[str]], reading: str) -> DataFrame:
+def group_counts(records: DataFrame, names: Sequence[str], groups: Mapping[str, Sequence[str]], reading: str, carried: Sequence[str] = ()) -> DataFrame:
     """``(chrom, pos, ref, alt, <group>_AN, <group>_AC)`` of each record ``(chrom, pos, ref, alt, format, cells)``.
 
     ``<group>_AC`` has the copies of the reference and of each alternative;
     groups may share samples and may be empty.  Each record gives one row, in
-    the partition that it is in.
+    the partition that it is in.  ``carried`` names further columns of the
+    records that stay with them, such as ``format`` and ``cells`` for whoever
+    reads the cells of the sites that the counts choose.
     """
     ship(records.sparkSession)
     wanted = list(dict.fromkeys(s for samples in groups.values() for s in samples))
@@ -117,7 +126,7 @@ def group_counts(records: DataFrame, names: Sequence[str], groups: Mapping[str,
     at = {s: i for i, s in enumerate(wanted)}
     members = {g: np.array([at[s] for s in samples], np.int64) for g, samples in groups.items()}
     width = len(names)
-    ddl = SITE + "".join(f", `{g}_AN` long, `{g}_AC` array<long>" for g in groups)
+    ddl = SITE + "".join(f", `{g}_AN` long, `{g}_AC` array<long>" for g in groups) + "".join(f", `{c}` {records.schema[c].dataType.simpleString()}" for c in carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,9 +142,11 @@ def group_counts(records: DataFrame, names: Sequence[str], groups: Mapping[str,
                 seen = np.bincount((np.arange(len(which))[:, None] * kinds + which[:, own]).ravel(), minlength=len(which) * kinds).reshape(len(which), kinds)
                 sums = seen @ held
                 out += [pa.array(sums.sum(1)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sums[keep]))]
-            yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names[:4], *[f"{g}_{c}" for g in groups for c in ("AN", "AC")]])
+            out += [b.column(c) for c in carried]
+            yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names[:4], *[f"{g}_{c}" for g in groups for c in ("AN", "AC")], *carried])
 
-    return records.select("chrom", "pos", "ref", "alt", "format", "cells").mapInArrow(run, ddl)
+    needed = ["chrom", "pos", "ref", "alt", "format", "cells"]
+    return records.select(*needed, *[c for c in carried if c not in needed]).mapInArrow(run, ddl)
 
 
 def carriers_and_called(sites: DataFrame, names: Sequence[str], samples: Sequence[str]) -> DataFrame:
@@ -151,9 +162,11 @@ def carriers_and_called(sites: DataFrame, names: Sequence[str], samples: Sequenc
     rest = [f for f in sites.schema if f.name not in ("format", "cells", "code")]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", carriers array<string>, called array<string>"
 
+    texts = pa.array(named, pa.string())
+
     def lists(mask: np.ndarray) -> pa.ListArray:
         ends = np.concatenate([[0], np.cumsum(mask.sum(1))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.broadcast_to(named, mask.shape)[mask], pa.string()))
+        return pa.ListArray.from_arrays(pa.array(ends), texts.take(pa.array(np.nonzero(mask)[1])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -38,12 +38,13 @@ def targets(sites: DataFrame, groups: Sequence[str] = TARGET_GROUPS) -> DataFram
     return out.select("*", *[A.target_count(F.col(f"{g}_AC"), F.col(f"{g}_AN"), F.col("Wild_minor_allele")).alias(f"{g}_minor_count") for g in groups])
 
 
-def missing_targets(universe: DataFrame) -> DataFrame:
-    """Targets that the whole collection lacks."""
+def missing_targets(universe: DataFrame, *carried: str) -> DataFrame:
+    """Targets that the whole collection lacks; ``carried`` names further columns to keep."""
     lost = universe.where("Ex_situ_minor_count <= 0")
     return lost.select(
         F.col("chrom").alias("CHROM"), F.col("pos").alias("POS"), "Wild_AC", "Wild_AN", (F.col("Wild_AN") - F.col("Wild_AC")).alias("Wild_REF_count"), F.col("Wild_AC").alias("Wild_ALT_count"),
         "Wild_minor_allele", "Wild_minor_count", "Wild_minor_MAF", "Wild_MAF_bin", "Ex_situ_AC", "Ex_situ_AN", (F.col("Ex_situ_AN") - F.col("Ex_situ_AC")).alias("Ex_situ_REF_count"), F.col("Ex_situ_AC").alias("Ex_situ_ALT_count"),
+        *carried,
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdance.functions import alleles as A
+from verdance.functions import genotypes as G
 from verdance.operators import inrecord
 from verdance.operators import representation as R
 from verdance.storage import materialize
@@ -21,6 +22,11 @@ from verdance.storage import materialize
 QUOTAS = {"Plan_A": {"AFRICA": 1, "AMERICA": 2, "MIDDLE EAST": 1}, "Plan_B": {"AFRICA": 3, "AMERICA": 3, "MIDDLE EAST": 3}}
 WEIGHTS = {"MAF_le_0.01": 1.0, "0.01_lt_MAF_le_0.05": 2.0, "0.05_lt_MAF_le_0.10": 2.0}
 WILD_REGIONS = ("AFRICA", "AMERICA", "MIDDLE EAST")
+#: Sites that one task sorts and aggregates at most, whatever the number of shuffle partitions: its memory does not grow with the tables.
+SITES_A_TASK = 4096
+#: Bits that a call takes in a site's numbers, calls in a number, and what the bits mean: nothing, or two alleles of which the second may be absent.
+BITS, IN_NUMBER = 4, 15
+MEANT = [(None, None), *[(a, b) for a in "012" for b in "012."]]
 
 
 class Model:
@@ -51,7 +57,17 @@ class Model:
 
     @property
     def calls(self) -> DataFrame:
-        """``(p, chrom, pos, sample_id, material, garden, region, ord, a1, a2, gt, dp, gq)``.
+        """``(p, chrom, pos, sample_id, material, garden, region, ord, a1, a2, gt, dp, gq)``."""
+        two = self._two().join(F.broadcast(self.samples), "ord")  # 100 rows at most
+        p, gt = F.col("p"), F.concat(F.col("a1").cast("string"), F.lit("/"), F.coalesce(F.col("a2").cast("string"), F.lit(".")))
+        return two.select("p", *self._site(p), "sample_id", "material", "garden", "region", "ord", "a1", "a2", gt.alias("gt"), F.col("q").cast("int").cast("string").alias("dp"), (F.rint(F.col("t") * 100).cast("int") * 10).cast("string").alias("gq"))
+
+    @staticmethod
+    def _site(p) -> list:
+        return [F.concat(F.lit("chr"), (p % 5).cast("string")).alias("chrom"), p.cast("string").alias("pos")]
+
+    def _two(self) -> DataFrame:
+        """The first two lines of each site and sample: ``(p, ord, a1, a2, q, t)``.
 
         Lines are dealt by site and sorted by site and sample, so the window here and all that is grouped by ``p`` later share one exchange.
         """
@@ -61,12 +77,11 @@ class Model:
         minor_ref = F.when(rare & (F.col("l_quantity") <= 1 + p % 10), 0).otherwise(1)
         minor_alt = F.when(rare & (F.col("l_quantity") <= F.when(p % 10 == 9, 20).otherwise(p % 10)), 1).otherwise(0)
         lines = self.table("lineitem").select((F.col("l_partkey") % m).alias("p"), (F.col("l_suppkey") % 100).cast("int").alias("ord"), "l_orderkey", "l_linenumber", "l_discount", "l_quantity", "l_tax")
-        rows = lines.repartition("p").withColumn("a", F.when(p % 23 == 0, minor_ref).otherwise(minor_alt)).withColumn("cell", p * 100 + F.col("ord"))
+        tasks = -(-m // SITES_A_TASK)
+        dealt = lines.repartition(tasks, "p") if tasks > int(self.spark.conf.get("spark.sql.shuffle.partitions")) else lines.repartition("p")
+        rows = dealt.withColumn("a", F.when(p % 23 == 0, minor_ref).otherwise(minor_alt)).withColumn("cell", p * 100 + F.col("ord"))
         w = Window.partitionBy("cell", "p", "ord").orderBy("l_orderkey", "l_linenumber", "l_discount", "l_quantity", "l_tax")
-        two = rows.select("p", "ord", F.row_number().over(w).alias("rn"), F.col("a").alias("a1"), F.lead("a").over(w).alias("a2"), F.col("l_quantity").alias("q"), F.col("l_tax").alias("t")).where("rn = 1")
-        two = two.join(F.broadcast(self.samples), "ord")  # 100 rows at most
-        gt = F.concat(F.col("a1").cast("string"), F.lit("/"), F.coalesce(F.col("a2").cast("string"), F.lit(".")))
-        return two.select("p", F.concat(F.lit("chr"), (p % 5).cast("string")).alias("chrom"), p.cast("string").alias("pos"), "sample_id", "material", "garden", "region", "ord", "a1", "a2", gt.alias("gt"), F.col("q").cast("int").cast("string").alias("dp"), (F.rint(F.col("t") * 100).cast("int") * 10).cast("string").alias("gq"))
+        return rows.select("p", "ord", F.row_number().over(w).alias("rn"), F.col("a").alias("a1"), F.lead("a").over(w).alias("a2"), F.col("l_quantity").alias("q"), F.col("l_tax").alias("t")).where("rn = 1").drop("rn")
 
     @property
     def acan(self) -> DataFrame:
@@ -150,16 +165,28 @@ class Model:
     def cohort(self) -> dict[int, str]:
         return {r["ord"]: r["sample_id"] for r in self.samples.orderBy("ord").collect()}
 
-    def _cells(self, gt) -> list:
-        """Aggregates of a site's calls into the array of cells that a VCF record has; a sample without a call has a dot."""
-        held = F.map_from_entries(F.collect_list(F.struct("ord", gt.alias("gt"))))
-        places = F.array(*[F.lit(n) for n in self.cohort]).cast("array<int>")
-        return [F.lit("GT").alias("format"), F.transform(places, lambda n: F.coalesce(F.try_element_at(held, n), F.lit("."))).alias("cells")]
+    @staticmethod
+    def _packed() -> list:
+        """Aggregates of a site's calls ``(ord, a1, a2)`` into a few numbers: a hash aggregation of fixed width, which keeps no list of strings and sorts nothing."""
+        code = (F.col("a1") * 4 + F.coalesce("a2", F.lit(3)) + 1).cast("long")
+        bits = F.call_function("shiftleft", code, (F.col("ord") % IN_NUMBER * BITS).cast("int"))
+        return [F.bit_or(F.when(F.expr(f"ord div {IN_NUMBER}") == k, bits).otherwise(F.lit(0).cast("long"))).alias(f"n{k}") for k in range(-(-100 // IN_NUMBER))]
+
+    def _cells(self, sep: str) -> list:
+        """Format and array of cells that a VCF record has, from the numbers of ``_packed``; a sample without a call has a dot."""
+        text = F.array(*[F.lit("." if a is None else f"{a}{sep}{b}") for a, b in MEANT])
+
+        def part(k: int):
+            places = F.array(*[F.lit(n % IN_NUMBER * BITS) for n in self.cohort if n // IN_NUMBER == k]).cast("array<int>")
+            return F.transform(places, lambda n: F.element_at(text, F.call_function("shiftright", F.col(f"n{k}"), n).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int") + 1))
+
+        return [F.lit("GT").alias("format"), F.concat(*[part(k) for k in range(-(-100 // IN_NUMBER))]).alias("cells")]
 
     @property
     def records(self) -> DataFrame:
         """Biallelic records ``(chrom, pos, ref, alt, format, cells)``, one for each site."""
-        return self.calls.groupBy("p", "chrom", "pos").agg(F.lit("A").alias("ref"), F.lit("C").alias("alt"), *self._cells(F.col("gt"))).select("chrom", "pos", "ref", "alt", "format", "cells")
+        site = self._two().where(F.col("ord").isin(list(self.cohort))).groupBy("p").agg(*self._packed())
+        return site.select(*self._site(F.col("p")), F.lit("A").alias("ref"), F.lit("C").alias("alt"), *self._cells("/"))
 
     @cached_property
     def held_records(self) -> DataFrame:
@@ -167,24 +194,24 @@ class Model:
         return materialize(self.records, "site-records")
 
     @property
-    def held_missing(self) -> DataFrame:
-        """``missing``, from counts inside ``held_records``: the lines are not read again."""
-        groups = {g: [r["sample_id"] for r in self.samples.where(self._in(g)).collect()] for g in R.GROUPS}  # the cohort
-        counted = inrecord.group_counts(self.held_records, self.names, groups, inrecord.STRICT)
-        sites = counted.select("chrom", "pos", *[x for g in R.GROUPS for x in (F.get(f"{g}_AC", F.lit(1)).alias(f"{g}_AC"), F.col(f"{g}_AN"))])
-        return R.missing_targets(R.targets(sites))
+    def held_targets(self) -> DataFrame:
+        """``missing`` with the target's code and its record's ``format`` and ``cells``, in one pass over ``held_records``: nothing is joined, and the lines are not read again."""
+        groups = {g: [r["sample_id"] for r in self.samples.where(self._in(g)).collect()] for g in ("Wild", "Ex_situ")}  # the cohort
+        held = ("format", "cells")
+        counted = inrecord.group_counts(self.held_records, self.names, groups, inrecord.STRICT, carried=held)
+        sites = counted.select("chrom", "pos", *held, *[x for g in groups for x in (F.get(f"{g}_AC", F.lit(1)).alias(f"{g}_AC"), F.col(f"{g}_AN"))])
+        return R.missing_targets(R.targets(sites, ("Ex_situ",)), *held).withColumn("cells", F.when(F.col("POS").isNotNull(), F.col("cells"))).withColumn("code", G.target_code(F.col("Wild_minor_allele")))  # lines without a part have no place, as a join by it would find
 
     @property
     def multi_records(self) -> DataFrame:
         """Records with several alternatives, star alleles, lower case and equal bases, with the collection's calls."""
-        return self._multi().groupBy("p", "chrom", "pos", "ref", "alt").agg(*self._cells(F.col("gt"))).select("chrom", "pos", "ref", "alt", "format", "cells")
+        return self._multi().groupBy("p", "chrom", "pos", "ref", "alt").agg(*self._packed()).select("chrom", "pos", "ref", "alt", *self._cells("|"))
 
     def _multi(self) -> DataFrame:
-        """Calls of the collection with several alternatives, star alleles, lower case and equal bases: ``(p, chrom, pos, ref, alt, ord, gt)``."""
+        """Calls of the collection with several alternatives, star alleles, lower case and equal bases: ``(p, chrom, pos, ref, alt, ord, a1, a2)``."""
         p = F.col("p")
         alt = reduce(lambda rest, case: F.when(p % case[0] == 0, case[1]).otherwise(rest), [(17, "A"), (13, "g"), (11, "C,*"), (7, "G,T")], F.lit("C"))
         ref = F.when((p % 13 == 0) & (p % 7 != 0) & (p % 11 != 0), "a").otherwise("A")
         second = ((p % 7 == 0) | (p % 11 == 0)) & (F.col("ord") % 2 == 0)
-        code = lambda c: F.when(second & (F.col(c) == 1), 2).otherwise(F.col(c)).cast("string")
-        gt = F.concat(code("a1"), F.lit("|"), F.coalesce(code("a2"), F.lit(".")))
-        return self.calls.where("material = 'Ex_situ'").select("p", "chrom", "pos", ref.alias("ref"), alt.alias("alt"), "ord", gt.alias("gt"))
+        code = lambda c: F.when(second & (F.col(c) == 1), 2).otherwise(F.col(c)).alias(c)
+        return self.calls.where("material = 'Ex_situ'").select("p", "chrom", "pos", ref.alias("ref"), alt.alias("alt"), "ord", code("a1"), code("a2"))

@@ -11,7 +11,7 @@ from verdance.functions import alleles as A
 from verdance.functions import genotypes as G
 from verdance.functions.summaries import key_values
 from verdance.functions.text import canonical_region
-from verdance.operators import altstates, callability, checks, control, portfolios, qc, rarefaction, regions, relatedness, representation, selection, validation
+from verdance.operators import altstates, callability, checks, control, inrecord, portfolios, qc, rarefaction, regions, relatedness, representation, selection, validation
 from verdance.plans.model import QUOTAS, WEIGHTS, WILD_REGIONS, Model
 from verdance.storage import materialize
 
@@ -215,7 +215,8 @@ def alt_lost_sources(m: Model) -> DataFrame:
 
 def _per_target(m: Model) -> DataFrame:
     wild = [r["sample_id"] for r in m.wild.orderBy("ord").collect()]  # the cohort
-    return materialize(selection.carriers_in_record(m.held_records, m.names, wild, m.held_missing), "target-carriers")
+    sites = m.held_targets.select("CHROM", "POS", "Wild_minor_count", "Wild_MAF_bin", "code", "format", "cells")
+    return materialize(inrecord.carriers_and_called(sites, m.names, wild), "target-carriers")
 
 
 def _plans(m: Model) -> tuple[DataFrame, dict]:
