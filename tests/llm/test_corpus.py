@@ -543,6 +543,34 @@ def test_softmax_covers_half_of_the_tokens(spark):
     assert counts[: gru.WORDS].sum() > 0.5 * counts.sum() and gru.TAILS >= 64
 
 
+def test_gru_windows_stay_full_when_lanes_run_dry():
+    sizes = [900, 700, *[20] * 60]
+    docs = [(k, np.arange(n) + 1000 * k) for k, n in enumerate(sizes)]
+    seen, windows, most = {k: [] for k in range(len(docs))}, 0, 0
+    for owners, x, y, mask, fresh, ended in gru.windows(iter(docs), 16, -1):
+        windows, most = windows + 1, max(most, int(mask.sum()))
+        for lane in np.nonzero(mask[:, 0])[0]:
+            part, own = y[lane][mask[lane]], seen[owners[lane][0]]
+            assert fresh[lane] == (not own) and x[lane, 0] == (own[-1] if own else -1) and (x[lane, 1 : len(part)] == part[:-1]).all()
+            own.extend(part.tolist())
+            assert ended[lane] == (len(own) == sizes[owners[lane][0]])
+    assert all(seen[k] == d.tolist() for k, d in docs)  # each token once, in its document's order
+    assert windows <= 12 and most <= 16 * gru.WINDOW * 2  # 29 windows of fixed width: the longest document's
+
+
+def test_gru_likelihood_is_the_same_with_and_without_the_shift(monkeypatch):
+    rng = np.random.default_rng(4)
+    w = gru.Weights.fresh(np.arange(gru.WORDS, 0, -1.0), np.ones(gru.TAILS) * 50)
+    y, mask = rng.integers(0, gru.SYMBOLS, (8, 6)), np.ones((8, 6), bool)
+    hs = rng.uniform(-1, 1, (6, 8, gru.HIDDEN)).astype(np.float32)
+    plain = gru.Model(w).likelihood(hs, y, mask)[0]
+    monkeypatch.setattr(gru, "SAFE", 0.0)
+    assert np.allclose(plain, gru.Model(w).likelihood(hs, y, mask)[0], atol=1e-4)
+    w.ww *= 1e4  # beyond the range of exponentials
+    monkeypatch.undo()
+    assert np.isfinite(gru.Model(w).likelihood(hs, y, mask)[0]).all()
+
+
 def test_gradient_is_that_of_the_likelihood(monkeypatch):
     rng = np.random.default_rng(0)
     w = gru.Weights.fresh(np.arange(gru.WORDS, 0, -1.0), np.ones(gru.TAILS) * 50)

@@ -28,6 +28,8 @@ WORDS, TAILS, PER_CLASS = 4096, 64, 64
 SYMBOLS = WORDS + TAILS
 #: Tokens that meet the output weights at once.
 BLOCK = 1024
+#: Logits below this in size need no shift before they are exponentiated in single precision.
+SAFE = 60.0
 #: Words whose counts every worker holds; all rarer ones meet their counts in a join.
 HELD = 131_072
 #: Units; tokens of a window, after which backpropagation is cut and the state goes on; documents read side by side.
@@ -90,17 +92,29 @@ class Model:
         self.w = w
         self.m, self.v, self.t = np.zeros_like(w.flat), np.zeros_like(w.flat), 0
         self.g = None
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array for one use at a time, from memory that stays: fresh pages for each window would cost more than what is computed in them."""
+        size = int(np.prod(shape))
+        if name not in self.rooms or self.rooms[name].size < size:
+            self.rooms[name] = np.empty(size + size // 4, np.float32)
+        return self.rooms[name][:size].reshape(shape)
 
     def states(self, x: np.ndarray, h: np.ndarray, keep: bool):
-        """States after each symbol of ``x`` (lanes, window), from ``h``; with ``keep`` also gates, candidates and what the candidates take from the state before."""
+        """States after each symbol of ``x`` (lanes, window), from ``h``; with ``keep`` also gates, candidates, what the candidates take from the state before, and that state. All hold until the next call."""
         w, n, (lanes, width) = self.w, HIDDEN, x.shape
-        hs = np.empty((width, lanes, n), np.float32)
+        path = self.room("path", width + 1, lanes, n)
+        path[0] = h
+        before, hs, h = path[:-1], path[1:], path[0]
         rows = width if keep else 1
-        gates, candidates, taken = np.empty((rows, lanes, 2 * n), np.float32), np.empty((rows, lanes, n), np.float32), np.empty((rows, lanes, n), np.float32)
+        gates, candidates, taken = self.room("gates", rows, lanes, 2 * n), self.room("candidates", rows, lanes, n), self.room("taken", rows, lanes, n)
+        gx, gh = self.room("gx", lanes, 3 * n), self.room("gh", lanes, 3 * n)
         for t in range(width):
             k = t if keep else 0
             zr, c, ghn = gates[k], candidates[k], taken[k]
-            gx, gh = w.g[x[:, t]], h @ w.u
+            np.take(w.g, x[:, t], axis=0, out=gx, mode="clip")  # with a mode, take writes straight into its place
+            np.matmul(h, w.u, out=gh)
             np.add(gx[:, : 2 * n], gh[:, : 2 * n], out=zr)
             zr *= 0.5
             np.tanh(zr, out=zr)
@@ -115,7 +129,7 @@ class Model:
             new *= zr[:, :n]
             new += c
             h = new
-        return hs, (gates, candidates, taken)
+        return hs, (gates, candidates, taken, before)
 
     def likelihood(self, hs: np.ndarray, y: np.ndarray, mask: np.ndarray, grads: Weights | None = None):
         """Natural log-probabilities (lanes, window) of ``y``; with ``grads``, also what flows back into the states.
@@ -129,14 +143,20 @@ class Model:
         order = np.argsort(target // PER_CLASS, kind="stable")
         t, lane, target = t[order], lane[order], target[order]
         n, (cls, word) = len(target), np.divmod(target, PER_CLASS)
-        states = np.ones((HIDDEN + 1, n), np.float32)
+        states = self.room("states", HIDDEN + 1, n)
+        states[HIDDEN] = 1
         states[:HIDDEN] = hs[t, lane].T
-        out, back = np.zeros(n, np.float32), None if grads is None else np.empty((HIDDEN, n), np.float32)
+        out, back = np.zeros(n, np.float32), None if grads is None else self.room("back", HIDDEN, n)
+
+        def small(weights) -> bool:
+            """Whether no logit can leave the range of exponentials: states lie between -1 and 1."""
+            return bool(np.abs(weights).sum(1).max(initial=0) < SAFE)
 
-        def softmax(weights, gradient, lo, hi, at, first):
+        def softmax(weights, gradient, lo, hi, at, first, safe):
             x, each = states[:, lo:hi], np.arange(hi - lo)
-            logits = weights @ x
-            logits -= logits.max(0)
+            logits = np.matmul(weights, x, out=self.room("logits", len(weights), hi - lo))
+            if not safe:
+                logits -= logits.max(0)
             out[lo:hi] += logits[at[lo:hi], each]
             np.exp(logits, out=logits)
             total = logits.sum(0)
@@ -148,18 +168,21 @@ class Model:
                 flow = weights[:, :HIDDEN].T @ logits
                 back[:, lo:hi] = flow if first else back[:, lo:hi] + flow
 
+        safe = small(w.wc)
         for lo in range(0, n, BLOCK):
-            softmax(w.wc, None if grads is None else grads.wc, lo, min(n, lo + BLOCK), cls, True)
+            softmax(w.wc, None if grads is None else grads.wc, lo, min(n, lo + BLOCK), cls, True, safe)
+        safe = small(w.ww)
         edges = np.searchsorted(cls, np.arange(SYMBOLS // PER_CLASS + 1)).tolist()
         for k, (start, end) in enumerate(zip(edges, edges[1:])):
             part = slice(k * PER_CLASS, (k + 1) * PER_CLASS)
             for lo in range(start, end, BLOCK):
-                softmax(w.ww[part], None if grads is None else grads.ww[part], lo, min(end, lo + BLOCK), word, False)
+                softmax(w.ww[part], None if grads is None else grads.ww[part], lo, min(end, lo + BLOCK), word, False, safe)
         ll = np.zeros(mask.shape, np.float64)
         ll[lane, t] = out
         if grads is None:
             return ll, None
-        dhs = np.zeros_like(hs)
+        dhs = self.room("dhs", *hs.shape)
+        dhs[:] = 0
         dhs[t, lane] = back.T
         return ll, dhs
 
@@ -168,16 +191,23 @@ class Model:
         n = HIDDEN
         g = self.g = self.g or Weights()
         g.flat[:] = 0
-        hs, (gates, c, taken) = self.states(x, h, True)
+        hs, (gates, c, taken, before) = self.states(x, h, True)
         _, dhs = self.likelihood(hs, y, mask, g)
         z, r = gates[:, :, :n], gates[:, :, n:]
-        before = np.concatenate([h[None], hs[:-1]])
         # What a change of the state after a step does to candidate, update gate and reset gate of the step.
-        to_c = (1.0 - z) * (1.0 - c * c)
-        to_z = (before - c) * z * (1.0 - z)
-        to_r = to_c * taken * r * (1.0 - r)
-        to_taken = to_c * r
-        dh, flow, dgh = np.zeros_like(h), np.empty(dhs.shape, np.float32), np.empty((len(z), len(h), 3 * n), np.float32)
+        to_c, to_z, to_r, to_taken, some = (self.room(name, *hs.shape) for name in ("to_c", "to_z", "to_r", "to_taken", "some"))
+        np.multiply(c, c, out=to_c)
+        np.subtract(1, to_c, out=to_c)
+        np.subtract(1, z, out=some)
+        to_c *= some
+        np.subtract(before, c, out=to_z)
+        to_z *= z
+        to_z *= some
+        np.multiply(to_c, r, out=to_taken)
+        np.subtract(1, r, out=some)
+        np.multiply(to_taken, taken, out=to_r)
+        to_r *= some
+        dh, flow, dgh = np.zeros_like(h), self.room("flow", *hs.shape), self.room("dgh", len(z), len(h), 3 * n)
         back = np.ascontiguousarray(self.w.u.T)
         for t in range(len(z) - 1, -1, -1):
             dh += dhs[t]
@@ -194,7 +224,8 @@ class Model:
         symbol = x.T.reshape(-1)
         order = np.argsort(symbol, kind="stable")
         at = np.nonzero(np.r_[True, np.diff(symbol[order]) > 0])[0]
-        g.g[symbol[order[at]]] = np.add.reduceat(dgx.reshape(-1, 3 * n)[order], at)
+        sorted_ = np.take(dgx.reshape(-1, 3 * n), order, axis=0, out=self.room("sorted", len(order), 3 * n), mode="clip")
+        g.g[symbol[order[at]]] = np.add.reduceat(sorted_, at)
         self.t += 1
         # In blocks, in place: the moments and the step of a block stay in the cache.
         size, up = np.float32(rate / (1 - 0.9**self.t)), np.float32(1 / (1 - 0.99**self.t))
@@ -204,7 +235,8 @@ class Model:
             m += np.float32(0.1) * (d - m)
             d *= d
             v += np.float32(0.01) * (d - v)
-            step = np.sqrt(v * up)
+            step = np.multiply(v, up, out=self.room("step", len(v)))
+            np.sqrt(step, out=step)
             step += np.float32(1e-6)
             np.divide(m, step, out=step)
             step *= size
@@ -217,33 +249,37 @@ def windows(docs: Iterator[tuple[object, np.ndarray]], lanes: int, start: int, w
 
     Each lane reads one document to its end, window by window, then the next;
     ``fresh`` marks lanes that begin one, ``ended`` those that end one.  ``x``
-    is the symbol before ``y``; the first is ``start``.
+    is the symbol before ``y``; the first is ``start``.  When no document waits
+    and lanes run dry, the rest, which is long documents, is read in windows as
+    much wider, so that a window holds about as many tokens as with all lanes.
     """
     current: list[tuple | None] = [None] * lanes
     place = [0] * lanes
     more = True
     while True:
-        x = np.full((lanes, width), start, np.int64)
-        y, mask = np.zeros((lanes, width), np.int64), np.zeros((lanes, width), bool)
         fresh, ended = np.zeros(lanes, bool), np.zeros(lanes, bool)
-        live = False
         for k in range(lanes):
             if current[k] is None and more:
                 current[k] = next(docs, None)
                 place[k], fresh[k] = 0, True
                 more = current[k] is not None
+        left = sorted(len(d[1]) - p for d, p in zip(current, place) if d is not None)
+        if not left:
+            return
+        # Half the lanes end within the window at the most.
+        wide = width if more else max(width, min(width * (lanes // len(left)), left[len(left) // 2]))
+        x = np.full((lanes, wide), start, np.int64)
+        y, mask = np.zeros((lanes, wide), np.int64), np.zeros((lanes, wide), bool)
+        for k in range(lanes):
             if current[k] is not None:
-                live = True
                 symbols, p = current[k][1], place[k]
-                part = symbols[p : p + width]
+                part = symbols[p : p + wide]
                 n = len(part)
                 y[k, :n], mask[k, :n] = part, True
                 if p:
                     x[k, 0] = symbols[p - 1]
                 x[k, 1:n] = part[:-1]
                 place[k], ended[k] = p + n, p + n == len(symbols)
-        if not live:
-            return
         yield current, x, y, mask, fresh, ended
         for k in np.nonzero(ended)[0]:
             current[k] = None
@@ -388,7 +424,7 @@ def trained(docs: DataFrame, lexicon, first: Weights) -> Weights:
                 live = np.nonzero(mask[:, 0])[0]
                 # A window that few lanes still fill moves the weights as much less.
                 seen = int(mask.sum())
-                h[live] = model.learn(x[live], y[live], mask[live], h[live], rate * min(1.0, 2.0 * seen / mask.size))
+                h[live] = model.learn(x[live], y[live], mask[live], h[live], rate * min(1.0, 2.0 * seen / (lanes * WINDOW)))
                 tokens += seen
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([model.w.flat.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], names=["weights", "tokens"])
