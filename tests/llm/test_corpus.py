@@ -538,6 +538,35 @@ def test_every_training_token_is_learned_from(spark, monkeypatch):
     assert sum(learned) == got.train_tokens
 
 
+def test_rounds_of_learning_read_symbols_and_not_texts(spark, monkeypatch):
+    """Texts are split once for counting and once for their symbols, however many rounds learn from them."""
+    texts = [" \tThe  cat\x0bsat\r\n", "", None, "   ", "ÀÉ É\x85x \x1c\xa0y the THE", "a " * 500]
+    kept, trained = {}, gru.trained
+
+    def watched(docs, lexicon, first):
+        kept["docs"], kept["lex"] = docs, gru.Lexicon(*lexicon.value)
+        kept["rows"] = {r.doc_id: r.symbols for r in docs.collect()} if "symbols" in docs.columns else None
+        return trained(docs, lexicon, first)
+
+    monkeypatch.setattr(gru, "trained", watched)
+    got = {r.doc_id: r for r in gru.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert "text" not in kept["docs"].columns
+    for i, t in enumerate(texts):
+        words = [*(t or "").encode().lower().split(), b""]
+        assert got[i].n_tokens == len(words)
+        if zlib.crc32(str(i).encode()) % 10:
+            assert np.frombuffer(kept["rows"][i], np.uint16).tolist() == kept["lex"].look_up(words)[1].tolist()
+
+
+def test_rows_of_a_place_are_added_up():
+    rng = np.random.default_rng(2)
+    places = np.r_[np.full(3 * gru.OFTEN, 7), rng.integers(0, 60, 300), 99]
+    rows, got, want = rng.integers(-9, 9, (len(places), 6)).astype(np.float32), np.ones((100, 6), np.float32), np.ones((100, 6), np.float32)
+    np.add.at(want, places, rows)
+    gru.Model.add_rows(got, places, rows)
+    assert (got == want).all()
+
+
 def test_softmax_covers_half_of_the_tokens(spark):
     counts = gru.word_counts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("word <> ''").toPandas().c.sort_values(ascending=False)
     assert counts[: gru.WORDS].sum() > 0.5 * counts.sum() and gru.TAILS >= 64

@@ -9,14 +9,15 @@ over the whole training corpus, so every text has a proper probability.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,29 +28,56 @@ from verdance.storage import materialize, result_only
 WORDS, TAILS, PER_CLASS = 4096, 64, 64
 SYMBOLS = WORDS + TAILS
 #: Tokens that meet the output weights at once.
-BLOCK = 1024
+BLOCK = 512
 #: Logits below this in size need no shift before they are exponentiated in single precision.
 SAFE = 60.0
+#: Rows of one place that are summed at once.
+OFTEN = 32
 #: Words whose counts every worker holds; all rarer ones meet their counts in a join.
 HELD = 131_072
 #: Units; tokens of a window, after which backpropagation is cut and the state goes on; documents read side by side.
 HIDDEN, WINDOW, LANES = 32, 32, 256
 #: Window of scoring, which has nothing to cut: longer ones cost less.
 SCORED_WINDOW = 64
+#: Documents read side by side in scoring, where no step of learning depends on it: more of them share what a call costs.
+SCORED_LANES = 512
 #: Step sizes; each round trains on its own part of the documents, and the workers' weights are averaged after it.
 RATES = (0.03, 0.02, 0.01, 0.005)
 ADDED = 0.1
 END = b""
-#: Distinct words that a worker counts before it hands them on.
+#: Distinct words of several stretches that a worker adds up before it hands them on.
 COUNTED = 600_000
+#: Bytes of text whose words are numbered at once.
+STRETCH = 8 << 20
 FAN_IN = 64
 SEED = 7
 LN10 = float(np.log(10.0))
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words between ASCII white space, ASCII letters in lower case."""
-    return (text or b"").lower().split()
+def stretches(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in order, in slices of some ``STRETCH`` bytes; a longer text is a slice by itself."""
+    at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // STRETCH
+    edges = [0, *(np.nonzero(np.diff(at))[0] + 1).tolist(), len(texts)]
+    for lo, hi in zip(edges, edges[1:]):
+        if hi > lo:
+            yield texts.slice(lo, hi - lo)
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words between ASCII white space, ASCII letters in lower case: the distinct ones, with ``END`` among them; the place there of each word of text after text, each text with its end; and where each text stops."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    words, ids = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+    # White space at the edges of a text leaves empty words, which are none.
+    end = pc.index(words, END).as_py()
+    if end < 0:
+        end, words = len(words), pa.concat_arrays([words, pa.array([END], pa.binary())])
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    some = ids != end
+    owner, ids = owner[some], ids[some]
+    out = np.full(len(ids) + len(texts), end, np.int64)
+    out[np.arange(len(ids)) + owner] = ids
+    return words, out, np.cumsum(np.bincount(owner, minlength=len(texts)) + 1)
 
 
 def tail_class(word: bytes) -> int:
@@ -91,82 +119,117 @@ class Model:
     def __init__(self, w: Weights):
         self.w = w
         self.m, self.v, self.t = np.zeros_like(w.flat), np.zeros_like(w.flat), 0
-        self.g = None
+        self.g = self.inner = None
         self.rooms: dict[str, np.ndarray] = {}
 
     def room(self, name: str, *shape: int) -> np.ndarray:
         """An array for one use at a time, from memory that stays: fresh pages for each window would cost more than what is computed in them."""
-        size = int(np.prod(shape))
+        size = math.prod(shape)
         if name not in self.rooms or self.rooms[name].size < size:
             self.rooms[name] = np.empty(size + size // 4, np.float32)
         return self.rooms[name][:size].reshape(shape)
 
     def states(self, x: np.ndarray, h: np.ndarray, keep: bool):
-        """States after each symbol of ``x`` (lanes, window), from ``h``; with ``keep`` also gates, candidates, what the candidates take from the state before, and that state. All hold until the next call."""
-        w, n, (lanes, width) = self.w, HIDDEN, x.shape
+        """States after each symbol of ``x`` (lanes, window), from ``h``; with ``keep`` also gates, candidates, what the candidates take from the state before (times -2), and that state. All hold until the next call."""
+        n, (lanes, width) = HIDDEN, x.shape
+        # Signs and factors are those inside the exponentials of sigmoid and tanh; states meet them gate by gate, so that all that follows is contiguous.
+        if self.inner is None:
+            factors = np.repeat(np.array([-1, -1, -2], np.float32), n)
+            self.inner = np.multiply(self.w.g, factors, out=self.room("inner", *self.w.g.shape)), np.ascontiguousarray((self.w.u * factors).reshape(n, 3, n).transpose(1, 0, 2))
+        g, u = self.inner
         path = self.room("path", width + 1, lanes, n)
         path[0] = h
         before, hs, h = path[:-1], path[1:], path[0]
         rows = width if keep else 1
-        gates, candidates, taken = self.room("gates", rows, lanes, 2 * n), self.room("candidates", rows, lanes, n), self.room("taken", rows, lanes, n)
-        gx, gh = self.room("gx", lanes, 3 * n), self.room("gh", lanes, 3 * n)
-        for t in range(width):
-            k = t if keep else 0
-            zr, c, ghn = gates[k], candidates[k], taken[k]
-            np.take(w.g, x[:, t], axis=0, out=gx, mode="clip")  # with a mode, take writes straight into its place
-            np.matmul(h, w.u, out=gh)
-            np.add(gx[:, : 2 * n], gh[:, : 2 * n], out=zr)
-            zr *= 0.5
-            np.tanh(zr, out=zr)
-            zr *= 0.5
-            zr += 0.5
-            ghn[:] = gh[:, 2 * n :]
-            np.multiply(zr[:, n:], ghn, out=c)
-            c += gx[:, 2 * n :]
-            np.tanh(c, out=c)
-            new = hs[t]
-            np.subtract(h, c, out=new)
-            new *= zr[:, :n]
-            new += c
-            h = new
+        gates, candidates, taken = self.room("gates", rows, 2, lanes, n), self.room("candidates", rows, lanes, n), self.room("taken", rows, lanes, n)
+        gx, gh = self.room("gx", lanes, 3, n), self.room("gh", 2, lanes, n)
+        of_gate = gx.transpose(1, 0, 2)
+        symbols = np.ascontiguousarray(x.T)
+        with np.errstate(over="ignore"):  # an infinite exponential is a gate of 0
+            for t in range(width):
+                k = t if keep else 0
+                zr, c, ghn = gates[k], candidates[k], taken[k]
+                np.take(g, symbols[t], axis=0, out=gx.reshape(lanes, 3 * n), mode="clip")  # with a mode, take writes straight into its place
+                np.matmul(h, u[:2], out=gh)
+                np.matmul(h, u[2], out=ghn)
+                np.add(of_gate[:2], gh, out=zr)
+                np.exp(zr, out=zr)
+                zr += 1
+                np.divide(1, zr, out=zr)
+                np.multiply(zr[1], ghn, out=c)
+                c += of_gate[2]
+                np.exp(c, out=c)
+                c += 1
+                np.divide(2, c, out=c)
+                c -= 1
+                new = hs[t]
+                np.subtract(h, c, out=new)
+                new *= zr[0]
+                new += c
+                h = new
         return hs, (gates, candidates, taken, before)
 
+    @staticmethod
+    def add_rows(to: np.ndarray, places: np.ndarray, rows: np.ndarray) -> None:
+        """Add each of ``rows`` to the row of ``to`` that its place names.
+
+        Rows of a frequent place are summed at once; of the others, the first
+        of each place, then the second, and so on.
+        """
+        order = np.argsort(places.astype(np.uint16 if len(to) <= 1 << 16 else np.int64), kind="stable")  # small numbers are sorted by their digits
+        places = places[order]
+        start = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+        size = np.diff(np.r_[start, len(places)])
+        often = size > OFTEN
+        for lo, hi in zip(start[often].tolist(), (start + size)[often].tolist()):
+            to[places[lo]] += np.add.reduce(np.take(rows, order[lo:hi], axis=0), 0)
+        start, size = start[~often], size[~often]
+        by_size = np.argsort(-size, kind="stable")
+        start, size = start[by_size], size[by_size]
+        total = np.take(rows, order[start], axis=0)
+        for k in range(1, size[0] if len(size) else 0):
+            m = np.searchsorted(-size, -k)  # places with more than k rows
+            total[:m] += np.take(rows, order[start[:m] + k], axis=0)
+        to[places[start]] += total
+
     def likelihood(self, hs: np.ndarray, y: np.ndarray, mask: np.ndarray, grads: Weights | None = None):
-        """Natural log-probabilities (lanes, window) of ``y``; with ``grads``, also what flows back into the states.
+        """Natural log-probabilities (lanes, window) of ``y``; with ``grads``, instead what flows back into the states.
 
         Tokens are sorted by their class, and a block of them at a time meets
         the weights, classes down and tokens across: blocks stay in the cache.
         """
-        w = self.w
-        t, lane = np.nonzero(mask.T)
-        target = y[lane, t]
-        order = np.argsort(target // PER_CLASS, kind="stable")
-        t, lane, target = t[order], lane[order], target[order]
+        w, lanes = self.w, mask.shape[0]
+        at = np.flatnonzero(mask.T)
+        target = y.T.reshape(-1)[at]
+        order = np.argsort((target // PER_CLASS).astype(np.uint8 if SYMBOLS // PER_CLASS < 256 else np.uint16), kind="stable")  # small numbers are sorted by their digits
+        at, target = at[order], target[order]
         n, (cls, word) = len(target), np.divmod(target, PER_CLASS)
-        states = self.room("states", HIDDEN + 1, n)
-        states[HIDDEN] = 1
-        states[:HIDDEN] = hs[t, lane].T
-        out, back = np.zeros(n, np.float32), None if grads is None else self.room("back", HIDDEN, n)
+        states, each = self.room("states", n, HIDDEN + 1), np.arange(BLOCK)
+        states[:, HIDDEN] = 1
+        states[:, :HIDDEN] = hs.reshape(-1, HIDDEN)[at]
+        out, back = np.zeros(n, np.float32), None if grads is None else self.room("back", n, HIDDEN)
 
         def small(weights) -> bool:
             """Whether no logit can leave the range of exponentials: states lie between -1 and 1."""
             return bool(np.abs(weights).sum(1).max(initial=0) < SAFE)
 
         def softmax(weights, gradient, lo, hi, at, first, safe):
-            x, each = states[:, lo:hi], np.arange(hi - lo)
-            logits = np.matmul(weights, x, out=self.room("logits", len(weights), hi - lo))
+            x, place = states[lo:hi], (at[lo:hi], each[: hi - lo])
+            logits = np.matmul(weights, x.T, out=self.room("logits", len(weights), hi - lo))
             if not safe:
                 logits -= logits.max(0)
-            out[lo:hi] += logits[at[lo:hi], each]
+            out[lo:hi] += logits[place]
             np.exp(logits, out=logits)
-            total = logits.sum(0)
+            total = np.add.reduce(logits, 0)
             out[lo:hi] -= np.log(total)
             if gradient is not None:
-                logits *= 1.0 / (n * total)
-                logits[at[lo:hi], each] -= 1.0 / n
-                gradient += logits @ x.T
-                flow = weights[:, :HIDDEN].T @ logits
-                back[:, lo:hi] = flow if first else back[:, lo:hi] + flow
+                logits *= np.float32(1.0 / n) / total
+                logits[place] -= np.float32(1.0 / n)
+                gradient += logits @ x
+                if first:
+                    np.matmul(logits.T, weights[:, :HIDDEN], out=back[lo:hi])
+                else:
+                    back[lo:hi] += logits.T @ weights[:, :HIDDEN]
 
         safe = small(w.wc)
         for lo in range(0, n, BLOCK):
@@ -177,14 +240,15 @@ class Model:
             part = slice(k * PER_CLASS, (k + 1) * PER_CLASS)
             for lo in range(start, end, BLOCK):
                 softmax(w.ww[part], None if grads is None else grads.ww[part], lo, min(end, lo + BLOCK), word, False, safe)
-        ll = np.zeros(mask.shape, np.float64)
-        ll[lane, t] = out
         if grads is None:
-            return ll, None
+            ll = np.zeros(mask.shape[::-1], np.float64)
+            ll.reshape(-1)[at] = out
+            return ll.T, None
         dhs = self.room("dhs", *hs.shape)
-        dhs[:] = 0
-        dhs[t, lane] = back.T
-        return ll, dhs
+        if n < hs.shape[0] * lanes:
+            dhs[:] = 0
+        dhs.reshape(-1, HIDDEN)[at] = back
+        return None, dhs
 
     def learn(self, x, y, mask, h, rate: float) -> np.ndarray:
         """One step of truncated backpropagation through the window; the state after it."""
@@ -193,54 +257,54 @@ class Model:
         g.flat[:] = 0
         hs, (gates, c, taken, before) = self.states(x, h, True)
         _, dhs = self.likelihood(hs, y, mask, g)
-        z, r = gates[:, :, :n], gates[:, :, n:]
-        # What a change of the state after a step does to candidate, update gate and reset gate of the step.
-        to_c, to_z, to_r, to_taken, some = (self.room(name, *hs.shape) for name in ("to_c", "to_z", "to_r", "to_taken", "some"))
-        np.multiply(c, c, out=to_c)
-        np.subtract(1, to_c, out=to_c)
-        np.subtract(1, z, out=some)
-        to_c *= some
-        np.subtract(before, c, out=to_z)
-        to_z *= z
-        to_z *= some
-        np.multiply(to_c, r, out=to_taken)
-        np.subtract(1, r, out=some)
-        np.multiply(to_taken, taken, out=to_r)
-        to_r *= some
-        dh, flow, dgh = np.zeros_like(h), self.room("flow", *hs.shape), self.room("dgh", len(z), len(h), 3 * n)
-        back = np.ascontiguousarray(self.w.u.T)
-        for t in range(len(z) - 1, -1, -1):
+        # What a change of the state after a step does to what the candidate takes, to both gates and to the candidate.
+        dh, d_all = np.zeros_like(h), self.room("d all", 4, *hs.shape)
+        through, some, other, passed = (self.room(name, *shape) for name, shape in (("through", h.shape), ("some", h.shape), ("other", h.shape), ("passed", (3, *h.shape))))
+        back = np.ascontiguousarray(self.w.u.reshape(n, 3, n).transpose(1, 2, 0)[[2, 0, 1]])
+        for t in range(len(hs) - 1, -1, -1):
+            (z, r), ct, (to_taken, to_z, to_r, to_c) = gates[t], c[t], d_all[:, t]
             dh += dhs[t]
-            flow[t] = dh
-            d = dgh[t]
-            np.multiply(dh, to_z[t], out=d[:, :n])
-            np.multiply(dh, to_r[t], out=d[:, n : 2 * n])
-            np.multiply(dh, to_taken[t], out=d[:, 2 * n :])
-            dh *= z[t]
-            dh += d @ back
-        g.u += before.reshape(-1, n).T @ dgh.reshape(-1, 3 * n)
-        dgx = dgh
-        np.multiply(flow, to_c, out=dgx[:, :, 2 * n :])
-        symbol = x.T.reshape(-1)
-        order = np.argsort(symbol, kind="stable")
-        at = np.nonzero(np.r_[True, np.diff(symbol[order]) > 0])[0]
-        sorted_ = np.take(dgx.reshape(-1, 3 * n), order, axis=0, out=self.room("sorted", len(order), 3 * n), mode="clip")
-        g.g[symbol[order[at]]] = np.add.reduceat(sorted_, at)
+            np.subtract(1, z, out=some)
+            np.multiply(dh, some, out=through)
+            np.subtract(before[t], ct, out=some)
+            some *= z
+            np.multiply(some, through, out=to_z)
+            np.multiply(ct, ct, out=some)
+            some *= through
+            np.subtract(through, some, out=to_c)
+            np.multiply(to_c, r, out=to_taken)
+            np.subtract(r, 1, out=other)
+            other *= taken[t]
+            other *= np.float32(0.5)
+            np.multiply(to_taken, other, out=to_r)
+            dh *= z
+            np.matmul(d_all[:3, t], back, out=passed)
+            for part in passed:
+                dh += part
+        inner = np.matmul(before.reshape(-1, n).T, d_all[:3].reshape(3, -1, n))
+        g.u.reshape(n, 3, n)[:] += inner[[1, 2, 0]].transpose(1, 0, 2)
+        rows = self.room("rows", *hs.shape[:2], 3, n)
+        rows[:] = d_all[1:].transpose(1, 2, 0, 3)
+        self.add_rows(g.g, x.T.reshape(-1), rows.reshape(-1, 3 * n))
         self.t += 1
         # In blocks, in place: the moments and the step of a block stay in the cache.
-        size, up = np.float32(rate / (1 - 0.9**self.t)), np.float32(1 / (1 - 0.99**self.t))
-        for lo in range(0, len(g.flat), 1 << 15):
-            part = slice(lo, lo + (1 << 15))
+        grown = 1 / (1 - 0.99**self.t)
+        size, least = np.float32(rate / (1 - 0.9**self.t) / grown**0.5), np.float32(1e-6 / grown**0.5)
+        for lo in range(0, len(g.flat), 1 << 14):
+            part = slice(lo, lo + (1 << 14))
             d, m, v = g.flat[part], self.m[part], self.v[part]
-            m += np.float32(0.1) * (d - m)
-            d *= d
-            v += np.float32(0.01) * (d - v)
-            step = np.multiply(v, up, out=self.room("step", len(v)))
-            np.sqrt(step, out=step)
-            step += np.float32(1e-6)
-            np.divide(m, step, out=step)
-            step *= size
-            self.w.flat[part] -= step
+            d *= np.float32(0.1)
+            m *= np.float32(0.9)
+            m += d
+            d *= d  # a hundredth of the gradient's square
+            v *= np.float32(0.99)
+            v += d
+            np.sqrt(v, out=d)
+            d += least
+            np.divide(m, d, out=d)
+            d *= size
+            self.w.flat[part] -= d
+        self.inner = None
         return hs[-1]
 
 
@@ -254,34 +318,33 @@ def windows(docs: Iterator[tuple[object, np.ndarray]], lanes: int, start: int, w
     much wider, so that a window holds about as many tokens as with all lanes.
     """
     current: list[tuple | None] = [None] * lanes
-    place = [0] * lanes
+    place, size, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.full(lanes, start, np.int64)
     more = True
     while True:
-        fresh, ended = np.zeros(lanes, bool), np.zeros(lanes, bool)
-        for k in range(lanes):
-            if current[k] is None and more:
-                current[k] = next(docs, None)
-                place[k], fresh[k] = 0, True
-                more = current[k] is not None
-        left = sorted(len(d[1]) - p for d, p in zip(current, place) if d is not None)
-        if not left:
+        fresh = np.zeros(lanes, bool)
+        for k in np.nonzero(place == size)[0].tolist() if more else ():
+            current[k] = next(docs, None)
+            if current[k] is None:
+                more = False
+                break
+            place[k], size[k], last[k], fresh[k] = 0, len(current[k][1]), start, True
+        left = size - place
+        if not left.any():
             return
         # Half the lanes end within the window at the most.
-        wide = width if more else max(width, min(width * (lanes // len(left)), left[len(left) // 2]))
-        x = np.full((lanes, wide), start, np.int64)
-        y, mask = np.zeros((lanes, wide), np.int64), np.zeros((lanes, wide), bool)
-        for k in range(lanes):
-            if current[k] is not None:
-                symbols, p = current[k][1], place[k]
-                part = symbols[p : p + wide]
-                n = len(part)
-                y[k, :n], mask[k, :n] = part, True
-                if p:
-                    x[k, 0] = symbols[p - 1]
-                x[k, 1:n] = part[:-1]
-                place[k], ended[k] = p + n, p + n == len(symbols)
+        wide = width if more else max(width, min(width * (lanes // np.count_nonzero(left)), int(np.sort(left[left > 0])[np.count_nonzero(left) // 2])))
+        n = np.minimum(left, wide)
+        x, y = np.empty((lanes, wide), np.int64), np.zeros((lanes, wide), np.int64)
+        for k, p, m in zip(range(lanes), place.tolist(), n.tolist()):
+            if m:
+                y[k, :m] = current[k][1][p : p + m]
+        x[:, 0], x[:, 1:] = last, y[:, :-1]
+        mask = np.arange(wide) < n[:, None]
+        place += n
+        last = y[np.arange(lanes), n - 1]
+        ended = (n > 0) & (place == size)
         yield current, x, y, mask, fresh, ended
-        for k in np.nonzero(ended)[0]:
+        for k in np.nonzero(ended)[0].tolist():
             current[k] = None
 
 
@@ -308,14 +371,13 @@ class Lexicon:
         self.symbol = np.append(np.where(np.arange(len(words)) < WORDS, np.arange(len(words)), WORDS + tails), 0)
         self.end = self.symbol[self.rank[END]] if END in self.rank else 0
 
-    def ranks(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.rank.get, words, repeat(self.n)), np.int64, len(words))
-
-    def symbols(self, words: list[bytes], ranks: np.ndarray) -> np.ndarray:
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the words, ``n`` for those that are not held, and their symbols."""
+        ranks = np.fromiter(map(self.rank.get, words, repeat(self.n)), np.int64, len(words))
         out = self.symbol[ranks]
-        for i in np.nonzero(ranks == self.n)[0].tolist():
-            out[i] = WORDS + tail_class(words[i])
-        return out
+        rare = np.nonzero(ranks == self.n)[0]
+        out[rare] = [WORDS + tail_class(words[i]) for i in rare.tolist()]
+        return ranks, out
 
 
 _last: tuple = (None, None)
@@ -331,26 +393,24 @@ def lexicon_of(held) -> Lexicon:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(word, c)`` over all texts of ``docs(text)``; the empty word counts the texts, each of which ends once."""
-    schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out():
-            items = list(seen.items())
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*items), schema)], schema=schema)
-
+        held: list[pa.Table] = []
         for b in batches:
-            for text in b.column(0):
-                seen.update(words_of(text.as_py()))
-                seen[END] += 1
-                if len(seen) > COUNTED:
-                    yield out()
-        if seen:
-            yield out()
+            for part in stretches(b.column(0)):
+                words, ids, _ = split(part)
+                held.append(pa.table({"word": words, "c": np.bincount(ids, minlength=len(words))}))
+                if sum(map(len, held)) > COUNTED:
+                    held = [added(held)]
+                    if len(held[0]) > COUNTED // 2:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from added(held).to_batches()
+
+    def added(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _most_frequent(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
@@ -390,8 +450,42 @@ def _averaged(rows: DataFrame) -> np.ndarray | None:
     return None if last is None else np.frombuffer(last["weights"], np.float32).copy()
 
 
+def symbols_in(value: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint16)
+
+
+def encoded(rows: DataFrame, lexicon, log_mass: np.ndarray, floor: float) -> DataFrame:
+    """Each of ``rows(doc_id, text, held_out)`` with its symbols, two bytes each, its counts and base score, and in ``score`` what words have inside their spellings; ``words`` and ``times`` are those that are not held, whose counts both scores lack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = lexicon_of(lexicon)
+        for b in batches:
+            first = 0
+            for part in stretches(b.column(2)):
+                words, ids, stops = split(part)
+                ranks, of_word = lex.look_up(words.to_pylist())
+                starts, outside, rare = np.r_[0, stops[:-1]], of_word >= WORDS, ranks == lex.n
+                logs = np.where(rare, 0.0, lex.log[ranks])
+                inside = np.where(outside, logs - log_mass[np.maximum(of_word - WORDS, 0)], 0.0)
+                n, known = stops - starts, np.add.reduceat((~rare)[ids], starts, dtype=np.int64)
+                base, inside = np.add.reduceat(logs[ids], starts) - n * floor, np.add.reduceat(inside[ids], starts)
+                at = np.flatnonzero(rare[ids])
+                pairs, times = np.unique(np.searchsorted(stops, at, side="right") * len(words) + ids[at], return_counts=True)
+                edges = pa.array(np.searchsorted(pairs, np.arange(len(part) + 1) * len(words)).astype(np.int32))
+                unheld = pa.ListArray.from_arrays(edges, words.take(pa.array(pairs % len(words))))
+                symbols = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(np.r_[0, stops * 2].astype(np.int32)), pa.py_buffer(of_word.astype(np.uint16)[ids])])
+                times = pa.ListArray.from_arrays(edges, pa.array(times.astype(np.int32)))
+                ids_and_folds = [b.column(k).slice(first, len(part)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids_and_folds, pa.array(n), pa.array(known), pa.array(base), pa.array(inside), unheld, times, symbols], names=names)
+                first += len(part)
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<int>, symbols binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    return rows.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
 def trained(docs: DataFrame, lexicon, first: Weights) -> Weights:
-    """Weights after one pass over ``docs(doc_id, text)``, in rounds of local training and averaging.
+    """Weights after one pass over ``docs(doc_id, symbols)``, in rounds of local training and averaging.
 
     Round ``r`` takes the documents whose hash says so, on every worker; all
     documents are read once in all.  A worker with little to read keeps fewer
@@ -400,26 +494,19 @@ def trained(docs: DataFrame, lexicon, first: Weights) -> Weights:
     the result, as the order is for any stochastic gradient.
     """
     spark, w = docs.sparkSession, first
+    end = Lexicon(*lexicon.value).end
     for r, rate in enumerate(RATES):
         sent = spark.sparkContext.broadcast(w.flat)
 
         def run(batches: Iterator[pa.RecordBatch], rate=rate, sent=sent) -> Iterator[pa.RecordBatch]:
-            lex, model, tokens = lexicon_of(lexicon), Model(Weights(sent.value.copy())), 0
-
-            def encoded():
-                for b in batches:
-                    for text in b.column(0):
-                        words = words_of(text.as_py())
-                        words.append(END)
-                        yield None, lex.symbols(words, lex.ranks(words))
-
-            source, ahead, waiting = encoded(), [], 0
+            model, tokens = Model(Weights(sent.value.copy())), 0
+            source, ahead, waiting = ((None, symbols_in(s)) for b in batches for s in b.column(0)), [], 0
             while waiting < LANES * WINDOW * 100 and (d := next(source, None)) is not None:
                 ahead.append(d)
                 waiting += len(d[1])
             lanes = int(np.clip(waiting // (WINDOW * 100), 8, LANES))
             h = np.zeros((lanes, HIDDEN), np.float32)
-            for _, x, y, mask, fresh, _ in windows(longest_first(chain(ahead, source)), lanes, lex.end):
+            for _, x, y, mask, fresh, _ in windows(longest_first(chain(ahead, source)), lanes, end):
                 h[fresh] = 0
                 live = np.nonzero(mask[:, 0])[0]
                 # A window that few lanes still fill moves the weights as much less.
@@ -429,7 +516,7 @@ def trained(docs: DataFrame, lexicon, first: Weights) -> Weights:
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([model.w.flat.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], names=["weights", "tokens"])
 
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))) == r).select(F.col("text").cast("binary").alias("text"))
+        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))) == r).select("symbols")
         flat = _averaged(part.mapInArrow(run, "weights binary, tokens long"))
         w = w if flat is None else Weights(flat)
         sent.unpersist()
@@ -470,34 +557,20 @@ def _scored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         mass[tail_class(w)] -= c + ADDED
     mass = np.maximum(mass, ADDED)
     lexicon = spark.sparkContext.broadcast((words, top_counts))
-    model = trained(learn.select("doc_id", "text"), lexicon, Weights.fresh(top_counts[:WORDS], mass))
-    sent = spark.sparkContext.broadcast((model.flat, np.log10(mass)))
-    floor = float(np.log10(n_train + ADDED * (v_train + 1)))
-
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
+    log_mass, floor = np.log10(mass), float(np.log10(n_train + ADDED * (v_train + 1)))
+    coded = materialize(encoded(rows, lexicon, log_mass, floor).withColumn("row", F.monotonically_increasing_id()), "gru-symbols")
+    model = trained(coded.where(~F.col("held_out")).select("doc_id", "symbols"), lexicon, Weights.fresh(top_counts[:WORDS], mass))
+    sent, end = spark.sparkContext.broadcast(model.flat), Lexicon(words, top_counts).end
+    kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    schema = pa.schema(list(zip(kept, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = lexicon_of(lexicon)
-        flat, log_mass = sent.value
-        net = Model(Weights(flat))
-
-        def encoded():
-            for b in batches:
-                for i, out, text in zip(*b.columns):
-                    words = words_of(text.as_py())
-                    words.append(END)
-                    ranks = lex.ranks(words)
-                    symbols = lex.symbols(words, ranks)
-                    rare = ranks == lex.n
-                    logs = np.where(rare, 0.0, lex.log[ranks])
-                    outside = symbols >= WORDS
-                    inside = float(np.where(outside, logs, 0.0).sum() - log_mass[symbols[outside] - WORDS].sum())
-                    times = Counter(words[j] for j in np.nonzero(rare)[0].tolist())
-                    yield (i.as_py(), out.as_py(), len(words), int(len(words) - rare.sum()), float(logs.sum()) - len(words) * floor, inside, list(times), list(times.values())), symbols
+        net = Model(Weights(sent.value))
+        docs = ((row, symbols_in(s)) for b in batches for s, *row in zip(b.column(len(kept)), *(c.to_pylist() for c in b.columns[:-1])))
 
         def scored():
-            h, total = np.zeros((LANES, HIDDEN), np.float32), np.zeros(LANES)
-            for owners, x, y, mask, fresh, ended in windows(longest_first(encoded()), LANES, lex.end, SCORED_WINDOW):
+            h, total = np.zeros((SCORED_LANES, HIDDEN), np.float32), np.zeros(SCORED_LANES)
+            for owners, x, y, mask, fresh, ended in windows(longest_first(docs), SCORED_LANES, end, SCORED_WINDOW):
                 h[fresh], total[fresh] = 0, 0
                 # Only lanes with a document are run: the last ones run dry at different times.
                 live = np.nonzero(mask[:, 0])[0]
@@ -505,19 +578,18 @@ def _scored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 total[live] += net.likelihood(hs, y[live], mask[live])[0].sum(1)
                 h[live] = hs[-1]
                 for k in np.nonzero(ended)[0]:
-                    row = owners[k][0]
-                    yield (*row[:5], row[5] + total[k] / LN10, *row[6:])
+                    *row, inside = owners[k][0]
+                    yield (*row, inside + total[k] / LN10)
 
-        yield from in_batches(scored(), schema, 256)
+        yield from in_batches(scored(), schema)
 
-    out = rows.select("doc_id", "held_out", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<int>")
-    out = materialize(out.withColumn("row", F.monotonically_increasing_id()), "gru-scores")
-    rare = out.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    out = coded.select(*kept, "symbols").mapInArrow(run, coded.select(*kept).schema)
+    rare = coded.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     rare = rare.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(ADDED))).alias("logs"),
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
     )
-    out = out.drop("words", "times").join(rare, "row", "left")
+    out = out.join(rare, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0)) if n_train else F.lit(0).cast("long")).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
